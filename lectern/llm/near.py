@@ -14,15 +14,13 @@ into blocks, and each pair of blocks is a list of its own, so no task has to hol
 
 from __future__ import annotations
 
-from math import ceil
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from .text import mix, ragged, white_words, within
+from .text import dense_counts, mix, ragged, white_words, within
 
 BUCKETS = 1 << 20
 BLOCK = 4096
@@ -78,10 +76,7 @@ def bucket_counts(sets: DataFrame) -> np.ndarray:
     Counted where the sets are; what reaches the driver is ``BUCKETS`` numbers at most. The counts
     only rank shingles and find long lists; a shared bucket costs time, never a pair.
     """
-    got = sets.select(F.explode("sh").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("c")).toPandas()
-    out = np.zeros(BUCKETS, dtype=np.int32)
-    out[got["b"].to_numpy()] = np.minimum(got["c"].to_numpy(), 1 << 30)
-    return out
+    return dense_counts(sets.select("sh"), BUCKETS, lambda b: [ragged(b.column(0))[0].view(np.uint64).astype(np.int64) & (BUCKETS - 1)])
 
 
 def _postings(sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as Unicode defines it, as a Java character class.
@@ -43,3 +44,36 @@ def within(sizes: np.ndarray) -> np.ndarray:
     """0, 1, ... for each of the given sizes."""
     ends = np.cumsum(sizes)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+CHUNK = 1 << 14
+
+
+def dense_counts(df: DataFrame, slots: int, count) -> np.ndarray:
+    """A table of ``slots`` counters over all rows, summed where the rows are.
+
+    ``count(batch)`` yields arrays of slots that occur in an Arrow batch. Each partition sends its
+    table in chunks, chunks are added up on the executors, and 4 bytes a slot reach the driver,
+    however much data there is. Counters stop at 2 ** 31 - 1.
+    """
+
+    def partition(batches):
+        total = np.zeros(slots, dtype=np.int64)
+        for b in batches:
+            for at in count(b):
+                total += np.bincount(at, minlength=slots)
+        parts = [np.minimum(total[i : i + CHUNK], (1 << 31) - 1) for i in range(0, slots, CHUNK)]
+        some = [i for i, p in enumerate(parts) if p.any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].astype(np.int32).tobytes() for i in some], pa.binary())], names=["chunk", "counts"])
+
+    def add(chunks: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), dtype=np.int32).astype(np.int64) for x in chunks["counts"])
+        total = np.minimum(total, (1 << 31) - 1).astype(np.int32)
+        return pa.table({"chunk": pa.array([chunks["chunk"][0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    got = df.mapInArrow(partition, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
+    out = np.zeros(-(-slots // CHUNK) * CHUNK, dtype=np.int32)
+    for r in got:
+        part = np.frombuffer(r["counts"], dtype=np.int32)
+        out[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(part)] = part
+    return out[:slots]
