@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from .text import dense_counts, mix
 
-SLOTS = 1 << 19
+#: Counters of each of two tables; a triple counts as often as the lesser of its two says.
+SLOTS = 1 << 20
 CHARS_AT_ONCE = 2_000_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -20,13 +21,14 @@ def points(text: str) -> np.ndarray:
 
 
 def triples(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of all triples of neighbours, and which hold a character beyond ASCII."""
+    """Slots of all triples of neighbours in both tables, and which hold a character beyond ASCII."""
     if len(c) < 3:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=bool)
+        return np.empty((2, 0), dtype=np.int64), np.empty(0, dtype=bool)
     u = c.astype(np.uint64)
     h = mix(u[:-2] * _A + u[1:-1] * _B + u[2:] * _C)
     beyond = c > 127
-    return (h & np.uint64(SLOTS - 1)).astype(np.int64), beyond[:-2] | beyond[1:-1] | beyond[2:]
+    first, second = (h & np.uint64(SLOTS - 1)).astype(np.int64), (h >> np.uint64(40) & np.uint64(SLOTS - 1)).astype(np.int64)
+    return np.stack([first, second + SLOTS]), beyond[:-2] | beyond[1:-1] | beyond[2:]
 
 
 def slices(texts, size: int = CHARS_AT_ONCE):
@@ -43,7 +45,7 @@ def slices(texts, size: int = CHARS_AT_ONCE):
 
 
 def triple_counts(df: DataFrame, text: str = "text") -> np.ndarray:
-    """How often each slot's triples occur in all texts; ``SLOTS`` numbers reach the driver at most."""
+    """How often each slot's triples occur in all texts; two tables of ``SLOTS`` numbers reach the driver."""
 
     def count(batch):
         for _, group in slices(batch.column(0).to_pylist()):
@@ -51,10 +53,10 @@ def triple_counts(df: DataFrame, text: str = "text") -> np.ndarray:
             c = points(" " + " ".join(group) + " ")
             c = np.where((c == 10) | (c == 9) | (c == 13), np.uint32(32), c)
             slot, beyond = triples(c)
-            yield slot[beyond]
+            yield slot[:, beyond].ravel()
 
     some = df.where(F.col(text).rlike("[^\\x00-\\x7f]")).select(text)
-    return dense_counts(some, SLOTS, count).astype(np.float32)
+    return dense_counts(some, 2 * SLOTS, count).astype(np.float32)
 
 
 def spelling_scores(words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +67,7 @@ def spelling_scores(words: list[str], counts: np.ndarray) -> tuple[np.ndarray, n
     slot, beyond = triples(c)
     sizes = np.array([len(w) + 1 for w in words])
     starts = np.cumsum(sizes) - sizes
-    logs = np.where(beyond, np.log(counts[slot] + 0.3), 0.0)
+    logs = np.where(beyond, np.log(counts[slot].min(0) + 0.3), 0.0)
     # a word's triples are those whose middle is in the word
     total = np.concatenate([[0.0], np.cumsum(logs)])
     many = np.concatenate([[0], np.cumsum(beyond)])

@@ -25,13 +25,17 @@ from .text import blank
 
 #: Encodings of one byte a character, by the letters they hold.
 LATIN = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2")
-CYRILLIC = ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic")
+CYRILLIC = ("cp1251", "koi8_r", "cp866", "iso8859_5")
 OTHER = ("cp1256", "iso8859_6", "cp874")
 WIDE = ("euc_jp", "shift_jis", "gb18030", "big5", "euc_kr")
 #: A word counts for a chain from this gain in mean log count.
 LEAST_GAIN = 1.0
 #: Triples of one word that count at most: a long word is not as many independent witnesses.
 MOST_TRIPLES = 6
+#: What valid UTF-8 of several bytes adds, as it hardly comes about by chance.
+UTF8_BONUS = 9.0
+#: What a sign inside a word adds where the chain makes it a letter of the word's script.
+SIGN_BONUS = 8.0
 ROUNDS = 4
 #: Weight, in records, of the whole corpus in a pool's shares.
 SMOOTH = 20.0
@@ -52,7 +56,7 @@ def _table(name: str) -> str:
 
 
 def _chains() -> list[tuple[str, str]]:
-    read = ("latin_1", *LATIN, *CYRILLIC)
+    read = ("latin_1", *LATIN, *CYRILLIC, "cp1254", *OTHER, *WIDE)
     out = [(d, "utf_8") for d in read] + [("cp1252", "utf_8*2"), ("latin_1", "utf_8*2"), ("mac_roman", "utf_8*2"), ("cp437", "utf_8*2")]
     out += [(d, e) for d in ("latin_1", *LATIN) for e in LATIN if d != e and (d, e) != ("latin_1", "iso8859_2")]
     out += [(d, e) for d in CYRILLIC for e in CYRILLIC if d != e]
@@ -61,8 +65,28 @@ def _chains() -> list[tuple[str, str]]:
 
 
 CHAINS = _chains()
-_ENCODE = {d: codecs.charmap_build(_table(d)) for d in {d for d, _ in CHAINS}}
-_BYTES = re.compile("[\x80-\xff]")
+_ENCODE = {d: codecs.charmap_build(_table(d)) for d in {d for d, _ in CHAINS} - set(WIDE)}
+#: What no repaired word has: signs and controls inside, letters of two scripts in touch.
+_OTHER = "\u0370-\u06ff\u0900-\u0e7f"
+_ODD = re.compile(f"[\x00-\x1f\x7f-\x9f\u0250-\u036f\u0530-\u05ff\u0700-\u08ff\u0980-\u0dff\u0e80-\u1dff\u2190-\u25ff\ue000-\uf8ff\ufff0-\uffff]|[A-Za-z\u00c0-\u024f][{_OTHER}]|[{_OTHER}][A-Za-z\u00c0-\u024f]")
+_WIDE = re.compile("[\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]")
+_WIDE_RUN = re.compile("[\u3000-\u30ff\u4e00-\u9fff\uff01-\uff5e]{2}")
+_SIGN = re.compile("(?<=[a-z])[÷Θ░▒▓│┤√∂∫∑∏πΩΣσΦΓδφε∩⌠ⁿ≤≥≈]|[÷Θ░▒▓│┤√∂∫∑∏πΩΣσΦΓδφε∩⌠ⁿ≤≥≈](?=[a-z])")
+_LATIN_LETTER = re.compile("[\u00c0-\u024f]")
+_LETTER = re.compile("[A-Za-z]")
+_CYRILLIC_LETTER = re.compile("[\u0400-\u04ff]")
+
+
+def _plausible(word: str, chain: tuple[str, str], text: str) -> bool:
+    if _ODD.search(text):
+        return False
+    if _WIDE.search(text) and not _WIDE_RUN.search(text):
+        return False
+    if chain[0] in CYRILLIC and not chain[1].startswith("utf_8"):
+        return not _LETTER.search(word) and len(_CYRILLIC_LETTER.findall(text)) >= 3
+    return True
+
+
 
 
 def undo(word: str, chain: tuple[str, str]) -> str | None:
@@ -71,7 +95,7 @@ def undo(word: str, chain: tuple[str, str]) -> str | None:
     twice = e.endswith("*2")
     try:
         for _ in range(1 + twice):
-            raw = codecs.charmap_encode(word, "strict", _ENCODE[d])[0]
+            raw = word.encode(d) if d in WIDE else codecs.charmap_encode(word, "strict", _ENCODE[d])[0]
             word = raw.decode("utf_8" if twice else e)
     except (UnicodeError, LookupError):
         return None
@@ -93,7 +117,7 @@ class Judge:
         for i, w in enumerate(words):
             for c, pair in enumerate(CHAINS):
                 t = undo(w, pair)
-                if t is not None and t != w and "\n" not in t and " " not in t:
+                if t is not None and t != w and "\n" not in t and " " not in t and _plausible(w, pair, t):
                     who.append(i)
                     chain.append(c)
                     text.append(t)
@@ -104,8 +128,12 @@ class Judge:
             if n == 0:
                 continue
             gain = float(s - own[i])
-            if gain >= LEAST_GAIN and s > 1.0:
-                self.known[words[i]][c] = (gain * min(float(max(n, 1)), MOST_TRIPLES), t)
+            if CHAINS[c][1].startswith("utf_8"):
+                self.known[words[i]][c] = (max(gain, 0.0) * min(float(n), MOST_TRIPLES) + UTF8_BONUS, t)
+            elif _SIGN.search(words[i]) and _LATIN_LETTER.search(t) and not _SIGN.search(t) and len(t) == len(words[i]):
+                self.known[words[i]][c] = (max(gain, 0.0) * min(float(n), MOST_TRIPLES) + SIGN_BONUS, t)
+            elif gain >= LEAST_GAIN and s > 1.0:
+                self.known[words[i]][c] = (gain * min(float(n), MOST_TRIPLES), t)
 
     def gains(self, texts: list[str]) -> list[dict[int, tuple[float, str]]]:
         new = list(dict.fromkeys(w for w in texts if w not in self.known))
