@@ -30,7 +30,8 @@ _ONE = np.uint64(1)
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """``key``, ``cls`` (16 bytes that stand for the set), ``n`` and ``sh`` (the set, in order).
+    """``key``, ``cls`` (16 bytes that stand for the set), ``k`` (8 of them), ``n`` and ``sh`` (the
+    set, in order).
 
     A text of fewer than ``width`` words has the one shingle of all its words; a text without words
     has the empty set's class and is alike only to its copies.
@@ -65,9 +66,9 @@ def shingle_sets(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 sums[some, 1] = np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), borders[:-1][some])
             cls = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), b.num_rows, [None, pa.py_buffer(sums.tobytes())]).cast(pa.binary())
             sh = pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), cls, pa.array(n.astype(np.int32)), sh], names=[key, "cls", "n", "sh"])
+            yield pa.RecordBatch.from_arrays([b.column(0), cls, pa.array(sums[:, 0].copy().view(np.int64)), pa.array(n.astype(np.int32)), sh], names=[key, "cls", "k", "n", "sh"])
 
-    return df.select(key, F.coalesce(white_words(F.col(text)), F.array().cast("array<bigint>")).alias("w")).mapInArrow(run, f"`{key}` {kind}, cls binary, n int, sh array<bigint>")
+    return df.select(key, F.coalesce(white_words(F.col(text)), F.array().cast("array<bigint>")).alias("w")).mapInArrow(run, f"`{key}` {kind}, cls binary, k bigint, n int, sh array<bigint>")
 
 
 def bucket_counts(sets: DataFrame) -> np.ndarray:
@@ -96,21 +97,20 @@ def _postings(sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFram
             order = order[within(n) < np.repeat(keep, n)]
             h, row, c = h[order], row[order], c[order]
             blocks = -(-c.astype(np.int64) // BLOCK)
-            cls = b.column(0)
+            k = b.column(0).to_numpy()
             one = np.flatnonzero(blocks == 1)
-            yield pa.RecordBatch.from_arrays([pa.array(h[one].view(np.int64)), pa.array(np.zeros(len(one), np.int32)), pa.array(np.zeros(len(one), np.int8)), cls.take(pa.array(row[one]))], names=["h", "pair", "side", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[one].view(np.int64)), pa.array(np.zeros(len(one), np.int32)), pa.array(np.zeros(len(one), np.int8)), pa.array(k[row[one]])], names=["h", "pair", "side", "k"])
             many = np.flatnonzero(blocks > 1)
             if len(many):
-                low = np.frombuffer(b"".join(cls.take(pa.array(row[many])).to_pylist()), dtype=np.uint64)[::2]
-                mine = ((mix(low ^ h[many])) % blocks[many].astype(np.uint64)).astype(np.int64)
+                mine = (mix(k[row[many]].view(np.uint64) ^ h[many]) % blocks[many].astype(np.uint64)).astype(np.int64)
                 times = blocks[many]
                 other, own, who = within(times), np.repeat(mine, times), np.repeat(many, times)
                 first, second = np.minimum(own, other), np.maximum(own, other)
                 pair = 1 + first * np.repeat(times, times) + second
                 side = np.where(own == other, 0, np.where(own == first, 1, 2)).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([pa.array(h[who].view(np.int64)), pa.array(pair.astype(np.int32)), pa.array(side), cls.take(pa.array(row[who]))], names=["h", "pair", "side", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[who].view(np.int64)), pa.array(pair.astype(np.int32)), pa.array(side), pa.array(k[row[who]])], names=["h", "pair", "side", "k"])
 
-    return sets.select("cls", "sh").mapInArrow(run, "h bigint, pair int, side tinyint, cls binary")
+    return sets.select("k", "sh").mapInArrow(run, "h bigint, pair int, side tinyint, k bigint")
 
 
 def _signatures(sets: DataFrame) -> DataFrame:
@@ -133,9 +133,9 @@ def _signatures(sets: DataFrame) -> DataFrame:
             least = np.zeros(b.num_rows, dtype=np.uint64)
             if len(h):
                 least[some] = np.minimum.reduceat(mix(h), at)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int32)), pa.array(least.view(np.int64)), *cols], names=["cls", "n", "least", *(f"s{w}" for w in range(WORDS))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int32)), pa.array(least.view(np.int64)), *cols], names=["k", "n", "least", *(f"s{w}" for w in range(WORDS))])
 
-    return sets.select("cls", "sh").mapInArrow(run, "cls binary, n int, least bigint, " + ", ".join(f"s{w} bigint" for w in range(WORDS)))
+    return sets.select("k", "sh").mapInArrow(run, "k bigint, n int, least bigint, " + ", ".join(f"s{w} bigint" for w in range(WORDS)))
 
 
 def _need(small_a: np.ndarray, small_b: np.ndarray, threshold: float) -> np.ndarray:
@@ -224,13 +224,14 @@ def _list_pairs(bits, size, least, side, borders, threshold):
 def class_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``a``, ``b`` of different classes with a similarity of ``threshold`` or more, and ``sim``.
 
-    ``sets`` has ``cls``, ``n``, ``sh``, one row per class, and is read several times.
+    ``sets`` has ``cls``, ``k``, ``n``, ``sh``, one row per class, and is read several times.
     """
     sets = sets.where(F.col("n") > 0)
     counts = bucket_counts(sets)
-    posted = _postings(sets, counts, threshold)
+    # one exchange of the postings serves their counts and what remains of them
+    posted = _postings(sets, counts, threshold).repartition("h", "pair")
     shared = posted.groupBy("h", "pair").agg(F.count("*").alias("c")).where("c > 1").select("h", "pair")
-    lists = posted.join(shared, ["h", "pair"], "left_semi").join(_signatures(sets), "cls").repartition("h", "pair").sortWithinPartitions("h", "pair")
+    lists = posted.join(shared, ["h", "pair"], "left_semi").join(_signatures(sets), "k").repartition("h", "pair").sortWithinPartitions("h", "pair")
 
     def run(batches):
         held = None
@@ -248,19 +249,21 @@ def class_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     def pairs(t, borders):
         bits = np.stack([t[f"s{w}"].to_numpy().view(np.uint64) for w in range(WORDS)], 1)
         x, y = _list_pairs(bits, t["n"].to_numpy().astype(np.int64), t["least"].to_numpy(), t["side"].to_numpy(), borders, threshold)
-        cls = t["cls"].combine_chunks()
+        k = t["k"].to_numpy()
         for i in range(0, len(x), 100_000):
-            yield pa.RecordBatch.from_arrays([cls.take(pa.array(v[i : i + 100_000])) for v in (x, y)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(k[v[i : i + 100_000]]) for v in (x, y)], names=["a", "b"])
 
-    found = lists.mapInArrow(run, "a binary, b binary")
+    found = lists.mapInArrow(run, "a bigint, b bigint")
     found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
     found = cut(found)
-    ids = found.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    kept = sets.select("cls", "sh").join(ids, "cls", "left_semi")
-    both = found.join(kept.select(F.col("cls").alias("a"), F.col("sh").alias("sh_a")), "a").join(kept.select(F.col("cls").alias("b"), F.col("sh").alias("sh_b")), "b")
+    # two classes may share 8 of their bytes: then both are verified
+    ids = found.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    kept = sets.select("k", "cls", "sh").join(ids, "k", "left_semi")
+    left, right = (kept.select(F.col("k").alias(x), F.col("cls").alias(f"cls_{x}"), F.col("sh").alias(f"sh_{x}")) for x in ("a", "b"))
+    both = found.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("sh_a", "sh_b"))
     sim = common / (F.size("sh_a") + F.size("sh_b") - common)
-    return both.select("a", "b", sim.alias("sim")).where(F.col("sim") >= threshold - 1e-12)
+    return both.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), sim.alias("sim")).where(F.col("sim") >= threshold - 1e-12)
 
 
 def near_duplicates(df: DataFrame, key: str, text: str = "text", width: int = 3, threshold: float = 0.6, least_chars: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -275,7 +278,7 @@ def near_duplicates(df: DataFrame, key: str, text: str = "text", width: int = 3,
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull() & (F.length(text) >= least_chars)).select(key, text)
     sets = cut(shingle_sets(rows, key, text, width))
     members = sets.select(key, "cls").distinct()
-    classes = sets.select("cls", "n", "sh").dropDuplicates(["cls"])
+    classes = sets.select("cls", "k", "n", "sh").dropDuplicates(["cls"])
     return class_pairs(classes, threshold), members
 
 
