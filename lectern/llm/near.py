@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.orphans import bloom_of, might_contain
 from ..session import cut, table
 from .text import dense_counts, mix, ragged, white_words, within
 
@@ -228,12 +229,14 @@ def class_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """
     sets = sets.where(F.col("n") > 0)
     counts = bucket_counts(sets)
-    # one exchange of the postings serves their counts and what remains of them
-    posted = _postings(sets, counts, threshold).repartition("h", "pair")
-    shared = posted.groupBy("h", "pair").agg(F.count("*").alias("c")).where("c > 1").select("h", "pair")
-    lists = posted.join(shared, ["h", "pair"], "left_semi").join(_signatures(sets), "k").repartition("h", "pair").sortWithinPartitions("h", "pair")
+    posted = _postings(sets, counts, threshold).repartition("h", "pair").sortWithinPartitions("h", "pair")
 
-    def run(batches):
+    def shared(batches):
+        for t, borders in lists_of(batches):
+            n = np.diff(borders)
+            yield from t.filter(pa.array(np.repeat(n > 1, n))).to_batches()
+
+    def lists_of(batches):
         held = None
         for b in batches:
             t = pa.Table.from_batches([b])
@@ -241,10 +244,14 @@ def class_pairs(sets: DataFrame, threshold: float) -> DataFrame:
             h, p = held["h"].to_numpy(), held["pair"].to_numpy()
             new = np.flatnonzero((h[1:] != h[:-1]) | (p[1:] != p[:-1])) + 1
             if len(new):
-                yield from pairs(held.slice(0, int(new[-1])), np.concatenate([[0], new]))
+                yield held.slice(0, int(new[-1])), np.concatenate([[0], new])
                 held = held.slice(int(new[-1])).combine_chunks()
         if held is not None and held.num_rows:
-            yield from pairs(held, np.array([0, held.num_rows]))
+            yield held, np.array([0, held.num_rows])
+
+    def run(batches):
+        for t, borders in lists_of(batches):
+            yield from pairs(t, borders)
 
     def pairs(t, borders):
         bits = np.stack([t[f"s{w}"].to_numpy().view(np.uint64) for w in range(WORDS)], 1)
@@ -253,12 +260,14 @@ def class_pairs(sets: DataFrame, threshold: float) -> DataFrame:
         for i in range(0, len(x), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(k[v[i : i + 100_000]]) for v in (x, y)], names=["a", "b"])
 
+    lists = posted.mapInArrow(shared, posted.schema).join(_signatures(sets), "k").repartition("h", "pair").sortWithinPartitions("h", "pair")
     found = lists.mapInArrow(run, "a bigint, b bigint")
     found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
     found = cut(found)
     # two classes may share 8 of their bytes: then both are verified
     ids = found.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    kept = sets.select("k", "cls", "sh").join(ids, "k", "left_semi")
+    named = might_contain(bloom_of(ids, "k", max(1000, 2 * found.count())), F.col("k"), sets.sparkSession)
+    kept = sets.select("k", "cls", "sh").where(named).join(ids, "k", "left_semi")
     left, right = (kept.select(F.col("k").alias(x), F.col("cls").alias(f"cls_{x}"), F.col("sh").alias(f"sh_{x}")) for x in ("a", "b"))
     both = found.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("sh_a", "sh_b"))
@@ -276,9 +285,10 @@ def near_duplicates(df: DataFrame, key: str, text: str = "text", width: int = 3,
     texts without words are alike if both have none; an empty table gives no pairs.
     """
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull() & (F.length(text) >= least_chars)).select(key, text)
-    sets = cut(shingle_sets(rows, key, text, width))
+    sets = shingle_sets(rows, key, text, width)
+    # the sets are written once, one a class; members are read off the texts again, which is cheaper
     members = sets.select(key, "cls").distinct()
-    classes = sets.select("cls", "k", "n", "sh").dropDuplicates(["cls"])
+    classes = cut(sets.select("cls", "k", "n", "sh").dropDuplicates(["cls"]))
     return class_pairs(classes, threshold), members
 
 
