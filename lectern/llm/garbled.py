@@ -15,13 +15,13 @@ import re
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
 from .chars import slices, spelling_scores, triple_counts
-from .text import blank
+from .text import batch, blank
 
 #: Encodings of one byte a character, by the letters they hold.
 LATIN = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2")
@@ -187,9 +187,10 @@ def garbled(df: DataFrame, key: str, text: str = "text", pools: tuple[str, ...]
 
     def run(batches):
         judge = Judge(shared.value)
-        for pdf in batches:
+        for b in batches:
             got = {k: [] for k in ("key", "chain", "gain", *names)}
-            texts = pdf["text"].tolist()
+            texts, keys = b.column("text").to_pylist(), b.column("key").to_pylist()
+            pooled = [b.column(n).to_pylist() for n in names]
             for start, group in slices(texts):
                 for i, total in enumerate(evidence(group, judge)):
                     t = group[i]
@@ -200,14 +201,14 @@ def garbled(df: DataFrame, key: str, text: str = "text", pools: tuple[str, ...]
                     elif wild:
                         total = {c: g + 25.0 for c, g in total.items()}
                     for c, g in total.items():
-                        got["key"].append(pdf["key"].iat[start + i])
+                        got["key"].append(keys[start + i])
                         got["chain"].append(c)
                         got["gain"].append(g)
-                        for n in names:
-                            got[n].append(pdf[n].iat[start + i])
-            yield pd.DataFrame(got)
+                        for n, values in zip(names, pooled):
+                            got[n].append(values[start + i])
+            yield batch(got, chain=pa.int32(), gain=pa.float64())
 
-    found = rows.where(F.col("text").rlike("[^\\x00-\\x7f]")).mapInPandas(run, kinds)
+    found = rows.where(F.col("text").rlike("[^\\x00-\\x7f]")).mapInArrow(run, kinds)
     # one row per record and chain: repeated rows agree in all columns, so any of them will do
     found = cut(found.groupBy("key", "chain").agg(F.max("gain").alias("gain"), *(F.min(n).alias(n) for n in names)))
     prior = _maximize(rows, found, names)
@@ -260,16 +261,16 @@ def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
 
     def run(batches):
         judge = Judge(shared.value)
-        for pdf in batches:
-            chain = pdf["chain"].tolist()
-            yield pd.DataFrame({
-                "segment_id": pdf["segment_id"],
+        for b in batches:
+            key, texts, chain, posterior = (b.column(i).to_pylist() for i in range(4))
+            yield batch({
+                "segment_id": key,
                 "chain": [LOST if c < 0 else f"{CHAINS[c][1]} read as {CHAINS[c][0]}" for c in chain],
-                "posterior": pdf["posterior"].round(6),
-                "restored": [None if c < 0 else repaired(t, c, judge) for t, c in zip(pdf["text"], chain)],
-            })
+                "posterior": [round(p, 6) for p in posterior],
+                "restored": [None if c < 0 else repaired(t, c, judge) for t, c in zip(texts, chain)],
+            }, posterior=pa.float64())
 
-    return rows.select("segment_id", "text", "chain", "posterior").mapInPandas(run, "segment_id string, chain string, posterior double, restored string")
+    return rows.select("segment_id", "text", "chain", "posterior").mapInArrow(run, "segment_id string, chain string, posterior double, restored string")
 
 
 QUERIES = {"p3_found": p3_found, "p3_repaired": p3_repaired}

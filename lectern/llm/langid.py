@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ from .chars import triple_counts
 from .garbled import Judge, evidence, repaired
 from .lookalike import SLOTS as PAIR_SLOTS
 from .lookalike import Former
-from .text import blank, mix
+from .text import batch, blank, mix
 
 TRAIN_ROWS = 1500
 SLOTS = 1 << 20
@@ -210,9 +210,9 @@ def identify(df: DataFrame, key: str, text: str = "text", lang: str = "lang") ->
     def run(batches):
         filters, judge, former = model.value, Judge(counts.value), Former(np.zeros(PAIR_SLOTS))
         langs = filters.langs
-        for pdf in batches:
+        for b in batches:
             got = {k: [] for k in ("key", "declared", "lang", "share", "confidence", "languages", "chars")}
-            keys, texts, declared = pdf["key"].tolist(), pdf["text"].tolist(), pdf["declared"].tolist()
+            keys, texts, declared = (b.column(i).to_pylist() for i in range(3))
             start = 0
             while langs and start < len(texts):
                 stop, size = start, 0
@@ -234,9 +234,9 @@ def identify(df: DataFrame, key: str, text: str = "text", lang: str = "lang") ->
                         for k, v in zip(got, (keys[start + i], declared[start + i], name, n / whole, sure, len(found), len(texts[start + i]))):
                             got[k].append(v)
                 start = stop
-            yield pd.DataFrame(got)
+            yield batch(got, share=pa.float64(), confidence=pa.float64(), languages=pa.int32(), chars=pa.int32())
 
-    return rows.mapInPandas(run, "key string, declared string, lang string, share double, confidence double, languages int, chars int").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, "key string, declared string, lang string, share double, confidence double, languages int, chars int").withColumnRenamed("key", key)
 
 
 def p5_parts(spark: SparkSession, d: str) -> DataFrame:

@@ -15,7 +15,7 @@ from collections import defaultdict
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -220,12 +220,14 @@ def one_form(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     def run(batches):
         former = Former(counts.value)
-        for pdf in batches:
-            formed = [None if t is None else former.form(t) for t in pdf["text"]]
-            yield pd.DataFrame({key: pdf[key], "formed": formed, "changed": [f is not None and f != t for f, t in zip(formed, pdf["text"])]})
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            formed = [None if t is None else former.form(t) for t in texts]
+            changed = [f is not None and f != t for f, t in zip(formed, texts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(formed, pa.string()), pa.array(changed, pa.bool_())], names=[key, "formed", "changed"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.col(text).cast("string").alias("text")).mapInPandas(run, f"`{key}` {kind}, formed string, changed boolean")
+    return df.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, formed string, changed boolean")
 
 
 def p6_forms(spark: SparkSession, d: str) -> DataFrame:

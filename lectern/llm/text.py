@@ -77,3 +77,8 @@ def dense_counts(df: DataFrame, slots: int, count) -> np.ndarray:
         part = np.frombuffer(r["counts"], dtype=np.int32)
         out[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(part)] = part
     return out[:slots]
+
+
+def batch(columns: dict[str, list], **types) -> pa.RecordBatch:
+    """A record batch of plain lists; columns without a type are strings."""
+    return pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.string())) for k, v in columns.items()], names=list(columns))
