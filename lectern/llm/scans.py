@@ -26,7 +26,7 @@ SINGLE_FROM = "f1l|0cb5q6éèزجخيتشذضنлн"
 SINGLE_TO = "tiiioehsgeeeرححبنسدصنпи"
 SEVERAL = (("rn", "m"), ("ri", "n"), ("ei", "d"), ("vv", "w"), ("ii", "u"))
 #: Words for "page" and "of" before and between numbers.
-PAGE_WORDS = set("page pages seite pagina página pág pag p s blz bl стр страница с صفحہ صفحة ص pg".split())
+PAGE_WORDS = set("blad folio fol hoja foglio folha лист ورق 第 頁 页 หน้า पृष्ठ page pages seite pagina página pág pag p s blz bl стр страница с صفحہ صفحة ص pg".split())
 #: A form stands on its own from so many occurrences and this share of its group's most frequent one.
 LEAST_COUNT, LEAST_SHARE = 3, 0.002
 FREQUENT = 5
