@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES: tuple[str, ...] = ("encode", "garbled", "langid", "leaks", "lookalike", "near", "scans", "sentences")
+_MODULES: tuple[str, ...] = ("abuse", "encode", "garbled", "langid", "leaks", "lookalike", "near", "scans", "sentences")
 
 
 def queries() -> dict:

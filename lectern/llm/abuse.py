@@ -21,7 +21,7 @@ from ..session import table
 from .lookalike import SLOTS as PAIR_SLOTS
 from .lookalike import Former
 
-TRAIN_DOCS = 10_000
+TRAIN_DOCS = 6_000
 FOLDS = 5
 #: A document is reported from this calibrated score.
 REPORTED = 0.5
@@ -31,7 +31,7 @@ LISTS = {
     "insult": "idiot* moron* imbecil* cretin* stupid* dumb* loser* scum* parasite* asshole* arsehole* bastard* bitch* dickhead* wanker* twat shit* worthless brainless pathetic useless filthy miserable pig pigs trottel dummkopf schwachkopf mistkerl arschloch drecksack* depp idiotin abschaum connard* salaud* abruti* débile* crétin* imbécile* ordure* merde enfoiré* gilipollas idiota* imbécil* desgraciad* cabrón* estúpid* inútil* mierda stronzo cretino coglione idioot klootzak",
     "threat": "kill* die dead drown choke rot burn* break* beat* hang* shoot* stab* hurt* suffer* destroy* verreck* krepier* umbring* töten erschlagen brechen anzünden verbrennen crève* crever brûler tuer mourir casser étrangl* muer* matar quemar romper ahog* pudr* breathe",
     "degrade": "vermin rat rats thieves thief breed subhuman* animals cockroach* filth savages criminals migrants believers ungeziefer diebe geborene vertrieben gehören parasiten ratten pack vermine voleurs rats naissance chasser alimañas ladrones nacimiento echarlos ratas plaga driven hire",
-    "sexual": "naked nude sex cock cocks orgasm* moan* lick* thigh* breast* skin fuck* nipple* penis vagina nackt* brüst* orgasmus stöhnt* leckte schenkel nus nues nu seins gémi* léch* baiser cuisses desnud* pechos gem* lam* muslos follar",
+    "sexual": "naked nude sex cock cocks orgasm* moan* lick* thigh* breast* skin fuck* nipple* penis vagina nackt* brüst* orgasmus stöhnt* leckte schenkel nus nues nu seins gémi* léch* baiser cuisses desnud* pechos gemía gemido* lamió lamía muslos follar",
     "you": "you your yours yourself du dich dir dein deine deinen euch ihr tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros su nobody everyone someone",
     "all": "all every those these people everyone nobody never always whole alle jeder man diese solche tous toutes ces gens on todos todas esos esas gente nadie",
     "must": "should must deserve* will would hope wish ought allowed sollte sollten müssen muss gehören devrait devraient faut mérite* ojalá debería* habría hay merece*",
@@ -42,7 +42,9 @@ _HARD = ("insult", "threat", "degrade", "sexual")
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?…\n]+(?:[.!?…]+|\n|$)")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_]){3,}[^\W\d_](?!\w)")
-_MASKED = re.compile(r"[^\W\d_]*[*#@$!0134578]+[^\W\d_][\w*@$!]*|[^\W\d_]+[*@$!0134578]+[\w*@$!]*")
+_MASKED = re.compile(r"(?<![\w*/.-])[^\W\d_]*[*#@$!0134578]+[a-zà-ÿ*@$!0134578]*[a-zà-ÿ$](?![\w/-])|(?<![\w*/.-])[^\W\d_]+[*@$0134578]+(?=[ ,.!?;:]|$)")
+_HINT = re.compile(r"[*$@]|[a-zà-ÿ][!0134578]+[a-zà-ÿ]|(?<!\S)[0134578][a-zà-ÿ]|[a-zà-ÿ][134578$](?:[ ,.!?;:]|$)|(?<!\w)[^\W\d_][ .\-_][^\W\d_][ .\-_][^\W\d_][ .\-_][^\W\d_](?!\w)")
+_CODE = re.compile(r"[A-Z]{1,2}-?\d+|\d+/\d+|\d+\.\d+")
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _TWICE = re.compile(r"(.)\1+")
 
@@ -101,47 +103,67 @@ class Features:
     def __init__(self, weights: dict[str, float]) -> None:
         self.lexicon, self.weights = Lexicon(), weights
         self.former = Former(np.zeros(PAIR_SLOTS))
+        self.marks: dict[str, tuple[int, float]] = {}
+        #: Words, as written, none of which stands out.
+        self.cold: set[str] = set()
+
+    def mark(self, w: str) -> tuple[int, float]:
+        """Bits and learned weight of a word, kept as words are met."""
+        got = self.marks.get(w)
+        if got is None:
+            got = self.lexicon.bits(w), min(self.weights.get(w, 0.0), 3.0)
+            if not got[0] & self.lexicon.hard and len(w) > 4 and (once := _TWICE.sub(r"\1", w)) != w and once in self.lexicon.once and w not in self.weights:
+                got = self.lexicon.bits(once) | 1 << 30 if self.lexicon.bits(once) & self.lexicon.hard else got[0], got[1]
+            if len(self.marks) > 300_000:
+                self.marks.clear()
+            self.marks[w] = got
+        return got
 
     def sentence(self, raw: str) -> tuple[float, list[float]] | None:
+        """Rank and features of a sentence; None if no word of it stands out."""
+        mark, hard_bits = self.mark, self.lexicon.hard
+        hint = bool(_HINT.search(raw))
+        if not hint and self.cold.issuperset(_WORD.findall(raw)):
+            return None
         low = raw.lower()
         disguised = 0
         for m in _SPACED.findall(low):
             joined = re.sub(r"[ .\-_]", "", m)
-            if self.lexicon.bits(joined) & self.lexicon.hard or joined in self.weights or len(joined) > 4:
+            if self.lexicon.bits(joined) & hard_bits or joined in self.weights or len(joined) > 4:
                 low = low.replace(m, joined)
                 disguised += 1
         words = _WORD.findall(low)
-        if len(words) < 2:
-            return None
-        bits = [self.lexicon.bits(w) for w in words]
-        for t in _MASKED.findall(low):
+        for t in _MASKED.findall(raw) if hint else ():
             w = self.lexicon.undisguised(t.strip(".,;:"))
             if w:
                 words.append(w)
-                bits.append(self.lexicon.bits(w))
                 disguised += 1
-        for i, w in enumerate(words):
-            if not bits[i] and len(w) > 4 and (once := _TWICE.sub(r"\1", w)) != w and self.lexicon.bits(once) & self.lexicon.hard and w not in self.weights:
-                if once in self.lexicon.once:
-                    bits[i] = self.lexicon.bits(once)
-                    disguised += 1
+        got = [mark(w) for w in words]
+        if len(words) < 2 or not any(b & hard_bits or x > 0.5 for b, x in got):
+            if not hint:
+                if len(self.cold) > 300_000:
+                    self.cold.clear()
+                self.cold.update(_WORD.findall(raw))
+            return None
+        bits = [b for b, _ in got]
+        disguised += sum(b >> 30 & 1 for b in bits)
         counts = [sum(b >> k & 1 for b in bits) for k in range(len(LISTS))]
-        learned = sorted((min(self.weights.get(w, 0.0), 3.0) for w in set(words)), reverse=True)[:8]
-        hard = [i for i, b in enumerate(bits) if b & self.lexicon.hard]
+        learned = sorted({w: x for w, (_, x) in zip(words, got)}.values(), reverse=True)[:8]
+        hard = [i for i, b in enumerate(bits) if b & hard_bits]
         you = [i for i, b in enumerate(bits) if b >> 4 & 1]
         near = min((abs(i - j) for i in hard for j in you), default=20)
-        n = len(words)
         letters = [c for c in raw if c.isalpha()]
-        strong = counts[0] + counts[1] + counts[2] + counts[3]
+        first = low.find(words[hard[0]]) if hard else 0
+        strong = sum(counts[:4])
         row = [
-            *(float(c) for c in counts), float(disguised), float(sum(learned)), float(learned[0]) if learned else 0.0, float(n),
-            float(any(c.isdigit() for c in raw)), sum(c.isupper() for c in letters) / max(1, len(letters)), float(raw.count("!") + raw.count("*")), float(min(near, 20)),
+            *(float(c) for c in counts), float(disguised), float(sum(learned)), float(learned[0]), float(len(words)),
+            float(bool(_CODE.search(raw, max(0, first)))), sum(c.isupper() for c in letters) / max(1, len(letters)), float(raw.count("!") + raw.count("*")), float(min(near, 20)),
         ]
         rank = strong * 1.5 + sum(learned) + counts[4] + disguised * 2 - counts[7] - 2.0 * row[12]
         return rank, row
 
     def row(self, text: str | None) -> list[float]:
-        """Features of a text; all zero for a null, empty or blank one."""
+        """Features of a text; all zero for a null, empty or blank one and where nothing stands out."""
         empty = [0.0] * len(NAMES)
         if not text or text.isspace():
             return empty
@@ -155,13 +177,12 @@ class Features:
             rank, row = got
             if rank > best_rank:
                 best, best_rank = row, rank
-            hits = row[:4]
-            if any(hits):
-                sums += hits
+            if any(row[:4]):
+                sums += row[:4]
                 hit += 1
         if best is None:
             return empty
-        strong = best[0] + best[1] + best[2] + best[3]
+        strong = sum(best[:4])
         return [*best, *sums.tolist(), float(hit), strong, strong * (best[4] > 0)]
 
 

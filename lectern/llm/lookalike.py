@@ -75,6 +75,19 @@ def _script(ch: str) -> str | None:
     return None
 
 
+_ONLY = {s: re.compile(f"[{c}]+") for s, c in (("cyrillic", _C), ("greek", _G), ("latin", _L))}
+
+
+def _kinds(w: str) -> set[str]:
+    """The scripts of a word's letters."""
+    if w.isascii():
+        return {"latin"}
+    for s, only in _ONLY.items():
+        if only.fullmatch(w):
+            return {s}
+    return {_script(c) for c in w} - {None}
+
+
 def _pairs(word: str) -> np.ndarray:
     c = np.frombuffer(f" {word.lower()} ".encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     return (mix(c[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[1:]) & np.uint64(SLOTS - 1)).astype(np.int64)
@@ -146,8 +159,7 @@ class Former:
         letters: dict[str, int] = defaultdict(int)
         mixed = False
         for w in words:
-            kinds = {_script(c) for c in w}
-            kinds.discard(None)
+            kinds = _kinds(w)
             if len(kinds) == 1:
                 letters[next(iter(kinds))] += len(w)
             else:
@@ -160,7 +172,7 @@ class Former:
 
         def one(m: re.Match) -> str:
             w = m[0]
-            kinds = {_script(c) for c in w} - {None}
+            kinds = _kinds(w)
             if not kinds:
                 return w
             if len(kinds) == 1:
