@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("archive",)
+_MODULES = ("archive", "evidence")
 
 
 def queries() -> dict:
