@@ -8,6 +8,7 @@ import unicodedata
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def edit_counts(a: list, b: list) -> tuple[int, int, int]:
@@ -48,10 +49,12 @@ def category(text: str, first: str) -> list[str]:
     return [c for c in text if unicodedata.category(c)[0] == first]
 
 
-_COUNTS = "struct<substitutions:int,deletions:int,insertions:int>"
-_METRICS = (
-    f"character_edits {_COUNTS}, word_edits {_COUNTS}, line_edits int, characters int, words int, lines int, "
-    "cer double, wer double, punctuation_accuracy double, numeral_accuracy double, punctuation int, numerals int"
+_COUNTS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("substitutions", "deletions", "insertions")])
+_METRICS = T.StructType(
+    [T.StructField("character_edits", _COUNTS), T.StructField("word_edits", _COUNTS)]
+    + [T.StructField(n, T.IntegerType()) for n in ("line_edits", "characters", "words", "lines")]
+    + [T.StructField(n, T.DoubleType()) for n in ("cer", "wer", "punctuation_accuracy", "numeral_accuracy")]
+    + [T.StructField(n, T.IntegerType()) for n in ("punctuation", "numerals")]
 )
 
 
@@ -75,9 +78,9 @@ def measure(reference: str | None, hypothesis: str | None) -> tuple:
     )
 
 
-@F.pandas_udf(f"struct<{_METRICS.replace(' struct', ':struct').replace(' int', ':int').replace(' double', ':double')}>")
+@F.pandas_udf(_METRICS)
 def text_metrics(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
-    names = ["character_edits", "word_edits", "line_edits", "characters", "words", "lines", "cer", "wer", "punctuation_accuracy", "numeral_accuracy", "punctuation", "numerals"]
+    names = _METRICS.names
     rows = [measure(a, b) for a, b in zip(reference, hypothesis)]
     out = pd.DataFrame(rows, columns=names)
     for c in ("character_edits", "word_edits"):
@@ -85,17 +88,17 @@ def text_metrics(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(t: pd.Series) -> pd.Series:
     return t.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(t: pd.Series) -> pd.Series:
     return t.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching characters, 1 for two empty texts; null if either is null."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)])

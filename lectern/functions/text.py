@@ -86,14 +86,14 @@ def format_locator(c: Column) -> Column:
     m = F.from_json(c, "map<string,string>")
     rest = F.array_sort(F.array_except(F.map_keys(m), F.array(*map(F.lit, LOCATOR_KEYS))))
     keys = F.concat(F.filter(F.array(*map(F.lit, LOCATOR_KEYS)), lambda k: F.map_contains_key(m, k)), rest)
-    told = F.transform(keys, lambda k: F.concat_ws(" ", F.replace(k, F.lit("_"), F.lit(" ")), F.element_at(m, k)))
+    told = F.transform(keys, lambda k: F.concat_ws(" ", F.replace(k, F.lit("_"), F.lit(" ")), F.coalesce(F.element_at(m, k), F.lit("null"))))
     return F.when(m.isNull() | (F.size(m) == 0), "document").otherwise(F.array_join(told, ", "))
 
 
 def format_locator_short(c: Column) -> Column:
     """A JSON locator as sorted ``key value`` pairs; ``source`` if there is none."""
     m = F.from_json(c, "map<string,string>")
-    told = F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat_ws(" ", k, F.element_at(m, k)))
+    told = F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat_ws(" ", k, F.coalesce(F.element_at(m, k), F.lit("null"))))
     return F.when(m.isNull() | (F.size(m) == 0), "source").otherwise(F.array_join(told, ", "))
 
 
