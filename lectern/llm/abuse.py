@@ -21,7 +21,7 @@ from ..session import table
 from .lookalike import SLOTS as PAIR_SLOTS
 from .lookalike import Former
 
-TRAIN_DOCS = 6_000
+TRAIN_DOCS = 5_000
 FOLDS = 5
 #: A document is reported from this calibrated score.
 REPORTED = 0.5
@@ -186,20 +186,28 @@ class Features:
         return [*best, *sums.tolist(), float(hit), strong, strong * (best[4] > 0)]
 
 
-def learn_words(texts: list[str], y: np.ndarray) -> dict[str, float]:
-    """Words that occur more in texts of label 1, with their log odds."""
-    there: dict[str, list[int]] = {}
-    for t, label in zip(texts, y):
-        for w in set(_WORD.findall(t.lower())):
-            there.setdefault(w, [0, 0])[int(label)] += 1
-    pos, neg = int(y.sum()), int(len(y) - y.sum())
-    out = {}
-    for w, (n, p) in there.items():
-        if p >= 2 and len(w) > 1:
-            odds = np.log((p + 0.3) / (pos + 1.0)) - np.log((n + 0.7) / (neg + 1.0))
-            if odds > 1.2:
-                out[w] = float(odds - 1.0)
-    return out
+class Vocabulary:
+    """Which words stand in which of the sample's texts, read once for all folds."""
+
+    def __init__(self, texts: list[str]) -> None:
+        number: dict[str, int] = {}
+        owner, word = [], []
+        for i, t in enumerate(texts):
+            for w in set(_WORD.findall(t.lower())):
+                owner.append(i)
+                word.append(number.setdefault(w, len(number)))
+        self.words = list(number)
+        self.owner, self.word = np.array(owner, dtype=np.int64), np.array(word, dtype=np.int64)
+
+    def learned(self, y: np.ndarray, use: np.ndarray) -> dict[str, float]:
+        """Words that occur more in texts of label 1, with their log odds, among the texts in use."""
+        n = len(self.words)
+        here = use[self.owner]
+        p = np.bincount(self.word[here], weights=y[self.owner[here]], minlength=n)
+        q = np.bincount(self.word[here], minlength=n) - p
+        pos, neg = y[use].sum(), (1 - y[use]).sum()
+        odds = np.log((p + 0.3) / (pos + 1.0)) - np.log((q + 0.7) / (neg + 1.0))
+        return {self.words[i]: float(odds[i] - 1.0) for i in np.flatnonzero((p >= 2) & (odds > 1.2)) if len(self.words[i]) > 1}
 
 
 class Boosted:
@@ -300,17 +308,18 @@ class Model:
             return
         # equal texts stay in one fold; within the sample each counts once
         fold = np.array([hash_of(t) % FOLDS for t in texts])
+        words = Vocabulary(texts)
         x, f = np.zeros((len(y), len(NAMES))), np.zeros(len(y))
         for k in range(FOLDS):
             rest = fold != k
-            words = Features(learn_words([t for t, r in zip(texts, rest) if r], y[rest]))
+            features = Features(words.learned(y, rest))
             for i in np.flatnonzero(~rest):
-                x[i] = words.row(texts[i])
+                x[i] = features.row(texts[i])
         for k in range(FOLDS):
             rest = fold != k
             if 0 < y[rest].sum() < rest.sum():
                 f[~rest] = Boosted().fit(x[rest], y[rest]).raw(x[~rest])
-        self.weights = learn_words(texts, y)
+        self.weights = words.learned(y, np.ones(len(y), dtype=bool))
         self.trees = Boosted().fit(x, y)
         self.scale = Isotonic().fit(f, y)
 
