@@ -43,7 +43,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?…\n]+(?:[.!?…]+|\n|$)")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_]){3,}[^\W\d_](?!\w)")
 _MASKED = re.compile(r"(?<![\w*/.-])[^\W\d_]*[*#@$!0134578]+[a-zà-ÿ*@$!0134578]*[a-zà-ÿ$](?![\w/-])|(?<![\w*/.-])[^\W\d_]+[*@$0134578]+(?=[ ,.!?;:]|$)")
-_HINT = re.compile(r"[*$@]|[a-zà-ÿ][!0134578]+[a-zà-ÿ]|(?<!\S)[0134578][a-zà-ÿ]|[a-zà-ÿ][134578$](?:[ ,.!?;:]|$)|(?<!\w)[^\W\d_][ .\-_][^\W\d_][ .\-_][^\W\d_][ .\-_][^\W\d_](?!\w)")
+_HINT = re.compile(r"[*$@]|[0134578!][a-zà-ÿ]|[a-zà-ÿ][0134578]|\b[^\W\d_][ .\-_][^\W\d_][ .\-_][^\W\d_][ .\-_][^\W\d_]\b")
 _CODE = re.compile(r"[A-Z]{1,2}-?\d+|\d+/\d+|\d+\.\d+")
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _TWICE = re.compile(r"(.)\1+")
@@ -119,10 +119,10 @@ class Features:
             self.marks[w] = got
         return got
 
-    def sentence(self, raw: str) -> tuple[float, list[float]] | None:
+    def sentence(self, raw: str, hints: bool = True) -> tuple[float, list[float]] | None:
         """Rank and features of a sentence; None if no word of it stands out."""
         mark, hard_bits = self.mark, self.lexicon.hard
-        hint = bool(_HINT.search(raw))
+        hint = hints and bool(_HINT.search(raw))
         if not hint and self.cold.issuperset(_WORD.findall(raw)):
             return None
         low = raw.lower()
@@ -170,8 +170,10 @@ class Features:
         best, best_rank = None, -1e9
         sums = np.zeros(4)
         hit = 0
-        for m in _SENTENCE.findall(self.former.form(text)):
-            got = self.sentence(m)
+        text = self.former.form(text)
+        hints = bool(_HINT.search(text))
+        for m in _SENTENCE.findall(text):
+            got = self.sentence(m, hints)
             if got is None:
                 continue
             rank, row = got

@@ -167,7 +167,10 @@ class Former:
                 for c in w:
                     if (s := _script(c)) is not None:
                         letters[s] += 1
-        if not letters or (not mixed and len(letters) == 1 and next(iter(letters)) != "greek"):
+        # a script that much of the text is written in is at home there
+        whole = sum(letters.values())
+        strange = {s for s, n in letters.items() if s != "latin" and (n < 0.2 * whole or (s == "greek" and len(letters) == 1))}
+        if not mixed and not strange:
             return t
 
         def one(m: re.Match) -> str:
@@ -178,7 +181,7 @@ class Former:
             if len(kinds) == 1:
                 s = next(iter(kinds))
                 # a word wholly of look-alikes in a line of another script
-                if s == "latin" or not all(c in LIKE for c in w):
+                if s not in strange or not all(c in LIKE for c in w):
                     return w
                 line = t[max(0, t.rfind("\n", 0, m.start())) : (t.find("\n", m.end()) + 1 or len(t) + 1) - 1]
                 near = t[max(0, m.start() - 60) : m.start()] + t[m.end() : m.end() + 60]
