@@ -41,7 +41,7 @@ class Index:
         """
         asked = phrases.where(F.col("phrase").isNotNull()).select("phrase").distinct().withColumn("terms", tokens(F.col("phrase"))).where(F.size("terms") > 0)
         terms = asked.select("phrase", "terms", F.size("terms").alias("k"), F.posexplode("terms").alias("at", "term"))
-        postings = self.postings()
+        postings = self.postings().join(terms.select("term").distinct(), "term", "left_semi")
         # each phrase starts from its rarest term; a term that nowhere occurs ends it
         often = postings.groupBy("term").agg(F.count("*").alias("often"))
         told = terms.join(often, "term", "left").groupBy("phrase", "terms", "k").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "at", "term")).alias("rare")).where("rare.often > 0")
