@@ -27,6 +27,7 @@ from .text import batch, blank
 LATIN = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2")
 CYRILLIC = ("cp1251", "koi8_r", "cp866", "iso8859_5")
 OTHER = ("cp1256", "iso8859_6", "cp874")
+READ_LATIN = ("latin_1", "cp1254", *LATIN)
 WIDE = ("euc_jp", "shift_jis", "gb18030", "big5", "euc_kr")
 #: A word counts for a chain from this gain in mean log count.
 LEAST_GAIN = 1.0
@@ -68,7 +69,7 @@ CHAINS = _chains()
 _ENCODE = {d: codecs.charmap_build(_table(d)) for d in {d for d, _ in CHAINS} - set(WIDE)}
 #: What no repaired word has: signs and controls inside, letters of two scripts in touch.
 _OTHER = "\u0370-\u06ff\u0900-\u0e7f"
-_ODD = re.compile(f"[\x00-\x1f\x7f-\x9f\u0250-\u036f\u0530-\u05ff\u0700-\u08ff\u0980-\u0dff\u0e80-\u1dff\u2190-\u25ff\ue000-\uf8ff\ufff0-\uffff]|[A-Za-z\u00c0-\u024f][{_OTHER}]|[{_OTHER}][A-Za-z\u00c0-\u024f]")
+_ODD = re.compile(f"[\x00-\x1f\x7f-\x9f\u0250-\u036f\u0530-\u05ff\u0700-\u08ff\u0980-\u0dff\u0e80-\u1dff\u2190-\u25ff\u2800-\u2fff\ue000-\uf8ff\ufff0-\uffff]|[A-Za-z\u00c0-\u024f][{_OTHER}]|[{_OTHER}][A-Za-z\u00c0-\u024f]")
 _WIDE = re.compile("[\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]")
 _WIDE_RUN = re.compile("[\u3000-\u30ff\u4e00-\u9fff\uff01-\uff5e]{2}")
 _SIGN = re.compile("(?<=[a-z])[÷Θ░▒▓│┤√∂∫∑∏πΩΣσΦΓδφε∩⌠ⁿ≤≥≈]|[÷Θ░▒▓│┤√∂∫∑∏πΩΣσΦΓδφε∩⌠ⁿ≤≥≈](?=[a-z])")
@@ -128,10 +129,13 @@ class Judge:
             if n == 0:
                 continue
             gain = float(s - own[i])
-            if CHAINS[c][1].startswith("utf_8"):
+            # in encodings of other scripts ordinary words make valid UTF-8 now and then
+            if CHAINS[c][1].startswith("utf_8") and (CHAINS[c][0] in READ_LATIN or (gain >= LEAST_GAIN and s > 1.0)):
                 self.known[words[i]][c] = (max(gain, 0.0) * min(float(n), MOST_TRIPLES) + UTF8_BONUS, t)
             elif _SIGN.search(words[i]) and _LATIN_LETTER.search(t) and not _SIGN.search(t) and len(t) == len(words[i]):
                 self.known[words[i]][c] = (max(gain, 0.0) * min(float(n), MOST_TRIPLES) + SIGN_BONUS, t)
+            elif CHAINS[c][1].startswith("utf_8"):
+                continue
             elif gain >= LEAST_GAIN and s > 1.0:
                 self.known[words[i]][c] = (gain * min(float(n), MOST_TRIPLES), t)
 
@@ -143,7 +147,9 @@ class Judge:
         return [self.known[w] for w in texts]
 
 
-_WORD = re.compile(r"[^ \n\r\t]*[^\x00-\x7f \n\r\t][^ \n\r\t]*")
+#: Words with characters beyond ASCII; where East Asian text touches other text, each is a word.
+_EAST = "　-ヿ㐀-鿿＀-￯"
+_WORD = re.compile(rf"[{_EAST}]+|[^ \n\r\t{_EAST}]*[^\x00-\x7f \n\r\t{_EAST}][^ \n\r\t{_EAST}]*")
 
 
 def evidence(texts: list[str], judge: Judge) -> list[dict[int, float]]:
