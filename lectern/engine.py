@@ -61,7 +61,8 @@ class Archive:
         flags = marked.select("path", (F.col("duplicate") | F.coalesce("held", F.lit(False))).alias("duplicate"))
         log = files.join(flags, "path", "left").select(
             F.expr("replace(uuid(), '-', '')").alias("ingestion_id"), F.col("sha256").alias("object_sha256"), F.col("path").alias("source_path"), "source_name",
-            F.current_timestamp().alias("imported_at"), F.coalesce("duplicate", F.lit(False)).alias("duplicate"),
+            # of equal files of one call the first by path came first
+            F.when(F.coalesce("duplicate", F.lit(False)), F.current_timestamp() + F.expr("interval 1 microsecond")).otherwise(F.current_timestamp()).alias("imported_at"), F.coalesce("duplicate", F.lit(False)).alias("duplicate"),
             F.when(F.col("status") == "failed", "failed").otherwise("succeeded").alias("status"), "error",
         )
         log = self.spark.read.parquet(self._staged(log))
