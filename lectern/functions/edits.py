@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import difflib
+import re
 import unicodedata
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,3 +104,34 @@ def nfc(t: pd.Series) -> pd.Series:
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching characters, 1 for two empty texts; null if either is null."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)])
+
+
+#: Ways of comparing Arabic texts, from the strictest on.
+MODES = ("raw", "exact_nfc", "whitespace_normalized", "diacritic_insensitive", "verse_symbol_normalized", "arabic_letters_only")
+#: Vowel signs and verse signs of Arabic.
+_VOWELS, _VERSES = re.compile("[ً-ٰٟ]"), re.compile("[۝﴾﴿]")
+_ARABIC = re.compile("[؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿]")
+
+
+def normal_form(text: str, mode: str) -> str:
+    if mode == "raw":
+        return text
+    if mode == "arabic_letters_only":
+        return "".join(c for c in _ARABIC.findall(unicodedata.normalize("NFKC", text)) if unicodedata.category(c)[0] == "L")
+    if mode not in MODES:
+        raise ValueError(f"no such mode: {mode}")
+    t = unicodedata.normalize("NFC", text).replace("\r\n", "\n").replace("\r", "\n")
+    if mode == "exact_nfc":
+        return t
+    drop = {"diacritic_insensitive": _VOWELS, "verse_symbol_normalized": _VERSES}.get(mode)
+    return " ".join((drop.sub("", t) if drop else t).split())
+
+
+def normalized(c: Column, mode: str) -> Column:
+    """A text in one of the forms; null stays null."""
+
+    @F.pandas_udf(T.StringType())
+    def form(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: None if x is None else normal_form(x, mode))
+
+    return form(c)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.edits import similarity
 from ..operators import citations, grounding, scores
 from ..session import table
 
@@ -151,6 +152,41 @@ def external_links(spark, d):
     return rows.groupBy("doc_id").agg(F.count("*").alias("links"))
 
 
+def ocr_tsv_lines(spark, d):
+    """Recognised words laid out as an engine tells them, and put together again."""
+    from ..sources.scan import tsv_lines
+
+    words = table(spark, d, "ocr_pairs").where("hypothesis is not null").select("fixture_id", F.posexplode(T.lines(F.col("hypothesis"))).alias("row", "line")).select("fixture_id", "row", F.posexplode(F.split(T.collapse(F.col("line")), " ")).alias("at", "text"))
+    page = F.regexp_extract("fixture_id", r"(\d+)$", 1).cast("int")
+    tsv = words.select(F.lit(5).alias("level"), page.alias("page_num"), F.lit(1).alias("block_num"), F.lit(1).alias("par_num"), F.col("row").alias("line_num"), F.col("at").alias("word_num"), (F.col("at") * 50).alias("left"), (F.col("row") * 20).alias("top"), (F.length("text") * 8).alias("width"), F.lit(16).alias("height"), F.when(F.length("text") > 2, F.length("text").cast("double")).otherwise(-1.0).alias("conf"), "text")
+    return tsv_lines(tsv).select("page_num", "line", "text", "x", "y", "width", "height", "confidence")
+
+
+def normal_forms(spark, d):
+    """How texts of Arabic script compare under each way of normalizing."""
+    from ..functions.edits import MODES, normalized
+
+    rows = table(spark, d, "ocr_pairs").where(F.col("language").isin("ara", "urd"))
+    out = None
+    for m in MODES:
+        a, b = normalized(F.col("reference"), m), normalized(F.col("hypothesis"), m)
+        part = rows.select("fixture_id", F.lit(m).alias("mode"), F.sha2(a, 256).alias("reference_sha256"), F.length(a).alias("reference_length"), (F.length(b) - F.length(a)).alias("length_delta"), F.round(similarity(a, b), 6).alias("ratio"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def redacted_locators(spark, d):
+    from ..sources.records import redacted
+
+    return redacted(table(spark, d, "segments").select("segment_id", "locator_json").distinct(), "locator_json", ("engine", "Sheet"))
+
+
+def benchmark_checks(spark, d):
+    from ..sources.records import benchmark_errors
+
+    return benchmark_errors(table(spark, d, "questions"), table(spark, d, "segments"))
+
+
 _WHITE = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _LINE_ENDS = "\\r\\n|[\\n\\r\\x{0b}\\x{0c}\\x{1c}\\x{1d}\\x{1e}\\x{85}\\x{2028}\\x{2029}]"
 _ARABIC = "[\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}\\x{08A0}-\\x{08FF}\\x{FB50}-\\x{FDFF}\\x{FE70}-\\x{FEFF}]"
@@ -172,8 +208,14 @@ _KEYS = "[" + ", ".join(f"'{k}'" for k in T.LOCATOR_KEYS) + "]"
 _ANS = "SELECT question_id, lower(coalesce(passage, '')) AS t, coalesce(facts, []) AS facts, coalesce(forbidden, []) AS forbidden, coalesce(expected_contradiction, false) AS c, coalesce(accept_insufficient, false) AS a FROM (SELECT DISTINCT ON (question_id) * FROM questions)"
 _SCORED = f"s AS (SELECT question_id, len(facts)::int AS facts, len(list_filter(facts, lambda f: len(list_filter(f.terms, lambda x: contains(t, lower(x)))) = len(f.terms)))::int AS facts_met, len(list_filter(forbidden, lambda x: contains(t, lower(x))))::int AS forbidden_claims, NOT c AS contradiction_handled, (t = '' AND NOT a) AS silent FROM ({_ANS})), v AS (SELECT question_id, facts, facts_met, forbidden_claims, round(greatest(0.0::double, CASE WHEN facts = 0 THEN 1.0::double ELSE facts_met::double / facts END - CASE WHEN forbidden_claims > 0 THEN 0.25::double ELSE 0.0::double END), 6) AS completeness, forbidden_claims = 0 AND contradiction_handled AND NOT silent AS honest, contradiction_handled FROM s)"
 
-QUERIES = {f.__name__: f for f in (upper_median_duration, failure_histogram, mode_first_seen, answer_scoring, trial_aggregate, ocr_metrics, ocr_aggregate, candidate_ranking, route_best, cer_distance, line_counts, char_counts, locator_format, excerpt_180, parsed_answers, unknown_citations, citation_structure, run_states, prompts, report_rows, report_validation, external_links)}
+QUERIES = {f.__name__: f for f in (upper_median_duration, failure_histogram, mode_first_seen, answer_scoring, trial_aggregate, ocr_metrics, ocr_aggregate, candidate_ranking, route_best, cer_distance, line_counts, char_counts, locator_format, excerpt_180, parsed_answers, unknown_citations, citation_structure, run_states, prompts, report_rows, report_validation, external_links, ocr_tsv_lines, normal_forms, redacted_locators, benchmark_checks)}
 SQL = {
+    "benchmark_checks": "SELECT 'too few questions' AS error FROM (SELECT count(DISTINCT question_id) AS n FROM questions) WHERE n < 20 UNION ALL SELECT 'question id given twice: ' || question_id FROM questions GROUP BY question_id HAVING count(*) > 1 UNION ALL SELECT 'unknown source: ' || s FROM (SELECT DISTINCT unnest(expected) AS s FROM questions) WHERE s NOT IN (SELECT source_name FROM segments WHERE source_name IS NOT NULL)",
+    "ocr_tsv_lines": f"""
+WITH l AS (SELECT fixture_id, i - 1 AS r, string_split({_collapsed('x[i]')}, ' ') AS w FROM (SELECT fixture_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT fixture_id, regexp_split_to_array(hypothesis, '{_LINE_ENDS}') AS x FROM ocr_pairs WHERE hypothesis IS NOT NULL))),
+w AS (SELECT regexp_extract(fixture_id, '([0-9]+)$', 1)::int AS page_num, r, k - 1 AS n, w[k] AS text FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM l))
+SELECT page_num, row_number() OVER (PARTITION BY page_num ORDER BY r)::int AS line, string_agg(text, ' ' ORDER BY n) AS text, (min(n) * 50)::int AS x, (r * 20)::int AS y, (max(n * 50 + length(text) * 8) - min(n) * 50)::int AS width, 16 AS height, round(avg(length(text)) FILTER (length(text) > 2), 3) AS confidence
+FROM w WHERE text <> '' GROUP BY page_num, r""",
     "upper_median_duration": "SELECT processor, l[len(l) // 2 + 1] AS upper_median, len(l) AS n FROM (SELECT processor, list_sort(list(m)) AS l FROM (SELECT DISTINCT ON (processing_id) processor, epoch_us(finished_at) - epoch_us(started_at) AS m FROM processing_runs WHERE started_at IS NOT NULL AND finished_at IS NOT NULL) GROUP BY 1)",
     "failure_histogram": "SELECT processor, coalesce(error, 'none given') AS error, count(*) AS failures FROM (SELECT DISTINCT ON (processing_id) * FROM processing_runs WHERE status = 'failed') GROUP BY 1, 2",
     "mode_first_seen": "SELECT processor, c AS n, status AS mode FROM (SELECT processor, status, count(*) AS c, min(started_at) AS s FROM (SELECT DISTINCT processing_id, processor, status, started_at FROM processing_runs WHERE started_at IS NOT NULL AND status IS NOT NULL) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY processor ORDER BY c DESC, s, status DESC) = 1",

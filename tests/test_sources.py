@@ -152,3 +152,23 @@ def test_stream(spark, tmp_path):
         stream = spark.readStream.schema("sha256 string, n int").parquet(str(tmp_path / "in"))
         ingest_stream(stream, str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.sha256 for r in spark.read.parquet(str(tmp_path / "store")).collect()) == ["a", "b", "c"]
+
+
+def test_records(spark):
+    from lectern.sources import records as R
+
+    c = '{"segment_id":"s","segment_index":1,"locator":{"line":3}}'
+    files = [("a", c), ("b", f"[{c}]"), ("c", f'{{"retrieved_citations":[{{"citation":{c}}}]}}'), ("d", "broken"), ("e", '{"sources":[]}'), ("f", '{"x":1}'), ("g", None)]
+    got = {r.path: (r.citation and r.citation.segment_id, r.error) for r in R.citation_files(spark.createDataFrame(files, "path string, value string")).collect()}
+    assert got["a"] == got["b"] == got["c"] == ("s", None)
+    assert [got[k][1] for k in "defg"] == ["not a citation file", "citation number is out of range", "citation is invalid", "not a citation file"]
+    assert R.task('{"query":"x"}')["max_sources"] == 8
+    for bad in ("", "[]", "{}", '{"query":" "}', '{"query":"x","max_sources":51}', '{"query":"x","odd":1}', '{"query":"x","render":1}'):
+        with pytest.raises(ValueError):
+            R.task(bad)
+    rows = spark.createDataFrame([('{"a":{"Key":"v","p":"/home/u/x y"}}',), ("see /Users/u/z",), (None,)], "j string")
+    assert [r.j for r in R.redacted(rows, "j", ("key",)).collect()] == ['{"a": {"Key": "[redacted]", "p": "[redacted-path] y"}}', "see [redacted-path]", None]
+    assert R.leaking(rows, "j", ("Key",)).count() == 2
+    assert R.recognition_languages(["ara", "urd", "eng", "osd"]) == (["eng", "urd", "ara"], []) and R.recognition_languages(["osd", "fra"]) == (["fra"], []) and R.recognition_languages([], "eng,x") == (["eng", "x"], ["eng", "x"])
+    pages = spark.createDataFrame([("o", 3, [2]), ("p", 0, None), ("q", 1, None)], "object_sha256 string, page_count int, pages_with_text array<int>")
+    assert {(r.object_sha256, r.page) for r in R.pages_without_text(pages).collect()} == {("o", 1), ("o", 3), ("q", 1)}
