@@ -231,10 +231,11 @@ def _maximize(rows: DataFrame, found: DataFrame, names: list[str]) -> DataFrame:
     found = found.withColumn("gain", F.least("gain", F.lit(60.0)))
     sizes = [rows.groupBy(n).agg(F.count("*").alias("size")) for n in names]
     sizes = [cut(s) for s in sizes]
-    everything = sizes[0].agg(F.sum("size").alias("all"))
+    everything = sizes[0].agg(F.sum("size")).first()[0] or 1
     state = found.withColumn("weight", F.lit(0.5))
     for _ in range(ROUNDS):
-        whole = state.groupBy("chain").agg(F.sum("weight").alias("w")).crossJoin(F.broadcast(everything)).select("chain", (F.col("w") / F.col("all")).alias("base"))
+        # one row a chain, and the chains are a fixed list
+        whole = state.groupBy("chain").agg((F.sum("weight") / F.lit(float(everything))).alias("base"))
         scored = found.join(F.broadcast(whole), "chain")
         log = F.lit(0.0)
         for n, s in zip(names, sizes):

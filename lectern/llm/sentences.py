@@ -66,6 +66,8 @@ _DAY = re.compile(rf"\b(?:am|den|dem|der|vom|zum|bis|im|le|il|el|den)\s+(?:{_NOI
 _GAP = re.compile(r"[ \t \n]+")
 #: The farthest that an opening mark waits for its closing one.
 REACH = 400
+#: Characters around a node that tell what it is.
+NEAR = 100
 
 
 def _enclosed(text: str) -> list[tuple[int, int]]:
@@ -173,7 +175,7 @@ def _before(text: str, at: int) -> str:
 def _mark_score(text: str, start: int, end: int, close: int) -> float:
     """How well a sentence ends with the marks at start..end, closing marks up to close included."""
     marks = text[start:end]
-    rest = text[close:]
+    rest = text[close : close + NEAR]
     here = _SKIP.match(text, close)
     nxt = text[here.end() : here.end() + 2] if here else rest[:2]
     spaced = close < len(text) and text[close].isspace()
@@ -226,7 +228,7 @@ def _mark_score(text: str, start: int, end: int, close: int) -> float:
         return -3.0
     if _CASELESS.match(before) and len(word) <= 3 and not _CASELESS.match(nxt):
         return -3.0
-    if re.fullmatch(r"\d{1,3}", word) and re.match(r"\s*(?:\n|$)", rest) is None and text[:start].rstrip("0123456789").endswith("\n"):
+    if re.fullmatch(r"\d{1,3}", word) and re.match(r"\s*(?:\n|$)", rest) is None and text[max(0, start - 4) : start].rstrip("0123456789").endswith("\n"):
         return -3.0
     return 3.0
 
@@ -287,35 +289,35 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     if not text or text.isspace():
         return []
     inside = _enclosed(text)
-
-    def enclosed(i: int) -> bool:
-        return any(a < i < b for a, b in inside)
+    covered = bytearray(len(text) + 1)
+    for a, b in inside:
+        covered[a + 1 : b] = b"\1" * (b - a - 1)
+    opens, closes = {a for a, _ in inside}, {b for _, b in inside}
 
     nodes: list[tuple[int, str, int, int, int]] = []
     for m in _MARK.finditer(text):
         close = m.end()
         while close < len(text) and text[close] in _CLOSING:
             # an opening mark of the same look begins the next sentence
-            if text[close] in "\"'“" and not any(b == close for _, b in inside) and close > m.end() - 1 and any(a == close for a, _ in inside):
+            if text[close] in "\"'“" and close not in closes and close in opens:
                 break
             close += 1
         if close < len(text) - 1 and text[close] == " " and text[close + 1] == "»":
             close += 2
-        if enclosed(m.start()) and not any(m.end() <= b < close for _, b in inside):
+        if covered[m.start()] and closes.isdisjoint(range(m.end(), close)):
             continue
-        if enclosed(close):
+        if covered[close]:
             continue
         nodes.append((close, "mark", m.start(), m.end(), close))
     for m in _LINE.finditer(text):
-        if not enclosed(m.start()) or text.count("\n", m.start(), m.end()) > 1:
+        if not covered[m.start()] or text.count("\n", m.start(), m.end()) > 1:
             nodes.append((m.start(), "line", m.start(), m.end(), m.start()))
     if _THAI.search(text):
         for m in re.finditer("(?<=[฀-๿0-9)\\]”\"])[ \t]+(?=[฀-๿A-Z\"“])", text):
-            if not enclosed(m.start()):
+            if not covered[m.start()]:
                 nodes.append((m.start(), "gap", m.start(), m.end(), m.start()))
     nodes.sort()
     cuts, unit = [], 0
-    pending = 0.0
     for at, kind, start, end, close in nodes:
         if at <= unit:
             continue
@@ -324,12 +326,11 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
         elif kind == "line":
             score = _line_score(text, unit, start, end)
         else:
-            left = text[unit:start]
+            left = text[max(unit, start - NEAR) : start]
             score = _thai_gap(left, text[end : end + 60]) if _THAI.search(left[-40:]) else -3.0
         # a span without letters or digits is no sentence of its own
         if score > 0 and not any(c.isalnum() for c in text[unit:at]):
             score -= 10.0
-        pending = max(pending, score)
         if score > 0:
             cuts.append(at)
             unit = at
