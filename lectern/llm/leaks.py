@@ -5,10 +5,14 @@ are embedded by a random walk that turns edit distance into Hamming distance (CG
 walk writes the word it stands on and moves on, or not, by a random bit of step and word. Repeated
 samples of the embedding's places are keys of as many hash tables; a window whose key stands in the
 table of the held-out side is a candidate. Candidates are verified exactly: by the longest run of equal
-words on their diagonal, and by the edit distance of the neighbourhoods.
+words on their diagonal.
 
 Equal windows have equal embeddings, so a run of ``RUN`` equal words is always found: it holds one
 corpus window entirely.
+
+Edited passages are not left to the chance of the tables. A stretch of a held-out text with few edits
+holds some equal words in a row (``least_seed``), so short runs, taken at every word on both sides, find
+all of them, and edit distances grown from the run to both sides decide: the recall is 1 by construction.
 """
 
 from __future__ import annotations
@@ -25,11 +29,15 @@ from .text import letter_words, mix, ragged, within
 RUN = 12
 WINDOW, STRIDE = 8, 5
 STEPS, TABLES, SAMPLE = 24, 4, 7
-#: Words around a candidate that are compared.
+#: Words around a candidate that are compared; edits are allowed as a share of so many words.
 BEFORE, SPAN = 4, 16
 #: Held-out texts that are searched for in one pass over the corpus.
 BLOCK = 5000
 WORDS_AT_ONCE = 400_000
+#: Runs that are grown at a time.
+GROWN_AT_ONCE = 50_000
+#: Words of a held-out text that an edited stretch has: a longer one holds one of this size with no greater share of edits.
+STRETCH = 2 * RUN - 1
 
 assert RUN >= WINDOW + STRIDE - 1 and BEFORE >= STRIDE - 1 and SPAN >= BEFORE + RUN
 
@@ -74,11 +82,8 @@ class Index:
         self.order = [np.argsort(k, kind="stable") for k in keys]
         self.keys = [k[o] for k, o in zip(keys, self.order)]
 
-    def search(self, words: np.ndarray, begins: np.ndarray, ends: np.ndarray, edited: bool) -> tuple[np.ndarray, ...]:
-        """For the candidates: row, held-out text, longest equal run, edits among ``SPAN`` words.
-
-        Edits are counted only if ``edited``, and stand at ``SPAN`` otherwise.
-        """
+    def search(self, words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For the candidates: row, held-out text, longest equal run."""
         n = np.maximum((ends - begins - WINDOW) // STRIDE + 1, 0)
         row = np.repeat(np.arange(len(begins)), n)
         at = np.repeat(begins, n) + within(n) * STRIDE
@@ -104,34 +109,121 @@ class Index:
         for j in range(SPAN):
             run = np.where(equal[:, j], run + 1, 0)
             best = np.maximum(best, run)
-        if not edited:
-            return row, of, best, np.full(len(row), SPAN, dtype=np.int32)
-        return row, of, best, _edits(np.where(in_here, a, np.uint64(1)), np.where(in_there, b, np.uint64(2)))
-
-
-def _edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Edit distances of the rows of a and b, all rows at a time."""
-    n, m = a.shape
-    row = np.tile(np.arange(m + 1, dtype=np.int16), (n, 1))
-    for i in range(m):
-        new = np.empty_like(row)
-        new[:, 0] = i + 1
-        swap = row[:, :-1] + (a[:, i : i + 1] != b)
-        up = row[:, 1:] + 1
-        least = np.minimum(swap, up)
-        for j in range(m):
-            new[:, j + 1] = np.minimum(least[:, j], new[:, j] + 1)
-        row = new
-    return row[:, -1].astype(np.int32)
+        return row, of, best
+
+
+class Edited:
+    """Stretches of held-out texts of at least ``RUN`` words, with at most ``most`` edits per ``SPAN`` words."""
+
+    def __init__(self, index: Index, most: int) -> None:
+        self.index, self.most, self.seed = index, most, least_seed(most)
+        sizes = index.ends - index.begins
+        n = np.where(sizes >= RUN, np.maximum(sizes - self.seed + 1, 0), 0)
+        of = np.repeat(np.arange(len(sizes)), n)
+        at = np.repeat(index.begins, n) + within(n)
+        keys = _runs(index.words, at, self.seed)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at, self.of = keys[order], at[order], of[order]
+
+    def search(self, words: np.ndarray, begins: np.ndarray, ends: np.ndarray):
+        """Row, held-out text and edits of the stretches, some at a time."""
+        n = np.maximum(ends - begins - self.seed + 1, 0)
+        row = np.repeat(np.arange(len(begins)), n)
+        at = np.repeat(begins, n) + within(n)
+        if not len(at) or not len(self.at):
+            return
+        key = _runs(words, at, self.seed)
+        lo, hi = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+        hits = np.flatnonzero(hi > lo)
+        lo, ends_of = lo[hits], np.cumsum((hi - lo)[hits])
+        for first in range(0, int(ends_of[-1]) if len(hits) else 0, GROWN_AT_ONCE):
+            nth = np.arange(first, min(first + GROWN_AT_ONCE, int(ends_of[-1])))
+            h = np.searchsorted(ends_of, nth, "right")
+            q = hi[hits[h]] - (ends_of[h] - nth)
+            r, i, j, of = row[hits[h]], at[hits[h]], self.at[q], self.of[q]
+            # a run that goes on to the left is left to its begin: a stretch moved there has no more edits
+            same = (i == begins[r]) | (j == self.index.begins[of]) | (words[i - 1] != self.index.words[j - 1])
+            for k in range(self.seed):
+                same &= words[i + k] == self.index.words[j + k]
+            r, i, j, of = r[same], i[same], j[same], of[same]
+            edits = self._grown(words, i, begins[r], ends[r], j, self.index.begins[of], self.index.ends[of])
+            good = edits < FAR
+            yield r[good], of[good], edits[good]
+
+    def _grown(self, words, i, i0, i1, j, j0, j1) -> np.ndarray:
+        """Fewest edits of a stretch that holds the run at i of the row and j of the held-out text; ``FAR``
+        if it has none with few enough edits."""
+        reach = STRETCH - self.seed
+        right = self._side(words, i + self.seed, i1 - i - self.seed, j + self.seed, j1 - j - self.seed, 1, reach)
+        left = self._side(words, i - 1, i - i0, j - 1, j - j0, -1, reach)
+        best = np.full(len(i), FAR, dtype=np.int8)
+        for a in range(reach + 1):
+            for b in range(max(0, RUN - self.seed - a), reach - a + 1):
+                edits = left[a] + right[b]
+                allowed = self.most * (a + self.seed + b) // SPAN
+                np.minimum(best, np.where(edits <= allowed, edits, FAR), out=best)
+        return best
+
+    def _side(self, words, i, here, j, there, way: int, reach: int) -> list[np.ndarray]:
+        """Edits of the next 0, 1, ... words of the held-out text against any number of words of the row."""
+        band = self.most * STRETCH // SPAN
+        other = self.index.words
+        start = np.maximum(np.arange(-band, band + 1), 0).astype(np.int8)
+        start[:band] = FAR
+        cost = [np.full(len(i), x, dtype=np.int8) for x in start]
+        column = {}
+
+        def word(c: int):
+            if c not in column:
+                column[c] = words[np.clip(i + way * c, 0, len(words) - 1)], (here > c) & (c >= 0)
+            return column[c]
+
+        out = [np.zeros(len(i), dtype=np.int8)]
+        for b in range(reach):
+            mine = other[np.clip(j + way * b, 0, len(other) - 1)]
+            new = []
+            for k in range(2 * band + 1):
+                theirs, held = word(b + k - band)
+                least = cost[k] + ~(held & (theirs == mine))
+                if k < 2 * band:
+                    least = np.minimum(least, cost[k + 1] + np.int8(1))
+                if k:
+                    least = np.minimum(least, new[-1] + np.int8(1))
+                new.append(np.minimum(least, FAR).astype(np.int8))
+            column.pop(b - band, None)
+            cost = new
+            fewest = cost[0]
+            for x in cost[1:]:
+                fewest = np.minimum(fewest, x)
+            out.append(np.where(there > b, fewest, FAR).astype(np.int8))
+        return out
+
+
+#: More edits than any stretch may have.
+FAR = np.int8(60)
+
+
+def least_seed(most: int) -> int:
+    """Equal words in a row that every stretch of ``RUN`` to ``STRETCH`` words has at the most edits."""
+    edits = {n: most * n // SPAN for n in range(RUN, STRETCH + 1)}
+    return max(1, min(-(-(n - e) // (e + 1)) for n, e in edits.items()))
+
+
+def _runs(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    key = np.zeros(len(at), dtype=np.uint64)
+    for k in range(size):
+        key = mix(key * np.uint64(3) + words[at + k])
+    return key
 
 
 def leaked(corpus: DataFrame, held_out: DataFrame, key: str, name: str, most_edits: int = -1) -> DataFrame:
     """Corpus rows that hold parts of held-out texts.
 
     ``corpus`` has ``key`` and ``text``; ``held_out`` has ``name`` and ``passage``. Result: ``key``,
-    ``name``, ``run`` (longest run of equal words seen, at most ``SPAN``) and ``edits`` (fewest edits
-    among ``SPAN`` words), one row per pair with a run of ``RUN`` or at most ``most_edits`` edits. If that
-    is negative, only runs count, and no edits are counted.
+    ``name``, ``run`` (longest run of equal words seen by the tables, at most ``SPAN``) and ``edits`` (fewest
+    in a stretch of at least ``RUN`` words; ``SPAN`` if none was seen), one row per pair with a run of ``RUN``
+    or a stretch of ``RUN`` words or more with at most ``most_edits`` edits per ``SPAN`` words of it. Words
+    outside the stretch do not count. If that is negative, only runs count, and no edits are counted.
 
     Defined cases: null, empty and short texts on either side match nothing; a passage that several
     names share is reported under each; repeated rows count once. The held-out side is the query
@@ -149,6 +241,7 @@ def leaked(corpus: DataFrame, held_out: DataFrame, key: str, name: str, most_edi
 
         def run(batches, block=block):
             index = Index(block)
+            edited = Edited(index, most_edits) if most_edits >= 0 else None
             names = pa.array(index.names, pa.string())
             for b in batches:
                 flat, borders = ragged(b.column(1))
@@ -158,13 +251,18 @@ def leaked(corpus: DataFrame, held_out: DataFrame, key: str, name: str, most_edi
                     stop = max(start + 1, int(np.searchsorted(borders, borders[start] + WORDS_AT_ONCE, "right")) - 1)
                     stop = min(stop, b.num_rows)
                     base = borders[start]
-                    row, of, best, edits = index.search(flat[base : borders[stop]], borders[start:stop] - base, borders[start + 1 : stop + 1] - base, most_edits >= 0)
-                    good = (best >= RUN) | (edits <= most_edits)
-                    row, of, best, edits = row[good], of[good], best[good], edits[good]
-                    pair, where = np.unique(row * len(block) + of, return_inverse=True)
+                    part = flat[base : borders[stop]], borders[start:stop] - base, borders[start + 1 : stop + 1] - base
+                    row, of, best = index.search(*part)
+                    near = list(edited.search(*part)) if edited else []
+                    close = np.concatenate([np.empty(0, dtype=np.int64), *(r * len(block) + o for r, o, _ in near)])
+                    seen = row * len(block) + of
+                    seen_good = (best >= RUN) | np.isin(seen, close)
+                    seen, best = seen[seen_good], best[seen_good]
+                    pair = np.unique(np.concatenate([seen, close]))
                     longest, fewest = np.zeros(len(pair), dtype=np.int32), np.full(len(pair), SPAN, dtype=np.int32)
-                    np.maximum.at(longest, where, best.astype(np.int32))
-                    np.minimum.at(fewest, where, edits)
+                    np.maximum.at(longest, np.searchsorted(pair, seen), best.astype(np.int32))
+                    if near:
+                        np.minimum.at(fewest, np.searchsorted(pair, close), np.concatenate([e for *_, e in near]).astype(np.int32))
                     if len(pair):
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(start + pair // len(block))), names.take(pa.array(pair % len(block))), pa.array(longest), pa.array(fewest)], names=[key, name, "run", "edits"])
                     start = stop

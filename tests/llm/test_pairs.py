@@ -115,3 +115,39 @@ def test_leaks(spark):
     near_copy = " ".join(x if i % 13 else "changed" for i, x in enumerate(held[3][1].split()))
     fuzzy = leaked(spark.createDataFrame([(1, near_copy)], "doc_id long, text string"), q, "doc_id", "question_id", most_edits=3)
     assert {x.question_id for x in fuzzy.collect()} >= {"q3"}
+
+
+def edited_share(doc, passage, most):
+    """Brute force: some stretch of 12 words or more of the passage is in doc with most / 16 edits a word."""
+    for j in range(len(passage) - RUN + 1):
+        row = [0] * (len(doc) + 1)
+        for n, w in enumerate(passage[j:], 1):
+            new = [n]
+            for c, x in enumerate(doc, 1):
+                new.append(min(row[c - 1] + (x != w), row[c] + 1, new[-1] + 1))
+            row = new
+            if n >= RUN and min(row) * 16 <= most * n:
+                return True
+    return False
+
+
+def test_edited_passages_are_all_found(spark):
+    r = random.Random(11)
+    words = [f"v{i}" for i in range(400)]
+    held = [(f"q{i}", [r.choice(words) for _ in range(n)]) for i, n in enumerate([12, 12, 14, 16, 16, 25, 25, 40, 40, 60])]
+    docs = []
+    for i in range(150):
+        p = list(r.choice(held)[1])
+        every, kind = r.randint(3, 10), r.randrange(3)
+        for k in reversed(range(r.randrange(every), len(p), every)):
+            p[k : k + 1] = [[r.choice(words)], [], [p[k], r.choice(words)]][kind]
+        docs.append((i, [r.choice(words) for _ in range(r.randint(0, 9))] + p + [r.choice(words) for _ in range(r.randint(0, 9))]))
+    one = list(held[0][1])
+    one[6] = "changed"
+    docs.append((900, one))
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string")
+    q = spark.createDataFrame([(k, " ".join(w)) for k, w in held], "question_id string, passage string")
+    for most in (2, 4):
+        got = {tuple(x) for x in leaked(d, q, "doc_id", "question_id", most_edits=most).select("doc_id", "question_id").collect()}
+        assert got == {(k, n) for k, w in docs for n, p in held if edited_share(w, p, most)}
+        assert (900, "q0") in got
