@@ -10,11 +10,15 @@ The filter is trained here, on a bounded sample of declared rows: at most ``TRAI
 language. Declarations may be wrong: an n-gram belongs to a language only if it is not much rarer there
 than elsewhere, and a second round drops rows that the first contradicts. Texts are read as intended:
 wrong decodings are undone and look-alikes folded before.
+
+A text with too few n-grams to decide by them is read by all it has: its letters, its n-grams, what it is
+declared as, and how many rows the languages have (``brief``).
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,10 @@ CHAIN_GAIN = 9.0
 #: Letters of a piece that make a sentence of another language.
 SENTENCE_LETTERS, WIDE_LETTERS = 16, 7
 LEAST_SHARE, LEAST_MARGIN = 0.3, 0.06
+#: N-grams of a text of one piece from which they alone decide.
+LEAST_GRAMS, LEAST_WIDE = 6, 4
+#: How much likelier than another a language is for being declared, where little else tells.
+DECLARED = 8.0
 
 
 def code(c: Column) -> Column:
@@ -73,7 +81,7 @@ def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Filters:
     """The trained filter: ``masks`` by slot, the languages by bit, and chance hits by language."""
 
-    def __init__(self, texts: list[str], labels: list[str]) -> None:
+    def __init__(self, texts: list[str], labels: list[str], rows: dict[str, int] | None = None) -> None:
         self.langs = sorted(set(labels))
         number = {x: i for i, x in enumerate(self.langs)}
         y = np.array([number[x] for x in labels], dtype=np.int64)
@@ -88,6 +96,31 @@ class Filters:
             self._fit(h[use], y[who[use]])
             shares = self._shares(self._look(h), who, len(texts))
             keep = shares.argmax(1) == y if len(texts) else keep
+        rows = rows or {}
+        self.prior = np.log(np.array([rows.get(x, 1) for x in self.langs], dtype=float) + 1.0)
+        # how often each language uses each letter; letters alone tell scripts apart
+        seen: dict[str, np.ndarray] = {}
+        for text, i, good in zip(texts, y, keep):
+            if good:
+                for ch, n in Counter(text).items():
+                    if ch.isalpha():
+                        seen.setdefault(ch, np.zeros(len(self.langs)))[i] += n
+        total = np.maximum(sum(seen.values()), 1.0) if seen else 1.0
+        self.letters = {ch: np.log(v / total + 1e-6) for ch, v in seen.items()}
+
+    def brief(self, pieces: list[str], shares: np.ndarray, sizes: np.ndarray, declared: str | None) -> dict[str, tuple[int, float]]:
+        """The language of a text too short for its n-grams to decide, with the confidence that all it
+        has allows; none if it has no letter."""
+        letters = sorted({ch for p in pieces for ch in p.lower() if ch.isalpha()})
+        if not letters or not self.langs:
+            return {}
+        sure = self.prior + sum(self.letters.get(ch, 0.0) for ch in letters)
+        sure = sure + (sizes[:, None] * np.log(shares + 0.05)).sum(0)
+        if declared in self.langs:
+            sure[self.langs.index(declared)] += np.log(DECLARED)
+        sure = np.exp(sure - sure.max())
+        best = int(sure.argmax())
+        return {self.langs[best]: (max(1, int(sizes.sum())), float(sure[best] / sure.sum()))}
 
     def _fit(self, h: np.ndarray, y: np.ndarray) -> None:
         n = len(self.langs)
@@ -164,11 +197,11 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
     part = F.create_map(*[F.lit(x) for k, n in many.items() for x in (k, min(1.0, TRAIN_ROWS / n))])
     share = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     taken = rows.where(share < F.element_at(part, F.col("lang"))).limit(2 * TRAIN_ROWS * len(CODES)).toPandas().sort_values(["lang", "text"])
-    return Filters(taken["text"].tolist(), taken["lang"].tolist())
+    return Filters(taken["text"].tolist(), taken["lang"].tolist(), many)
 
 
 def decide(shares: np.ndarray, sizes: np.ndarray, langs: list[str]) -> dict[str, tuple[int, float]]:
-    """Languages of the pieces of one text: n-grams and confidence of each."""
+    """Languages of the pieces of one text: n-grams and confidence of each; none where the n-grams are too few."""
     order = np.sort(shares, 1)
     top = shares.argmax(1)
     margin = order[:, -1] - (order[:, -2] if shares.shape[1] > 1 else 0.0)
@@ -188,18 +221,19 @@ def decide(shares: np.ndarray, sizes: np.ndarray, langs: list[str]) -> dict[str,
         if i != main and sizes[mine].max() < enough:
             continue
         mean = (shares[mine] * sizes[mine][:, None]).sum(0) / max(1, sizes[mine].sum())
-        if mean[i] <= 0 or (i == main and sizes[mine].max() < (4 if wide else 6) and len(lang) == 1):
+        if mean[i] <= 0 or (i == main and sizes[mine].max() < (LEAST_WIDE if wide else LEAST_GRAMS) and len(lang) == 1):
             continue
         cube = mean**3
         out[langs[i]] = (int(sizes[mine].sum()), float(cube[i] / cube.sum()))
     return out
 
 
-def identify(df: DataFrame, key: str, text: str = "text", lang: str = "lang") -> DataFrame:
+def identify(df: DataFrame, key: str, text: str = "text", lang: str = "lang", short: bool = True) -> DataFrame:
     """One row per text and language in it: ``key``, ``declared`` (as a code), ``lang``, ``share`` of
     the text, ``confidence``, ``languages`` (how many) and ``chars`` (length as stored).
 
-    Defined cases: null and blank texts, and texts without letters of a known language, have no row;
+    Defined cases: null and blank texts, and texts without letters outside of codes, have no row; texts of
+    too few n-grams have one of lower confidence, by letters, declaration and pool, or none if not ``short``;
     a row repeated in full counts once; unknown declarations are null; with nothing declared
     anywhere there is nothing to learn from and no row. Texts of any length are read whole.
     """
@@ -228,6 +262,8 @@ def identify(df: DataFrame, key: str, text: str = "text", lang: str = "lang") ->
                 at = 0
                 for i, c in enumerate(cut):
                     found = decide(shares[at : at + len(c)], sizes[at : at + len(c)], langs) if c else {}
+                    if short and not found and c:
+                        found = filters.brief(c, shares[at : at + len(c)], sizes[at : at + len(c)], declared[start + i])
                     at += len(c)
                     whole = sum(n for n, _ in found.values())
                     for name, (n, sure) in found.items():
@@ -247,7 +283,7 @@ def p5_parts(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "segments").where(F.length("text") >= 40)
-    out = identify(rows, "segment_id")
+    out = identify(rows, "segment_id", short=False)
     return out.where((F.col("languages") > 1) | ~F.col("lang").eqNullSafe(F.col("declared"))).select("segment_id", "lang").distinct()
 
 

@@ -132,3 +132,14 @@ def test_abuse(spark):
     assert got[1000] > 0.5 > got[1001] and got[1002] == got[1003] == 0.0
     assert sum((got[i] > 0.5) == (i % 3 == 0) for i in range(240)) > 230
     assert {x.score for x in score_documents(d, spark.createDataFrame([], "doc_id long, reviewer string, label string")).collect()} == {0.0}
+
+
+def test_short_texts_have_a_language(spark):
+    rows = [(f"r{i}", t, c) for i in range(25) for t, c in ((EN, "en"), (FR, "French"), (DE, "de-AT"), (RU, "rus"))]
+    short = [("ok", "ok", "en"), ("note", "see note", None), ("ru", "да", None), ("de", "Lager", "de"), ("one", "é", "fr"), ("odd", "zq", "de"), ("two", "Ja. Ok.", "de")]
+    df = spark.createDataFrame(rows + short + [("code", "AB-12", "en"), ("digits", "12", "en"), ("mark", "–", "en")], "id string, text string, lang string")
+    got = {r.id: (r.lang, r.confidence) for r in identify(df, "id").collect()}
+    assert {k for k, *_ in short} <= set(got) and not {"code", "digits", "mark"} & set(got)
+    assert (got["ok"][0], got["ru"][0], got["de"][0], got["one"][0], got["odd"][0]) == ("en", "ru", "de", "fr", "de")
+    assert all(0 < got[k][1] <= 1 for k, *_ in short) and got["odd"][1] < got["r0"][1]
+    assert not {r.id for r in identify(df, "id", short=False).collect()} & {"ok", "note", "ru", "odd"}
