@@ -3,11 +3,12 @@
 Spaced scripts: every end mark, and every line break, is a node of a lattice; a node's score weighs
 what stands before it (abbreviations, initials, numbers) and after it (case, openers), the spans
 between nodes are scored too (a span without letters is no sentence), marks inside paired quotes and
-brackets are no nodes, and the best path through the lattice gives the sentences.
+brackets are no nodes, and the best path through the lattice, found by dynamic programming over the sums
+of both, gives the sentences.
 
-Spaceless scripts: words are found on a lattice of dictionary words; gaps (blanks and line breaks, in
-Thai the only marks there are) are then classified by the particles and words that end the left side
-and the words that open the right side.
+Spaceless scripts: words are found on a lattice of dictionary words of whole runs; gaps (blanks, in Thai
+line breaks too) are then classified by the particles and words that end the left side and the words that
+open the right side. The dictionaries are the fixed lists below, not learned from the corpus.
 """
 
 from __future__ import annotations
@@ -43,10 +44,20 @@ TH_OPEN = "นอกจากนี้ อย่างไรก็ตาม อ
 TH_SUBJECT = "คณะ คณะกรรมการ ฝ่าย แผนก ทีม สำนักงาน สำนัก หอ หอจดหมายเหตุ โรง ผู้ ผู้ตรวจ ผู้ดูแล ผู้รับเหมา ยาม เลขานุการ บริษัท กลุ่ม กรม กอง งาน หน่วย ศูนย์ สภา เจ้าหน้าที่ พนักงาน นาย นาง นางสาว ห้อง ช่าง ตัวแทน ผู้แทน สถาบัน องค์การ พิพิธภัณฑ์ ท่าเรือ ประธาน กรรมการ นัก เรา เขา พวกเขา ฉัน ผม ใคร".split()
 TH_GO_ON = "เลขที่ เมื่อ เมื่อวันที่ ใน ก่อน หลัง หลังจาก โดย แม้ แม้ว่า เพราะ เพื่อ ที่ ซึ่ง อัน และ หรือ แต่ กับ จาก ของ ถึง สำหรับ ระหว่าง ตาม ล่าช้า ด้วย พร้อม ต่อ แก่ ให้ ว่า ไป มา แล้ว ราว ประมาณ หน้า แฟ้ม ฉบับ วันที่ เวลา ณ ภาย เนื่อง จน ทุก ครั้ง".split()
 TH_MONTHS = "มกราคม กุมภาพันธ์ มีนาคม เมษายน พฤษภาคม มิถุนายน กรกฎาคม สิงหาคม กันยายน ตุลาคม พฤศจิกายน ธันวาคม".split()
-#: Particles that end a Thai clause; Japanese forms that end a sentence or go on with a quotation.
+#: Particles that end a Thai clause; Japanese forms that end a sentence in any place, forms that end one or stand before a noun, words that open one, and ones that go on.
 TH_FINAL = "ครับ ค่ะ คะ นะ จ้ะ ไหม หรือไม่ หรือเปล่า".split()
-JA_FINAL = "た だ る う く す です ます ません でした ました か ね よ な い".split()
+JA_FINAL = "です ます ません でした ました ましょう ですか ますか でしたか ましたか ませんでした である であった だった ください ですね ますね ですよ ますよ でしょう だろう".split()
+JA_PLAIN = "た だ る う く す つ む ぬ ぶ ぐ ない か ね よ".split()
+JA_OPEN = "しかし また そして その後 なお ただし 次に それから さらに 一方 そのため したがって だが ところが では つまり 例えば まず 最後に 同日 翌日 当日 私 彼 彼女 我々".split()
+JA_GO_ON = "を は が に の と で も へ や から まで より など という って との ため".split()
 JA_QUOTING = ("と", "って", "という", "との", "を", "は", "が", "に", "の", "、", "，")
+#: Chinese particles that end a sentence, words that no clause ends with, words that open a sentence, and ones that go on with it.
+ZH_FINAL = "了 吗 呢 吧 啊 呀 嗎".split()
+ZH_JOINING = "和 与 與 及 或 的 在 从 從 对 對 为 為 把 被 将 將 由 给 給 向 是 以 并 並 因 于 於".split()
+ZH_OPEN = "但是 但 因此 所以 此外 另外 然而 同时 同時 随后 隨後 之后 接着 最后 最後 首先 其次 然后 然後 我们 我們 他们 他們 他 她 这 這 该 該 本 由于 由於 为了 為了 根据 根據 如果 虽然 雖然 不过 不過 目前 当时 當時 次日 今天 昨天 明天".split()
+ZH_GO_ON = "的 了 和 与 與 及 或 等 之 而 以及 并 並 地 得".split()
+#: Characters on both sides of a blank from which Chinese clauses, with nothing else to tell, are two.
+ZH_CLAUSE = 6
 
 OPENERS, CLOSERS = "“‘«„‹「『（(【《〈[", "”’»“›」』）)】》〉]"
 _PAIR = {"“": "”", "«": "»", "„": "“”", "‹": "›", "「": "」", "『": "』", "（": "）", "(": ")", "【": "】", "《": "》", "〈": "〉", "[": "]", "‘": "’"}
@@ -56,9 +67,13 @@ _LINE = re.compile(r"[ \t\r　]*\n[\s]*")
 _CLOSING = "”’»“›」』）)】》〉]\"'*_`"
 _THAI = re.compile("[฀-๿]")
 _EAST = re.compile("[぀-ヿ㐀-鿿ｦ-ﾟ]")
+_KANA = re.compile("[぀-ヿｦ-ﾟ]")
+_EAST_RUN = re.compile("[぀-ヿ㐀-鿿ｦ-ﾟ々]+")
+_EAST_GAP = re.compile(r"(?<=[぀-ヿ㐀-鿿ｦ-ﾟ々])[ \t　]+(?=[぀-ヿ㐀-鿿ｦ-ﾟ])")
+_SOUND = re.compile(r"[^\W_]")
 _CASELESS = re.compile("[؀-ۿऀ-ॿ]")
 _WORD = re.compile(r"[^\W\d_]+(?:[.'’][^\W\d_]+)*", re.UNICODE)
-_BULLET = re.compile(r"(?:[-*•–—▪◦>|#]+[ \t]|\d{1,3}[.)][ \t]+[^\W\d_]|[a-z]\)[ \t]|```|R-\d|\||\{)")
+_BULLET = re.compile(r"(?:[-*•–—▪◦>|#]+[ \t]|\d{1,3}[.)][ \t]+(?!(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b)[^\W\d_]|[a-z]\)[ \t]|```|R-\d|\||\{)")
 _CODE = re.compile(r"[\[(]?(?:[A-Z]{1,3}-\d+|[A-Z]?\d+[./]\d+|\d+)[\])]?$")
 _NOISE = r"(?:[\[(](?:[A-Z]{1,3}-\d+|[A-Z]?\d+[./]\d+)[\])]|[A-Z]{1,3}-\d+|[A-Z]?\d+[./]\d+)"
 _SKIP = re.compile(rf"[\s\"'“‘«„‹「『【《〈¿¡*_`—–-]*(?:{_NOISE}\s+)*[\s\"'“‘«„‹「『（(【《〈\[¿¡*_`—–-]*")
@@ -125,15 +140,52 @@ class Words:
 
 
 _THAI_WORDS = Words([*TH_OPEN, *TH_SUBJECT, *TH_GO_ON, *TH_MONTHS, *TH_FINAL])
+_JA_WORDS = Words([*JA_FINAL, *JA_PLAIN, *JA_OPEN, *JA_GO_ON])
+_ZH_WORDS = Words([*ZH_FINAL, *ZH_JOINING, *ZH_OPEN, *ZH_GO_ON])
+
+
+def _first_word(words: Words, run: str) -> str:
+    """The first dictionary word of a run; empty if it begins with none."""
+    word = words.cut(run)[0] if run else ""
+    return word if word in words.words else ""
+
+
+def _last_word(words: Words, run: str) -> str:
+    word = words.cut(run)[-1] if run else ""
+    return word if word in words.words else ""
 
 
 def _first_thai(right: str) -> str:
-    """The first dictionary word of the right side; empty if it begins with none."""
     head = re.match("[฀-๿]+", right)
-    if not head:
-        return ""
-    word = _THAI_WORDS.cut(head[0][:24])[0]
-    return word if word in _THAI_WORDS.words else ""
+    return _first_word(_THAI_WORDS, head[0] if head else "")
+
+
+def _east_gap(left: str, right: str) -> float:
+    """How well a Chinese or Japanese sentence ends at a blank."""
+    left, right = _EAST_RUN.findall(left)[-1:], _EAST_RUN.match(right)
+    if not left or not right:
+        return -5.0
+    run, rest = left[0], right[0]
+    if _KANA.search(run) or _KANA.search(rest):
+        # only endings and openings are looked up: kanji between them are no words of the dictionary
+        last = next((w for w in sorted([*JA_FINAL, *JA_PLAIN], key=len, reverse=True) if run.endswith(w)), "") if _last_word(_JA_WORDS, run) else ""
+        first = _first_word(_JA_WORDS, rest)
+        if first in JA_GO_ON or not last:
+            return -5.0 if first in JA_GO_ON else -3.0
+        if last in JA_FINAL:
+            return 4.0
+        # a plain form may stand before a noun, unless what follows opens or is a sentence
+        return 2.0 if first in JA_OPEN or rest.endswith((*JA_FINAL, *JA_PLAIN)) and min(len(run), len(rest)) > ZH_CLAUSE else -2.0
+    last, first = _last_word(_ZH_WORDS, run), _first_word(_ZH_WORDS, rest)
+    if first in ZH_GO_ON:
+        return -5.0
+    if last in ZH_JOINING:
+        return -4.0
+    if min(len(run), len(rest)) < ZH_CLAUSE // 2:
+        return -2.0
+    if last in ZH_FINAL or first in ZH_OPEN:
+        return 3.0
+    return 1.0 if min(len(run), len(rest)) >= ZH_CLAUSE else -2.0
 
 
 def _thai_gap(left: str, right: str) -> float:
@@ -153,7 +205,8 @@ def _thai_gap(left: str, right: str) -> float:
         return 4.0
     if word in TH_SUBJECT:
         return 3.0
-    if any(last.endswith(x) for x in TH_FINAL):
+    ending = re.search("[฀-๿]+$", last)
+    if ending and _last_word(_THAI_WORDS, ending[0]) in TH_FINAL:
         return 3.0
     if word in TH_GO_ON:
         return -3.0
@@ -281,6 +334,80 @@ def _line_score(text: str, unit: int, start: int, end: int) -> float:
     return 3.0 if len(words) <= 8 else -1.5
 
 
+def _kind(text: str, unit: int) -> tuple[bool, bool]:
+    """What the score of a far line break takes from where its unit begins."""
+    head = text[unit : unit + 12].lstrip()
+    return bool(_BULLET.match(head)), head[:1].islower()
+
+
+def _best_path(text: str, nodes: list[tuple[int, str, int, int, int]]) -> list[int]:
+    """The cuts of the path with the greatest sum of node and span scores.
+
+    The score of a node may depend on where the span that it ends begins; there is a way from one to the
+    other only if it is positive. A span without letters or digits
+    pays for that, and a span that runs over a good end pays what that end was worth to it. Beginnings
+    farther than ``REACH`` count by the best one of each kind.
+    """
+    places, values, backs, paid = [0], [0.0], [-1], [0.0]
+    far: dict[tuple[bool, bool], int] = {}
+    passed = 0
+
+    def step(score, at: int, unit: int) -> float:
+        value = score(unit)
+        # a span without letters or digits is no sentence of its own
+        return value - 10.0 if not _SOUND.search(text, unit, at) else value
+
+    def arrive(at: int, score) -> tuple[float, int]:
+        nonlocal passed
+        while passed < len(places) and places[passed] < at - REACH:
+            kind = _kind(text, places[passed])
+            if kind not in far or values[passed] - paid[passed] >= values[far[kind]] - paid[far[kind]]:
+                far[kind] = passed
+            passed += 1
+        found = (-1e9, -1)
+        for k in [*far.values(), *range(passed, len(places))]:
+            if places[k] < at:
+                worth = step(score, at, places[k])
+                if worth > 0 or at == len(text):
+                    found = max(found, (values[k] - paid[k] + worth, k))
+                    paid[k] += worth
+        return found
+
+    for at, kind, start, end, close in nodes:
+        if not 0 < at < len(text):
+            continue
+        if kind == "mark":
+            fixed = _mark_score(text, start, end, close)
+        elif kind == "east":
+            fixed = _east_gap(text[max(0, start - NEAR) : start], text[end : end + NEAR])
+        if kind == "line":
+            score = lambda unit: _line_score(text, unit, start, end)  # noqa: B023, E731
+        elif kind == "gap":
+            right = text[end : end + 60]
+            score = lambda unit: _thai_gap(left, right) if _THAI.search((left := text[max(unit, start - NEAR) : start])[-40:]) else -3.0  # noqa: B023, E731
+        else:
+            score = lambda unit: fixed  # noqa: B023, E731
+        if kind in ("mark", "east") and fixed <= 0:
+            continue
+        value, back = arrive(at, score)
+        if back < 0:
+            continue
+        if places[-1] == at:
+            if value > values[-1]:
+                values[-1], backs[-1] = value, back
+        else:
+            places.append(at)
+            values.append(value)
+            backs.append(back)
+            paid.append(0.0)
+    _, k = arrive(len(text), lambda unit: 0.0)
+    cuts = []
+    while k > 0:
+        cuts.append(places[k])
+        k = backs[k]
+    return cuts[::-1]
+
+
 def sentences(text: str | None) -> list[tuple[int, int]]:
     """Places of the sentences of a text, blanks at the ends left out; none for null and blank text.
 
@@ -316,24 +443,12 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
         for m in re.finditer("(?<=[฀-๿0-9)\\]”\"])[ \t]+(?=[฀-๿A-Z\"“])", text):
             if not covered[m.start()]:
                 nodes.append((m.start(), "gap", m.start(), m.end(), m.start()))
+    if _EAST.search(text):
+        for m in _EAST_GAP.finditer(text):
+            if not covered[m.start()]:
+                nodes.append((m.start(), "east", m.start(), m.end(), m.start()))
     nodes.sort()
-    cuts, unit = [], 0
-    for at, kind, start, end, close in nodes:
-        if at <= unit:
-            continue
-        if kind == "mark":
-            score = _mark_score(text, start, end, close)
-        elif kind == "line":
-            score = _line_score(text, unit, start, end)
-        else:
-            left = text[max(unit, start - NEAR) : start]
-            score = _thai_gap(left, text[end : end + 60]) if _THAI.search(left[-40:]) else -3.0
-        # a span without letters or digits is no sentence of its own
-        if score > 0 and not any(c.isalnum() for c in text[unit:at]):
-            score -= 10.0
-        if score > 0:
-            cuts.append(at)
-            unit = at
+    cuts = _best_path(text, nodes)
     out = []
     for a, b in zip([0, *cuts], [*cuts, len(text)]):
         while a < b and text[a].isspace():

@@ -143,3 +143,48 @@ def test_short_texts_have_a_language(spark):
     assert (got["ok"][0], got["ru"][0], got["de"][0], got["one"][0], got["odd"][0]) == ("en", "ru", "de", "fr", "de")
     assert all(0 < got[k][1] <= 1 for k, *_ in short) and got["odd"][1] < got["r0"][1]
     assert not {r.id for r in identify(df, "id", short=False).collect()} & {"ok", "note", "ru", "odd"}
+
+
+@pytest.mark.parametrize("text,want", [
+    ("会議は昨日終わりました　次の会議は来週です", ["会議は昨日終わりました", "次の会議は来週です"]),
+    ("古い帳簿を倉庫に移した　しかし理由は誰も尋ねなかった", ["古い帳簿を倉庫に移した", "しかし理由は誰も尋ねなかった"]),
+    ("届いた 書類を確認した", ["届いた 書類を確認した"]), ("第一章　総則", ["第一章　総則"]),
+    ("档案馆收到了一批文件 工作人员已经完成登记", ["档案馆收到了一批文件", "工作人员已经完成登记"]),
+    ("议题 预算", ["议题 预算"]), ("他们昨天晚上都在 北京的办公室里面", ["他们昨天晚上都在 北京的办公室里面"]),
+])
+def test_gaps_of_east_asian_text(text, want):
+    assert cut(text) == want
+
+
+def test_best_path_is_the_best_of_all():
+    from itertools import combinations
+
+    from lectern.llm import sentences as m
+
+    r = random.Random(8)
+    differs = 0
+    for _ in range(150):
+        n = r.randint(1, 6)
+        text = "a" * (n + 1)
+        worth = {(u, p): r.choice([-2.0, 1.0, 2.0, 5.0]) for u in range(n + 1) for p in range(u + 1, n + 1)}
+        m_line, m._line_score = m._line_score, lambda t, unit, start, end: worth[unit, start]
+        try:
+            got = m._best_path(text, [(p, "line", p, p, p) for p in range(1, n + 1)])
+        finally:
+            m._line_score = m_line
+
+        def total(cuts):
+            places = [0, *cuts]
+            if any(worth[u, p] <= 0 for u, p in zip(places, places[1:])):
+                return None
+            passed = sum(max(0.0, worth[u, x]) for u, p in zip(places, [*cuts, n + 1]) for x in range(u + 1, p))
+            return sum(worth[u, p] for u, p in zip(places, places[1:])) - passed
+
+        best = max(v for k in range(n + 1) for c in combinations(range(1, n + 1), k) if (v := total(c)) is not None)
+        assert total(got) == best
+        walk = []
+        for p in range(1, n + 1):
+            if worth[walk[-1] if walk else 0, p] > 0:
+                walk.append(p)
+        differs += total(walk) < best
+    assert differs
