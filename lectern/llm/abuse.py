@@ -42,8 +42,8 @@ _HARD = ("insult", "threat", "degrade", "sexual")
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?…\n]+(?:[.!?…]+|\n|$)")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_]){3,}[^\W\d_](?!\w)")
-_MASKED = re.compile(r"(?<![\w*/.-])[^\W\d_]*[*#@$!0134578]+[a-zà-ÿ*@$!0134578]*[a-zà-ÿ$](?![\w/-])|(?<![\w*/.-])[^\W\d_]+[*@$0134578]+(?=[ ,.!?;:]|$)")
-_HINT = re.compile(r"[*$@]|[0134578!][a-zà-ÿ]|[a-zà-ÿ][0134578]|\b[^\W\d_][ .\-_][^\W\d_][ .\-_][^\W\d_][ .\-_][^\W\d_]\b")
+_MASKED = re.compile(r"(?<![\w*/.-])[^\W\d_]*[*#@$!0134578]+[a-zà-ÿ*@$!0134578]*[a-zà-ÿ$](?![\w/-])|(?<![\w*/.-])[^\W\d_]+[*#@$0134578]+(?=[ ,.!?;:]|$)")
+_HINT = re.compile(r"[*$@]|[^\W\d_]#|#[^\W\d_]|[0134578!][a-zà-ÿ]|[a-zà-ÿ][0134578]|\b[^\W\d_][ .\-_][^\W\d_][ .\-_][^\W\d_][ .\-_][^\W\d_]\b")
 _CODE = re.compile(r"[A-Z]{1,2}-?\d+|\d+/\d+|\d+\.\d+")
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _TWICE = re.compile(r"(.)\1+")
@@ -139,11 +139,14 @@ class Features:
                 words.append(w)
                 disguised += 1
         got = [mark(w) for w in words]
-        if len(words) < 2 or not any(b & hard_bits or x > 0.5 for b, x in got):
+        if not any(b & hard_bits or x > 0.5 for b, x in got):
             if not hint:
                 if len(self.cold) > 300_000:
                     self.cold.clear()
-                self.cold.update(_WORD.findall(raw))
+                for w in _WORD.findall(raw):
+                    b, x = mark(w.lower())
+                    if not b & hard_bits and x <= 0.5:
+                        self.cold.add(w)
             return None
         bits = [b for b, _ in got]
         disguised += sum(b >> 30 & 1 for b in bits)

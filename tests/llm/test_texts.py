@@ -188,3 +188,15 @@ def test_best_path_is_the_best_of_all():
                 walk.append(p)
         differs += total(walk) < best
     assert differs
+
+
+def test_abuse_in_one_word_and_behind_a_hash():
+    from lectern.llm.abuse import Features
+
+    f = Features({})
+    alone, you = "Idiot!", "Idiot, you are late."
+    want = Features({}).row(you)
+    assert any(f.row(alone)) and f.row(you) == want and any(want)
+    assert not any(f.row("Closed.")) and "Idiot" not in f.cold
+    assert any(f.row("You are an id#ot, they said.")) and any(f.row("You idio#!"))
+    assert not any(f.row("# Title of the list")) and not any(f.row("Ticket #a12 was closed."))
