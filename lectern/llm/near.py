@@ -292,9 +292,10 @@ def near_duplicates(df: DataFrame, key: str, text: str = "text", width: int = 3,
     return class_pairs(classes, threshold), members
 
 
-def groups(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
+def groups(pairs: DataFrame, members: DataFrame, key: str, alone: bool = False) -> DataFrame:
     """One row per member of a group: ``key``, ``group_id``, ``copies`` (rows of its class) and
-    ``links`` (similar rows, its own copies included).
+    ``links`` (similar rows, its own copies included). If ``alone``, a member without a link is a group
+    of its own, with its class as ``group_id`` and 0 links; otherwise it has no row.
 
     Groups are connected components of the classes, found by passing least labels along links and
     along labels until nothing changes; each round is written to the checkpoint folder.
@@ -311,7 +312,7 @@ def groups(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
             break
     sizes = members.groupBy("cls").agg(F.count("*").alias("copies"))
     reach = links.join(sizes.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("copies").alias("beside"))
-    state = sizes.join(label, "cls", "left").join(reach, "cls", "left").where(F.col("label").isNotNull() | (F.col("copies") > 1))
+    state = sizes.join(label, "cls", "left").join(reach, "cls", "left").where(F.lit(alone) | F.col("label").isNotNull() | (F.col("copies") > 1))
     state = state.select("cls", F.lower(F.hex(F.coalesce("label", "cls"))).alias("group_id"), "copies", (F.col("copies") - 1 + F.coalesce("beside", F.lit(0))).alias("links"))
     return members.join(state, "cls").select(key, "group_id", "copies", "links")
 
@@ -333,9 +334,9 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_groups(spark: SparkSession, d: str) -> DataFrame:
-    """All segments, by five-word shingles and a similarity of 0.8."""
+    """All segments, one row each, by five-word shingles and a similarity of 0.8."""
     pairs, members = near_duplicates(_segments(spark, d).where(F.trim("text") != ""), "segment_id", width=5, threshold=0.8)
-    return groups(pairs, cut(members), "segment_id")
+    return groups(pairs, cut(members), "segment_id", alone=True)
 
 
 QUERIES = {"p7_found": p7_found, "p7_groups": p7_groups}

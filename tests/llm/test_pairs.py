@@ -151,3 +151,11 @@ def test_edited_passages_are_all_found(spark):
         got = {tuple(x) for x in leaked(d, q, "doc_id", "question_id", most_edits=most).select("doc_id", "question_id").collect()}
         assert got == {(k, n) for k, w in docs for n, p in held if edited_share(w, p, most)}
         assert (900, "q0") in got
+
+
+def test_every_segment_has_a_group(spark, tmp_path):
+    texts = ["a b c d e f", "a b c d e f", "g h i j k l", "m"]
+    spark.createDataFrame([(f"s{i}", t) for i, t in enumerate([*texts, None, " "])], "segment_id string, text string").write.parquet(str(tmp_path / "segments.parquet"))
+    rows = {r.segment_id: r for r in near.p7_groups(spark, str(tmp_path)).collect()}
+    assert {k: (r.copies, r.links) for k, r in rows.items()} == {"s0": (2, 1), "s1": (2, 1), "s2": (1, 0), "s3": (1, 0)}
+    assert len({r.group_id for r in rows.values()}) == 3
