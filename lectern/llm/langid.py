@@ -43,6 +43,8 @@ CODES = {n: names.split()[0] for names in _NAMES.strip().split("|") for n in nam
 CHAIN_GAIN = 9.0
 #: Letters of a piece that make a sentence of another language.
 SENTENCE_LETTERS, WIDE_LETTERS = 16, 7
+#: The same for a piece of three words or more with an end mark, if the next language is so much behind.
+ENDED_LETTERS, ENDED_WIDE, ENDED_MARGIN = 7, 4, 0.3
 LEAST_SHARE, LEAST_MARGIN = 0.3, 0.06
 #: N-grams of a text of one piece from which they alone decide.
 LEAST_GRAMS, LEAST_WIDE = 6, 4
@@ -167,6 +169,9 @@ _NAMED = re.compile(r"\b[A-ZÀ-Þ][a-zà-ÿ]+\b")
 _FOREIGN = re.compile(r"[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ ,;.'’\d/()\[\]-]{24,}")
 _NOT_LATIN = re.compile(r"[Ѐ-ӿ؀-ۿऀ-ॿ฀-๿぀-ヿ一-鿿]")
 
+_ENDED = re.compile(r"[.!?…。！？؟۔।][\"'»”’)\]]*\s*$")
+_WIDE = re.compile(r"[฀-๿぀-ヿ一-鿿]")
+
 
 def pieces_of(text: str) -> list[str]:
     """Sentence-like pieces, without codes; runs of Latin words inside other scripts apart."""
@@ -185,6 +190,14 @@ def pieces_of(text: str) -> list[str]:
     return out
 
 
+def ended(piece: str) -> bool:
+    """Whether a piece looks like a whole sentence: an end mark, and words that are no row of names."""
+    words = piece.split()
+    first = [w.lstrip("\"'«“„‘([¿¡")[:1] for w in words]
+    small = sum(c.isalpha() and not c.isupper() for c in first)
+    return bool(_ENDED.search(piece)) and (bool(_WIDE.search(piece)) or len(words) >= 3 and small >= 2)
+
+
 def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
     """Filters from at most ``TRAIN_ROWS`` declared rows per language, taken by hash.
 
@@ -200,7 +213,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
     return Filters(taken["text"].tolist(), taken["lang"].tolist(), many)
 
 
-def decide(shares: np.ndarray, sizes: np.ndarray, langs: list[str]) -> dict[str, tuple[int, float]]:
+def decide(shares: np.ndarray, sizes: np.ndarray, langs: list[str], pieces: list[str] | None = None) -> dict[str, tuple[int, float]]:
     """Languages of the pieces of one text: n-grams and confidence of each; none where the n-grams are too few."""
     order = np.sort(shares, 1)
     top = shares.argmax(1)
@@ -217,9 +230,11 @@ def decide(shares: np.ndarray, sizes: np.ndarray, langs: list[str]) -> dict[str,
     out: dict[str, tuple[int, float]] = {}
     for i in np.unique(lang):
         mine = lang == i
-        enough = WIDE_LETTERS if langs[i] in ("zh", "ja", "th") else SENTENCE_LETTERS
-        if i != main and sizes[mine].max() < enough:
-            continue
+        broad = langs[i] in ("zh", "ja", "th")
+        if i != main and sizes[mine].max() < (WIDE_LETTERS if broad else SENTENCE_LETTERS):
+            short = mine & (sizes >= (ENDED_WIDE if broad else ENDED_LETTERS)) & (margin >= ENDED_MARGIN)
+            if not any(ended(pieces[k]) for k in np.flatnonzero(short)) if pieces else True:
+                continue
         mean = (shares[mine] * sizes[mine][:, None]).sum(0) / max(1, sizes[mine].sum())
         if mean[i] <= 0 or (i == main and sizes[mine].max() < (LEAST_WIDE if wide else LEAST_GRAMS) and len(lang) == 1):
             continue
@@ -261,7 +276,7 @@ def identify(df: DataFrame, key: str, text: str = "text", lang: str = "lang", sh
                 shares, sizes = filters.score([p for c in cut for p in c])
                 at = 0
                 for i, c in enumerate(cut):
-                    found = decide(shares[at : at + len(c)], sizes[at : at + len(c)], langs) if c else {}
+                    found = decide(shares[at : at + len(c)], sizes[at : at + len(c)], langs, c) if c else {}
                     if short and not found and c:
                         found = filters.brief(c, shares[at : at + len(c)], sizes[at : at + len(c)], declared[start + i])
                     at += len(c)

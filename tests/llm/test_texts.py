@@ -200,3 +200,13 @@ def test_abuse_in_one_word_and_behind_a_hash():
     assert not any(f.row("Closed.")) and "Idiot" not in f.cold
     assert any(f.row("You are an id#ot, they said.")) and any(f.row("You idio#!"))
     assert not any(f.row("# Title of the list")) and not any(f.row("Ticket #a12 was closed."))
+
+
+def test_short_sentences_of_another_language(spark):
+    rows = [(f"r{i}", t, c) for i in range(25) for t, c in ((EN, "en"), (FR, "fr"), (DE, "de"), (RU, "ru"))]
+    rows += [("short", EN + " Она там лежала.", "en"), ("heading", EN + "\nОна там", "en"), ("name", EN + " Hofmann Lagerung.", "en")]
+    df = spark.createDataFrame(rows, "id string, text string, lang string")
+    got = {}
+    for r in identify(df, "id").collect():
+        got.setdefault(r.id, set()).add(r.lang)
+    assert (got["short"], got["heading"], got["name"]) == ({"en", "ru"}, {"en"}, {"en"})
