@@ -2,7 +2,7 @@
 
 Words are grouped by the skeleton of their confusable glyphs. The frequent form of a group, by counts
 over all text that is no scan, replaces the forms that do not stand on their own; where a group has
-several, the one that occurs after the word before is taken. Title lines are found by the skeleton of
+several, the most frequent one is taken on all pages, whatever word stands before. Title lines are found by the skeleton of
 their letters with digits masked, counted over the pages of a document. Lines are then reflowed with
 SQL windows.
 """
