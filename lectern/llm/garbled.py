@@ -3,14 +3,16 @@
 A chain is a pair: read as D, written in E. Undoing it turns a word back into bytes by D and decodes
 them by E. For each word with characters beyond ASCII the gain of each chain is how much better
 attested its character triples become, by counts over the whole corpus. The chain of a record is
-latent: expectation maximization estimates, for each pool of records (a media type, a source) and
-without any label, how often each chain occurs there, so evidence too weak in one record counts where
-its pool shows the chain, and each record is repaired by the most probable chain.
+latent: expectation maximization estimates, for each source and field (media type) and without any
+label, how often each chain occurs there, so evidence too weak in one record counts where its pool
+shows the chain, and each record is repaired by the most probable chain. The counts are estimated
+anew without the garbled records.
 """
 
 from __future__ import annotations
 
 import codecs
+import math
 import re
 from collections import defaultdict
 
@@ -20,8 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from .chars import slices, spelling_scores, triple_counts
-from .text import batch, blank
+from .chars import WIDTH, slices, slots_of, spelling_scores, triple_counts
+from .text import batch, blank, dense_counts
 
 #: Encodings of one byte a character, by the letters they hold.
 LATIN = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2")
@@ -29,20 +31,30 @@ CYRILLIC = ("cp1251", "koi8_r", "cp866", "iso8859_5")
 OTHER = ("cp1256", "iso8859_6", "cp874")
 READ_LATIN = ("latin_1", "cp1254", *LATIN)
 WIDE = ("euc_jp", "shift_jis", "gb18030", "big5", "euc_kr")
-#: A word counts for a chain from this gain in mean log count.
-LEAST_GAIN = 1.0
-#: Triples of one word that count at most: a long word is not as many independent witnesses.
-MOST_TRIPLES = 6
-#: What valid UTF-8 of several bytes adds, as it hardly comes about by chance.
-UTF8_BONUS = 9.0
-#: What a sign inside a word adds where the chain makes it a letter of the word's script.
-SIGN_BONUS = 8.0
-ROUNDS = 4
-#: Weight, in records, of the whole corpus in a pool's shares.
-SMOOTH = 20.0
-INTACT = "intact"
+#: Triples, and characters beyond ASCII, of one word that count at most: a long word is not as many
+#: independent witnesses.
+MOST_TRIPLES, MOST_SIGNS = 4, 2
+#: What valid UTF-8 adds, as it hardly comes about by chance: for one byte after a first one, for each
+#: further one, and at most.
+UTF8_BONUS, UTF8_MORE, UTF8_MOST = 9.0, 3.0, 18.0
+#: The probability of a word to be garbled where its record is.
+TOUCHED = 0.97
+#: The greatest share of a chain in a pool, and the least ratio with which it can still be probable.
+MOST_SHARE = 0.95
+LEAST_RATIO = -math.log(MOST_SHARE / (1 - MOST_SHARE))
+#: Beyond this a ratio leaves no doubt, and its exponential stays finite.
+MOST_RATIO = 60.0
+#: The share of a chain before any is known: so much for what was written in UTF-8, less the farther down
+#: the encoding is in the lists. It only settles which of two chains is named that undo a text alike.
+FIRST_SHARE = 0.002
+#: Weights, in records, of a field in its sources' shares and of all records in a field's.
+A_POOL, A_FIELD = 1.0, 50.0
+#: Rounds end with a gain in log likelihood of less than this a record, or, should it never come, here.
+LEAST_STEP, MOST_ROUNDS = 1e-3, 30
+SALTS = 8
 LOST = "lost"
-_LOST_CHARS = "�"
+#: Signs that no text rightly decoded has: the replacement character, and controls of the second half.
+_LOST = re.compile("[\ufffd\x80-\x84\x86-\x9f]")
 
 
 def _table(name: str) -> str:
@@ -72,8 +84,6 @@ _OTHER = "\u0370-\u06ff\u0900-\u0e7f"
 _ODD = re.compile(f"[\x00-\x1f\x7f-\x9f\u0250-\u036f\u0530-\u05ff\u0700-\u08ff\u0980-\u0dff\u0e80-\u1dff\u2190-\u25ff\u2800-\u2fff\ue000-\uf8ff\ufff0-\uffff]|[A-Za-z\u00c0-\u024f][{_OTHER}]|[{_OTHER}][A-Za-z\u00c0-\u024f]")
 _WIDE = re.compile("[\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]")
 _WIDE_RUN = re.compile("[\u3000-\u30ff\u4e00-\u9fff\uff01-\uff5e]{2}")
-_SIGN = re.compile("(?<=[a-z])[÷Θ░▒▓│┤√∂∫∑∏πΩΣσΦΓδφε∩⌠ⁿ≤≥≈]|[÷Θ░▒▓│┤√∂∫∑∏πΩΣσΦΓδφε∩⌠ⁿ≤≥≈](?=[a-z])")
-_LATIN_LETTER = re.compile("[\u00c0-\u024f]")
 _LETTER = re.compile("[A-Za-z]")
 _CYRILLIC_LETTER = re.compile("[\u0400-\u04ff]")
 
@@ -92,19 +102,43 @@ def _plausible(word: str, chain: tuple[str, str], text: str) -> bool:
 
 def undo(word: str, chain: tuple[str, str]) -> str | None:
     """The word with the chain undone; None if the chain cannot have made it."""
-    d, e = chain
-    twice = e.endswith("*2")
-    try:
-        for _ in range(1 + twice):
+    return dict(_undone(word, {chain[0]: [(0, chain[1])]})).get(0)
+
+
+#: The characters beyond ASCII that an encoding of one byte can give, and the chains by what they were read as.
+_GIVES = {d: frozenset(c for c in _table(d) if c > "\x7f") for d in _ENCODE}
+_BY_READ: dict[str, list[tuple[int, str]]] = {}
+for _i, (_d, _e) in enumerate(CHAINS):
+    _BY_READ.setdefault(_d, []).append((_i, _e))
+
+
+def _undone(word: str, by_read: dict[str, list[tuple[int, str]]]):
+    """Numbers of chains that can have made the word, each with what it was before."""
+    beyond = {c for c in word if c > "\x7f"}
+    for d, written in by_read.items():
+        if d in _GIVES and not beyond <= _GIVES[d]:
+            continue
+        try:
             raw = word.encode(d) if d in WIDE else codecs.charmap_encode(word, "strict", _ENCODE[d])[0]
-            word = raw.decode("utf_8" if twice else e)
-    except (UnicodeError, LookupError):
-        return None
-    return word
+        except UnicodeError:
+            continue
+        for i, e in written:
+            try:
+                if e.endswith("*2"):
+                    yield i, codecs.charmap_encode(raw.decode("utf_8"), "strict", _ENCODE[d])[0].decode("utf_8")
+                else:
+                    yield i, raw.decode(e)
+            except UnicodeError:
+                continue
 
 
 class Judge:
-    """Gains of words under chains, kept between batches."""
+    """Gains of words under chains, kept between batches.
+
+    The gain is a log likelihood ratio of two spellings: how much better attested the triples of the
+    word become, and its characters beyond ASCII between their neighbours. It is below 0 where the
+    chain makes a word worse.
+    """
 
     def __init__(self, counts: np.ndarray) -> None:
         self.counts = counts
@@ -113,31 +147,27 @@ class Judge:
     def learn(self, words: list[str]) -> None:
         if len(self.known) > 200_000:
             self.known.clear()
-        own, n_own = spelling_scores(words, self.counts)
+        own, _, own_set, _ = spelling_scores(words, self.counts)
         who, chain, text = [], [], []
         for i, w in enumerate(words):
-            for c, pair in enumerate(CHAINS):
-                t = undo(w, pair)
-                if t is not None and t != w and "\n" not in t and " " not in t and _plausible(w, pair, t):
+            for c, t in _undone(w, _BY_READ):
+                if t != w and "\n" not in t and " " not in t and _plausible(w, CHAINS[c], t):
                     who.append(i)
                     chain.append(c)
                     text.append(t)
             self.known[w] = {}
-        new, n_new = spelling_scores(text, self.counts)
-        for i, c, t, s, n in zip(who, chain, text, new, n_new):
+        new, n_new, new_set, n_set = spelling_scores(text, self.counts)
+        for i, c, t, s, n, x, k in zip(who, chain, text, new, n_new, new_set, n_set):
             # what becomes plain ASCII is not attested by these counts
             if n == 0:
                 continue
-            gain = float(s - own[i])
-            # in encodings of other scripts ordinary words make valid UTF-8 now and then
-            if CHAINS[c][1].startswith("utf_8") and (CHAINS[c][0] in READ_LATIN or (gain >= LEAST_GAIN and s > 1.0)):
-                self.known[words[i]][c] = (max(gain, 0.0) * min(float(n), MOST_TRIPLES) + UTF8_BONUS, t)
-            elif _SIGN.search(words[i]) and _LATIN_LETTER.search(t) and not _SIGN.search(t) and len(t) == len(words[i]):
-                self.known[words[i]][c] = (max(gain, 0.0) * min(float(n), MOST_TRIPLES) + SIGN_BONUS, t)
-            elif CHAINS[c][1].startswith("utf_8"):
-                continue
-            elif gain >= LEAST_GAIN and s > 1.0:
-                self.known[words[i]][c] = (gain * min(float(n), MOST_TRIPLES), t)
+            gain = float(s - own[i]) * min(float(n), MOST_TRIPLES) + float(x - own_set[i]) * min(float(k), MOST_SIGNS)
+            if CHAINS[c][1].startswith("utf_8"):
+                # in encodings of other scripts ordinary words make valid UTF-8 now and then
+                if CHAINS[c][0] in READ_LATIN or gain > UTF8_BONUS and s > 1.0:
+                    self.known[words[i]][c] = (gain + min(UTF8_BONUS + UTF8_MORE * (len(words[i]) - len(t) - 1), UTF8_MOST), t)
+            else:
+                self.known[words[i]][c] = (gain, t)
 
     def gains(self, texts: list[str]) -> list[dict[int, tuple[float, str]]]:
         new = list(dict.fromkeys(w for w in texts if w not in self.known))
@@ -147,13 +177,21 @@ class Judge:
         return [self.known[w] for w in texts]
 
 
-#: Words with characters beyond ASCII; where East Asian text touches other text, each is a word.
-_EAST = "　-ヿ㐀-鿿＀-￯"
-_WORD = re.compile(rf"[{_EAST}]+|[^ \n\r\t{_EAST}]*[^\x00-\x7f \n\r\t{_EAST}][^ \n\r\t{_EAST}]*")
+#: Words with characters beyond ASCII. A no-break space behind one may be a byte of it, any other is a blank. Where East Asian text touches other text, each is a word, and the
+#: quotation marks and dashes that touch East Asian text are part of it.
+_EAST = "\u3000-\u30ff\u3400-\u9fff\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff9f"
+_SIGNS = "\u2010-\u2027\xb7"
+_INNER = rf" \n\r\t\xa0\u2000-\u200b\u202f\u205f{_EAST}"
+_HARD_BLANK = r"(?<=[^\x00-\x7f])\xa0"
+_WORD = re.compile(rf"[{_SIGNS}]*[{_EAST}][{_EAST}{_SIGNS}]*|[^{_INNER}]*[^\x00-\x7f{_INNER}](?:[^{_INNER}]|{_HARD_BLANK})*")
 
 
 def evidence(texts: list[str], judge: Judge) -> list[dict[int, float]]:
-    """For each text the summed gains of the chains that gain anywhere."""
+    """For each text the log likelihood ratios of the chains that may have touched it.
+
+    A part of a text may be garbled: each word is under the chain with probability ``TOUCHED``. Chains
+    that no share could make probable are left out.
+    """
     found = [_WORD.findall(t) for t in texts]
     flat = [w for ws in found for w in ws]
     gains = iter(judge.gains(flat))
@@ -162,8 +200,8 @@ def evidence(texts: list[str], judge: Judge) -> list[dict[int, float]]:
         total: dict[int, float] = defaultdict(float)
         for _ in ws:
             for c, (g, _t) in next(gains).items():
-                total[c] += g
-        out.append(total)
+                total[c] += math.log1p(TOUCHED * math.expm1(g)) if g < 30 else g
+        out.append({c: g for c, g in total.items() if g > LEAST_RATIO})
     return out
 
 
@@ -177,80 +215,128 @@ def _pool(c: Column) -> Column:
     return F.when(p == "", "none").otherwise(p)
 
 
-def garbled(df: DataFrame, key: str, text: str = "text", pools: tuple[str, ...] = ("media_type", "source_name")) -> tuple[DataFrame, np.ndarray]:
-    """Records with wrongly decoded characters: ``key``, ``chain`` (``D<E``, or ``lost`` where only
-    replacement characters tell), ``posterior``, ``chain_no``, ``text``; and the counts used.
+def garbled(df: DataFrame, key: str, text: str = "text", source: str = "source_name", field: str = "media_type") -> tuple[DataFrame, np.ndarray]:
+    """Records with wrongly decoded characters: ``key``, ``chain`` (a number of ``CHAINS``, or -1 where
+    only lost characters tell) and ``posterior``; and the counts they were judged by.
+
+    Two rounds: the first estimates the chains' shares by the counts of all text; then the garbled
+    records are taken out of the counts, their repaired texts are put in, and the second round judges
+    all records again, as wrong spellings that repeat look attested otherwise.
 
-    Defined cases: null and blank texts are intact; a record repeated in full counts once; null
-    pool values form a pool of their own; a text with U+FFFD, or with controls of the second half,
-    which no decoder that fits gives, is garbled whatever the counts say. An empty table gives none.
+    Defined cases: null and blank texts are intact; a record repeated in full counts once (its pool's
+    size counts all rows); null pool values form a pool of their own; a text with U+FFFD, or with
+    controls of the second half, which no decoder that fits gives, is garbled whatever the counts say.
+    An empty table gives none.
     """
-    rows = df.where(F.col(key).isNotNull() & ~blank(F.col(text))).select(F.col(key).alias("key"), F.col(text).alias("text"), *(_pool(F.col(p)).alias(f"pool{i}") for i, p in enumerate(pools)))
+    rows = df.where(F.col(key).isNotNull() & ~blank(F.col(text)) & F.col(text).rlike("[^\\x00-\\x7f]"))
+    rows = rows.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"), _pool(F.col(source)).alias("source"), _pool(F.col(field)).alias("field"))
+    sizes = cut(rows.groupBy("field", "source").agg(F.count("*").alias("size")))
+    fields = cut(sizes.groupBy("field").agg(F.sum("size").alias("field_size")))
+    everything = float(fields.agg(F.sum("field_size")).first()[0] or 0)
     counts = triple_counts(rows)
-    shared = df.sparkSession.sparkContext.broadcast(counts)
-    names = [f"pool{i}" for i in range(len(pools))]
-    kinds = "key string, chain int, gain double, " + ", ".join(f"{n} string" for n in names)
+    state = _maximize(_evidence(rows, counts), sizes, fields, everything, None)
+    sc = df.sparkSession.sparkContext
+    old = sc.broadcast(counts)
+
+    def taken(b):
+        for _, group in slices(b.column(0).to_pylist()):
+            yield from slots_of(group)
+
+    def put(b):
+        judge = Judge(old.value)
+        for _, group in slices([repaired(t, c, judge) for t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]):
+            yield from slots_of(group)
+
+    bad = cut(_best(state).where(F.col("posterior") > 0.5).select("text", "chain"))
+    counts = np.maximum(counts - dense_counts(bad, WIDTH, taken) + dense_counts(bad, WIDTH, put), 0).astype(np.float32)
+    state = _maximize(_evidence(rows, counts), sizes, fields, everything, state)
+    return _best(state).where(F.col("posterior") > 0.5).select("key", "chain", "posterior"), counts
+
+
+def _evidence(rows: DataFrame, counts: np.ndarray) -> DataFrame:
+    """Records that any chain may have touched, each with its chains and their log ratios."""
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         judge = Judge(shared.value)
         for b in batches:
-            got = {k: [] for k in ("key", "chain", "gain", *names)}
-            texts, keys = b.column("text").to_pylist(), b.column("key").to_pylist()
-            pooled = [b.column(n).to_pylist() for n in names]
+            keys, texts, sources, fields = (b.column(i).to_pylist() for i in range(4))
+            got = {k: [] for k in ("key", "text", "source", "field", "certain", "chains", "gains")}
             for start, group in slices(texts):
-                for i, total in enumerate(evidence(group, judge)):
-                    t = group[i]
-                    lost = _LOST_CHARS in t
-                    wild = any("\x80" <= ch <= "\x9f" for ch in t) and not t.isascii()
-                    if lost or (wild and not total):
-                        total = dict(total) | {-1: 50.0}
-                    elif wild:
-                        total = {c: g + 25.0 for c, g in total.items()}
-                    for c, g in total.items():
-                        got["key"].append(keys[start + i])
-                        got["chain"].append(c)
-                        got["gain"].append(g)
-                        for n, values in zip(names, pooled):
-                            got[n].append(values[start + i])
-            yield batch(got, chain=pa.int32(), gain=pa.float64())
-
-    found = rows.where(F.col("text").rlike("[^\\x00-\\x7f]")).mapInArrow(run, kinds)
-    # one row per record and chain: repeated rows agree in all columns, so any of them will do
-    found = cut(found.groupBy("key", "chain").agg(F.max("gain").alias("gain"), *(F.min(n).alias(n) for n in names)))
-    prior = _maximize(rows, found, names)
-    best = prior.groupBy("key").agg(F.max_by("chain", F.struct("weight", F.col("chain") * -1)).alias("chain"), (1 - F.first("intact")).alias("posterior"))
-    return best.where(F.col("posterior") > 0.5), counts
-
-
-def _maximize(rows: DataFrame, found: DataFrame, names: list[str]) -> DataFrame:
-    """Expectation maximization over the chains' shares in each pool.
-
-    The state is the sum of responsibilities per pool and chain: it grows with pools, not with
-    records, and is computed and joined where the data are.
+                for i, total in enumerate(evidence(group, judge), start):
+                    certain = _LOST.search(texts[i]) is not None
+                    if not total and certain:
+                        total = {-1: 0.0}
+                    if total:
+                        for name, v in zip(got, (keys[i], texts[i], sources[i], fields[i], certain, list(total), [min(g, MOST_RATIO) for g in total.values()])):
+                            got[name].append(v)
+            yield batch(got, certain=pa.bool_(), chains=pa.list_(pa.int32()), gains=pa.list_(pa.float64()))
+
+    found = rows.mapInArrow(run, "key string, text string, source string, field string, certain boolean, chains array<int>, gains array<double>")
+    return cut(found.dropDuplicates(["key"]))
+
+
+def _maximize(found: DataFrame, sizes: DataFrame, fields: DataFrame, everything: float, before: DataFrame | None) -> DataFrame:
+    """Expectation maximization over the shares of the chains in each source and field.
+
+    A chain's share in a source (of one field) leans on its share in the field, and that on its share
+    in all records. A record is judged by the shares that the others of its pool give, so that it does
+    not bear witness to itself. What is exchanged are sums of responsibilities per pool and chain, added
+    up where the records are; a pool's records are spread over ``SALTS`` parts, so a hot one is no task
+    of its own. Rounds end where the log likelihood of all records gains less than ``LEAST_STEP`` a record.
     """
-    found = found.withColumn("gain", F.least("gain", F.lit(60.0)))
-    sizes = [rows.groupBy(n).agg(F.count("*").alias("size")) for n in names]
-    sizes = [cut(s) for s in sizes]
-    everything = sizes[0].agg(F.sum("size")).first()[0] or 1
-    state = found.withColumn("weight", F.lit(0.5))
-    for _ in range(ROUNDS):
-        # one row a chain, and the chains are a fixed list
-        whole = state.groupBy("chain").agg((F.sum("weight") / F.lit(float(everything))).alias("base"))
-        scored = found.join(F.broadcast(whole), "chain")
-        log = F.lit(0.0)
-        for n, s in zip(names, sizes):
-            seen = state.groupBy(n, "chain").agg(F.sum("weight").alias("w")).join(s, n)
-            scored = scored.join(seen, [n, "chain"])
-            share = (F.col("w") + SMOOTH * F.col("base")) / (F.col("size") + SMOOTH)
-            scored = scored.withColumn(f"share_{n}", share).drop("w", "size")
-            log = F.greatest(log, F.col(f"share_{n}"))
-        scored = scored.withColumn("odds", F.exp(F.col("gain")) * F.least(log, F.lit(0.9)) / F.greatest(1 - F.least(log, F.lit(0.9)), F.lit(0.1)))
-        total = scored.groupBy("key").agg(F.sum("odds").alias("total"))
-        state = scored.join(total, "key").select("key", "chain", "gain", *names, (F.col("odds") / (1 + F.col("total"))).alias("weight"), (1 / (1 + F.col("total"))).alias("intact"))
-        state = cut(state)
+    found = found.withColumn("salt", F.abs(F.hash("key")) % SALTS)
+    state, last = before, None
+    for _ in range(MOST_ROUNDS):
+        known = _shares(found, state, sizes, fields, everything)
+        own = F.col("weights") if "weights" in found.columns else F.transform("chains", lambda c: F.lit(0.0))
+        zipped = F.arrays_zip("chains", "gains", own.alias("own"))
+        share = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(MOST_SHARE), (F.coalesce(F.col("pool")[x["chains"]], F.lit(0.0)) - x["own"] + A_POOL * F.coalesce(F.col("prior")[x["chains"]], F.col("rare"))) / (F.col("size") - 1 + A_POOL)))
+        known = known.withColumn("zipped", zipped)
+        known = known.withColumn("odds", F.transform("zipped", lambda x: F.exp(x["gains"]) * share(x)))
+        known = known.withColumn("mine", F.aggregate("zipped", F.lit(0.0), lambda s, x: s + x["own"]))
+        intact = F.greatest(F.lit(1 - MOST_SHARE), 1 - (F.col("all") - F.col("mine") + A_POOL * F.col("prior_all")) / (F.col("size") - 1 + A_POOL))
+        known = known.withColumn("intact", F.when(F.col("certain"), 1e-12).otherwise(intact))
+        known = known.withColumn("total", F.col("intact") + F.aggregate("odds", F.lit(0.0), lambda s, x: s + x))
+        state = found = cut(known.select("key", "text", "source", "field", "certain", "chains", "gains", "salt", F.transform("odds", lambda x: x / F.col("total")).alias("weights"), F.log("total").alias("likelihood")))
+        now = float(state.agg(F.sum("likelihood")).first()[0] or 0.0)
+        if last is not None and now - last < LEAST_STEP * everything:
+            break
+        last = now
     return state
 
 
+def _shares(found: DataFrame, state: DataFrame | None, sizes: DataFrame, fields: DataFrame, everything: float) -> DataFrame:
+    """``found`` with what its pools say: ``pool`` (sums by chain), ``all`` (their sum), ``size``,
+    ``prior`` (shares by chain in the field), ``prior_all`` (their sum) and ``rare`` (that of any other chain)."""
+    salts = F.explode(F.array(*(F.lit(i) for i in range(SALTS)))).alias("salt")
+    if state is None:
+        order = ["utf_8", "utf_8*2", *LATIN, *CYRILLIC, *OTHER, *WIDE]
+        first = [FIRST_SHARE / (1 + order.index(e)) for _, e in CHAINS]
+        pools = sizes.select("field", "source", "size", F.lit(None).cast("map<int,double>").alias("pool"), F.lit(0.0).alias("all"))
+        prior = F.create_map(*(F.lit(v) for c, x in enumerate(first) for v in (c, x)))
+        priors = fields.select("field", prior.alias("prior"), F.lit(10 * FIRST_SHARE).alias("prior_all"), F.lit(FIRST_SHARE).alias("rare"))
+    else:
+        mass = state.select("field", "source", F.explode(F.arrays_zip("chains", "weights")).alias("x")).groupBy("field", "source", F.col("x.chains").alias("chain")).agg(F.sum("x.weights").alias("w"))
+        by = cut(mass.groupBy("field", "chain").agg(F.sum("w").alias("w")))
+        # one number for each of a fixed list of chains
+        base = {r["chain"]: r["w"] / (everything + 1) for r in by.groupBy("chain").agg(F.sum("w").alias("w")).collect()}
+        bases = F.create_map(*(F.lit(v) for c, x in base.items() for v in (c, x))) if base else F.lit(None).cast("map<int,double>")
+        pools = sizes.join(mass.groupBy("field", "source").agg(F.map_from_entries(F.collect_list(F.struct("chain", "w"))).alias("pool"), F.sum("w").alias("all")), ["field", "source"], "left").withColumn("all", F.coalesce("all", F.lit(0.0)))
+        seen = fields.join(by.groupBy("field").agg(F.map_from_entries(F.collect_list(F.struct("chain", "w"))).alias("seen")), "field", "left")
+        lean = lambda c, b: (F.coalesce(F.col("seen")[c], F.lit(0.0)) + A_FIELD * b) / (F.col("field_size") + A_FIELD)
+        priors = seen.select("field", F.transform_values(bases, lean).alias("prior"), F.lit(0.0).alias("rare"))
+        priors = priors.withColumn("prior_all", F.aggregate(F.map_values("prior"), F.lit(0.0), lambda s, x: s + x))
+    known = pools.join(priors, "field").select("*", salts)
+    return found.join(known, ["field", "source", "salt"])
+
+
+def _best(state: DataFrame) -> DataFrame:
+    """The most probable chain of each record and the probability that any chain touched it."""
+    first = F.array_max(F.transform(F.arrays_zip("weights", "chains"), lambda x: F.struct(x["weights"].alias("w"), (-x["chains"]).alias("c"))))
+    return state.select("key", "text", (-first["c"]).alias("chain"), F.aggregate("weights", F.lit(0.0), lambda s, x: s + x).alias("posterior"))
+
+
 def _garbled_segments(spark: SparkSession, d: str):
     return garbled(table(spark, d, "segments"), "segment_id")
 
