@@ -206,8 +206,10 @@ def evidence(texts: list[str], judge: Judge) -> list[dict[int, float]]:
 
 
 def repaired(text: str, chain: int, judge: Judge) -> str:
-    """The text with each word that gains by the chain undone."""
-    return _WORD.sub(lambda m: judge.gains([m[0]])[0].get(chain, (0.0, m[0]))[1], text)
+    """The text with each word that the chain can have made undone where that makes it no worse."""
+    words = _WORD.findall(text)
+    undone = {w: g[chain][1] for w, g in zip(words, judge.gains(words)) if chain in g and g[chain][0] > LEAST_RATIO}
+    return _WORD.sub(lambda m: undone.get(m[0], m[0]), text)
 
 
 def _pool(c: Column) -> Column:
@@ -234,7 +236,8 @@ def garbled(df: DataFrame, key: str, text: str = "text", source: str = "source_n
     fields = cut(sizes.groupBy("field").agg(F.sum("size").alias("field_size")))
     everything = float(fields.agg(F.sum("field_size")).first()[0] or 0)
     counts = triple_counts(rows)
-    state = _maximize(_evidence(rows, counts), sizes, fields, everything, None)
+    found = _evidence(rows, counts)
+    state = _maximize(found.drop("text"), sizes, fields, everything, None)
     sc = df.sparkSession.sparkContext
     old = sc.broadcast(counts)
 
@@ -243,13 +246,15 @@ def garbled(df: DataFrame, key: str, text: str = "text", source: str = "source_n
             yield from slots_of(group)
 
     def put(b):
+        texts = b.column(0).to_pylist()
         judge = Judge(old.value)
-        for _, group in slices([repaired(t, c, judge) for t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]):
+        judge.gains([w for t in texts for w in _WORD.findall(t)])
+        for _, group in slices([repaired(t, c, judge) for t, c in zip(texts, b.column(1).to_pylist())]):
             yield from slots_of(group)
 
-    bad = cut(_best(state).where(F.col("posterior") > 0.5).select("text", "chain"))
+    bad = cut(_best(state).where(F.col("posterior") > 0.5).join(found.select("key", "text"), "key").select("text", "chain"))
     counts = np.maximum(counts - dense_counts(bad, WIDTH, taken) + dense_counts(bad, WIDTH, put), 0).astype(np.float32)
-    state = _maximize(_evidence(rows, counts), sizes, fields, everything, state)
+    state = _maximize(_evidence(rows, counts).drop("text"), sizes, fields, everything, state)
     return _best(state).where(F.col("posterior") > 0.5).select("key", "chain", "posterior"), counts
 
 
@@ -298,7 +303,7 @@ def _maximize(found: DataFrame, sizes: DataFrame, fields: DataFrame, everything:
         intact = F.greatest(F.lit(1 - MOST_SHARE), 1 - (F.col("all") - F.col("mine") + A_POOL * F.col("prior_all")) / (F.col("size") - 1 + A_POOL))
         known = known.withColumn("intact", F.when(F.col("certain"), 1e-12).otherwise(intact))
         known = known.withColumn("total", F.col("intact") + F.aggregate("odds", F.lit(0.0), lambda s, x: s + x))
-        state = found = cut(known.select("key", "text", "source", "field", "certain", "chains", "gains", "salt", F.transform("odds", lambda x: x / F.col("total")).alias("weights"), F.log("total").alias("likelihood")))
+        state = found = cut(known.select("key", "source", "field", "certain", "chains", "gains", "salt", F.transform("odds", lambda x: x / F.col("total")).alias("weights"), F.log("total").alias("likelihood")))
         now = float(state.agg(F.sum("likelihood")).first()[0] or 0.0)
         if last is not None and now - last < LEAST_STEP * everything:
             break
@@ -334,7 +339,7 @@ def _shares(found: DataFrame, state: DataFrame | None, sizes: DataFrame, fields:
 def _best(state: DataFrame) -> DataFrame:
     """The most probable chain of each record and the probability that any chain touched it."""
     first = F.array_max(F.transform(F.arrays_zip("weights", "chains"), lambda x: F.struct(x["weights"].alias("w"), (-x["chains"]).alias("c"))))
-    return state.select("key", "text", (-first["c"]).alias("chain"), F.aggregate("weights", F.lit(0.0), lambda s, x: s + x).alias("posterior"))
+    return state.select("key", (-first["c"]).alias("chain"), F.aggregate("weights", F.lit(0.0), lambda s, x: s + x).alias("posterior"))
 
 
 def _garbled_segments(spark: SparkSession, d: str):
