@@ -1,8 +1,10 @@
 """An archive in a folder of Parquet tables: adding, searching, asking, reporting, snapshots.
 
-``objects``, ``ingestions``, ``processing_runs`` and ``runs`` are durable; ``segments`` can be rebuilt. A
-rebuilt table is written to a new version beside the old one, and a pointer file then names it, so a
-reader never meets half a table.
+``objects``, ``ingestions``, ``processing_runs`` and ``runs`` are durable, and so are ``originals``: the
+bytes of every object under its digest, in partitions by the digest's first two characters. Sources may
+move or vanish after they were added. ``segments`` and their index are derived: they are rebuilt from the
+originals into a new version beside the old one, and a pointer file then names it, so a reader never meets
+half a table.
 """
 
 from __future__ import annotations
@@ -15,9 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import citations, grounding, ledger, retrieval, search, snapshots
+from .operators.ledger import kind, media_type
 from .sources import scan as sources
 
-DURABLE = ("objects", "ingestions", "processing_runs", "runs")
+DURABLE = ("objects", "ingestions", "processing_runs", "runs", "originals")
 STATES = ("succeeded", "failed", "cancelled", "waiting_for_approval", "partially_produced_but_invalid", "blocked_by_policy")
 
 
@@ -38,7 +41,7 @@ class Archive:
 
     def table(self, name: str) -> DataFrame:
         if name == "segments":
-            return self.spark.read.parquet(f"{self.home}/{self._pointer()}")
+            return self.spark.read.parquet(f"{self.home}/{self._pointer()}/segments").drop("part", "doc", "dl")
         return self.spark.read.parquet(f"{self.home}/{name}")
 
     def _pointer(self) -> str:
@@ -67,7 +70,11 @@ class Archive:
         )
         log = self.spark.read.parquet(self._staged(log))
         new = ledger.new_content(good.select("sha256", "source_name", "media_type", "path", "segments"), stored)
-        self._append("objects", new.select("sha256", "media_type", F.element_at(F.split("path", r"\."), -1).alias("source_extension"), F.col("path").alias("storage_path"), F.current_timestamp().alias("created_at")))
+        new = self.spark.read.parquet(self._staged(new.select("sha256", "media_type", F.lower(F.element_at(F.split("path", r"\."), -1)).alias("source_extension"), "path")))
+        # bytes first: an object is named only when its bytes are held under its digest
+        self._store(new, path)
+        held = self.table("originals").select("sha256", "prefix")
+        self._append("objects", new.join(held, "sha256").select("sha256", "media_type", "source_extension", F.concat(F.lit("originals/prefix="), "prefix", F.lit("/"), "sha256").alias("storage_path"), F.current_timestamp().alias("created_at")))
         self._append("processing_runs", files.select(F.expr("replace(uuid(), '-', '')").alias("processing_id"), F.col("sha256").alias("object_sha256"), F.lit("normalizer").alias("processor"), "status", "error", F.current_timestamp().alias("started_at")))
         self._append("ingestions", log)
         return ledger.add_summary(log).first().asDict()
@@ -77,30 +84,59 @@ class Archive:
         rows.write.parquet(name)
         return name
 
-    def rebuild(self) -> dict:
-        """Read all originals again and write the segments in a new version."""
-        # the folders are few and bound by what was added; the files in them are read by the cluster
-        roots = self.table("objects").select(F.regexp_extract("storage_path", r"^(.*)/[^/]*$", 1).alias("root")).distinct()
-        files = self._scan_all([r["root"] for r in roots.toLocalIterator()])
-        name = f"versions/segments-{uuid.uuid4().hex}"
+    def _store(self, new: DataFrame, path: str) -> None:
+        """Append the bytes of new objects. A file that changed since it was read has other bytes than its
+        digest says and is not stored."""
+        bytes_ = sources.contents(self.spark, path).select("path", F.col("sha256").alias("now"), "content")
+        rows = new.select("sha256", "path").join(bytes_, "path").where(F.col("now") == F.col("sha256"))
+        rows = rows.select("sha256", "content", F.substring("sha256", 1, 2).alias("prefix"))
+        rows.write.mode("append").partitionBy("prefix").parquet(f"{self.home}/originals")
+        if not self._files_in("originals"):
+            rows.limit(0).write.mode("overwrite").parquet(f"{self.home}/originals")
+
+    def _files_in(self, name: str) -> int:
+        fs, path = self._files()
+        return fs.getContentSummary(path(f"{self.home}/{name}")).getLength()
+
+    def rebuild(self, reuse: bool = False, only: DataFrame | None = None) -> dict:
+        """Read the originals again and write segments and index in a new version.
+
+        With ``only`` (a table with ``sha256``) just these objects are read; with ``reuse`` just those whose
+        present segments are missing or have other texts than their digests say. The segments of all
+        other objects are taken over.
+        """
+        objects = self.table("objects").select("sha256", "source_extension").dropDuplicates(["sha256"])
+        kept = None
+        if (reuse or only is not None) and self._there("segments.current"):
+            old = self.table("segments")
+            sound = old.groupBy(F.col("object_sha256").alias("sha256")).agg(F.min((F.sha2("text", 256) == F.col("text_sha256")).cast("int")).alias("sound")).where("sound = 1").select("sha256")
+            if only is not None:
+                sound = sound.join(only.select("sha256").distinct(), "sha256", "left_anti")
+            sound = self.spark.read.parquet(self._staged(sound.join(objects, "sha256", "left_semi")))
+            kept = old.join(sound.withColumnRenamed("sha256", "object_sha256"), "object_sha256", "left_semi").drop("source_name")
+            objects = objects.join(sound, "sha256", "left_anti")
+        name = F.concat("sha256", F.lit("."), "source_extension")
+        originals = self.table("originals").join(objects, "sha256")
+        files = originals.select(name.alias("path"), name.alias("source_name"), media_type(name).alias("media_type"), kind(name).alias("kind"), "sha256", "content")
+        segments = sources.segments_of(sources.read_contents(files)).drop("source_name")
+        if kept is not None:
+            segments = segments.unionByName(kept.select(*segments.columns))
         names = ledger.canonical_names(self.table("ingestions").dropDuplicates(["ingestion_id"]))
-        segments = sources.segments_of(files).drop("source_name").join(names, "object_sha256", "left")
-        segments.write.parquet(f"{self.home}/{name}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.home}/segments.current")
-        return self.spark.read.parquet(f"{self.home}/{name}").agg(F.countDistinct("object_sha256").alias("objects"), F.count("*").alias("segments")).first().asDict()
+        version = f"versions/{uuid.uuid4().hex}"
+        search.Index.build(segments.join(names, "object_sha256", "left"), f"{self.home}/{version}")
+        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.home}/segments.current")
+        return self.table("segments").agg(F.countDistinct("object_sha256").alias("objects"), F.count("*").alias("segments")).first().asDict()
 
-    def _scan_all(self, roots: list[str]) -> DataFrame:
-        inner = [r for r in sorted(roots) if not any(r.startswith(o + "/") for o in roots)]
-        out = None
-        for r in inner:
-            part = sources.scan(self.spark, r)
-            out = part if out is None else out.unionByName(part)
-        return out.join(self.table("objects").select("sha256").distinct(), "sha256", "left_semi")
+    def damaged(self) -> DataFrame:
+        """Objects whose bytes are missing or have another digest than they are stored under."""
+        bytes_ = self.table("originals").select("sha256", (F.sha2("content", 256) == F.col("sha256")).alias("sound"))
+        seen = self.table("objects").select("sha256").distinct().join(bytes_, "sha256", "left")
+        return seen.where(~F.coalesce("sound", F.lit(False))).select("sha256", F.when(F.col("sound").isNull(), "missing").otherwise("hash mismatch").alias("fault")).distinct()
 
     # searching
 
     def index(self) -> search.Index:
-        return search.Index(self.table("segments"))
+        return search.Index(self.spark, f"{self.home}/{self._pointer()}")
 
     def find(self, phrase: str, limit: int = 20, **equal: str) -> DataFrame:
         return search.search(self.index(), phrase, limit, **equal)
@@ -148,6 +184,8 @@ class Archive:
         for t in DURABLE:
             if self._there(t):
                 rows = self.table(t)
+                # bytes tell themselves apart by their digest, which ``damaged`` verifies
+                rows = rows.drop("content")
                 part = rows.agg(F.lit(t).alias("path"), F.count("*").alias("size"), F.coalesce(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sha256"))
                 out = part if out is None else out.unionByName(part)
         return out
@@ -156,12 +194,13 @@ class Archive:
         """Copy the durable tables and their manifest; never onto something that is there."""
         for t in DURABLE:
             if self._there(t):
-                self.table(t).write.mode("errorifexists").parquet(f"{target}/{t}")
+                self._copy(self.table(t), f"{target}/{t}", t)
         self.manifest().write.mode("errorifexists").parquet(f"{target}/manifest")
 
     @classmethod
     def restore(cls, spark: SparkSession, source: str, home: str) -> Archive:
-        """Fill an empty home from a backup that is as its manifest says."""
+        """Fill an empty home from a backup that is as its manifest says and whose bytes are sound, and
+        rebuild what is derived. Paths of storage are relative to the home, so none has to move."""
         new = cls(spark, home)
         if any(new._there(t) for t in DURABLE):
             raise FileExistsError("the target is not empty")
@@ -169,7 +208,16 @@ class Archive:
         bad = snapshots.differences(spark.read.parquet(f"{source}/manifest"), old.manifest(), "path", "size", "sha256")
         if not bad.isEmpty():
             raise ValueError("the backup differs from its manifest")
+        if old._there("originals") and not old.damaged().isEmpty():
+            raise ValueError("the backup holds damaged originals")
         for t in DURABLE:
             if old._there(t):
-                old.table(t).write.parquet(f"{home}/{t}")
+                new._copy(old.table(t), f"{home}/{t}", t)
+        if new._there("originals"):
+            new.rebuild()
         return new
+
+    @staticmethod
+    def _copy(rows: DataFrame, to: str, name: str) -> None:
+        out = rows.write.mode("errorifexists")
+        (out.partitionBy("prefix") if name == "originals" else out).parquet(to)

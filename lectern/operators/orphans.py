@@ -3,6 +3,10 @@
 A Bloom filter over the parent keys is built with a distributed aggregate and broadcast. Its size is
 fixed by a bit budget, not by the data. A reference that misses the filter is a definite orphan and
 takes no part in any join; only references that hit the filter are verified by an exact join.
+
+The budget holds some 5.6 million parents at 12 bits each. Beyond that the filter lets more references
+through, and the exact join decides more of them: it is on distinct digests, which are partitioned by
+digest already, so the cost stays in proportion to the rows.
 """
 
 from __future__ import annotations
@@ -10,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Spark's own limit for its Bloom filter aggregate: 8 MiB is the most that is ever broadcast.
 MAX_BITS = 67_108_864
 BITS_PER_KEY = 12
@@ -75,7 +81,8 @@ def orphan_references(
     expected = parents.count()
     bloom = bloom_of(parents, "digest", expected)
     named = refs.groupBy("digest").agg(F.min("at").alias("first_at"))
-    named = named.withColumn("maybe", might_contain(bloom, F.col("digest"), spark))
+    # written once: each later use of a filter in a plan would build it again
+    named = cut(named.withColumn("maybe", might_contain(bloom, F.col("digest"), spark)))
     definite = named.where(~F.col("maybe")).select("digest", F.lit(None).cast("timestamp").alias("created_at"), F.lit(False).alias("held"))
     verified = (
         named.where(F.col("maybe"))
@@ -88,7 +95,8 @@ def orphan_references(
         .join(removed, "digest", "left")
         .select("digest", "created_at", F.when(F.col("held"), "late").when(F.col("was_removed"), "deleted").otherwise("missing").alias("reason"))
     )
-    thin = refs.where(might_contain(bloom_of(bad, "digest", expected), F.col("digest"), spark))
+    bad = cut(bad)
+    thin = refs.where(might_contain(bloom_of(bad, "digest", max(1000, bad.count())), F.col("digest"), spark))
     thin = thin.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int"))
     spread = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import citations, grounding, retrieval, search
-from ..session import cut, table
+from ..session import cut, stamp, table
 
 PHRASE, COMMON, LONG = "retention rule", "the", "and the shelf mark was changed"
 PHRASES = ("retention rule", "shelf mark", "procès-verbal de réception", "the the", "review panel", "nach zweiter Lesung", "?!", "site engineer", "re-sealed")
@@ -19,8 +19,17 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "segments")
 
 
+#: Indexes written in this application, by the state of the table that they are of.
+_built: dict[tuple, search.Index] = {}
+
+
 def _index(spark: SparkSession, d: str) -> search.Index:
-    return search.Index(_segments(spark, d).select("segment_id", "segment_index", "object_sha256", "source_name", "media_type", "kind", "locator_json", "text"))
+    """The index of a folder's segments, built once for an application and read from disk from then on."""
+    key = (spark.sparkContext.applicationId, *stamp(spark, f"{d}/segments.parquet"))
+    if key not in _built:
+        rows = _segments(spark, d).select("segment_id", "segment_index", "object_sha256", "source_name", "media_type", "kind", "locator_json", "text")
+        _built[key] = search.Index.build(rows)
+    return _built[key]
 
 
 def segment_lines(spark, d):
@@ -40,7 +49,7 @@ def segment_ids(spark, d):
 
 
 def token_counts(spark, d):
-    return _index(spark, d).segments.select("segment_id", "dl", F.sha2(F.array_join("tokens", " "), 256).alias("tokens_sha256"))
+    return _index(spark, d).segments.select("segment_id", "dl", F.sha2(F.array_join(T.tokens(F.col("text")), " "), 256).alias("tokens_sha256"))
 
 
 def index_stats(spark, d):
@@ -74,7 +83,7 @@ def variant_positions(spark, d):
 
 def _literal_hits(spark, d):
     i = _index(spark, d)
-    return i, retrieval.found(i, _variants(spark)).join(i.segments.select("segment_id", "object_sha256", "source_name", "text"), "segment_id")
+    return i, retrieval.found(i, _variants(spark), columns=("object_sha256", "source_name", "text"))
 
 
 def source_scores(spark, d):

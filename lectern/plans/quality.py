@@ -158,8 +158,8 @@ def ocr_tsv_lines(spark, d):
 
     words = table(spark, d, "ocr_pairs").where("hypothesis is not null").select("fixture_id", F.posexplode(T.lines(F.col("hypothesis"))).alias("row", "line")).select("fixture_id", "row", F.posexplode(F.split(T.collapse(F.col("line")), " ")).alias("at", "text"))
     page = F.regexp_extract("fixture_id", r"(\d+)$", 1).cast("int")
-    tsv = words.select(F.lit(5).alias("level"), page.alias("page_num"), F.lit(1).alias("block_num"), F.lit(1).alias("par_num"), F.col("row").alias("line_num"), F.col("at").alias("word_num"), (F.col("at") * 50).alias("left"), (F.col("row") * 20).alias("top"), (F.length("text") * 8).alias("width"), F.lit(16).alias("height"), F.when(F.length("text") > 2, F.length("text").cast("double")).otherwise(-1.0).alias("conf"), "text")
-    return tsv_lines(tsv).select("page_num", "line", "text", "x", "y", "width", "height", "confidence")
+    tsv = words.select("fixture_id", F.lit(5).alias("level"), page.alias("page_num"), F.lit(1).alias("block_num"), F.lit(1).alias("par_num"), F.col("row").alias("line_num"), F.col("at").alias("word_num"), (F.col("at") * 50).alias("left"), (F.col("row") * 20).alias("top"), (F.length("text") * 8).alias("width"), F.lit(16).alias("height"), F.when(F.length("text") > 2, F.length("text").cast("double")).otherwise(-1.0).alias("conf"), "text")
+    return tsv_lines(tsv, "fixture_id").select("fixture_id", "page_num", "line", "text", "x", "y", "width", "height", "confidence")
 
 
 def normal_forms(spark, d):
@@ -213,9 +213,9 @@ SQL = {
     "benchmark_checks": "SELECT 'too few questions' AS error FROM (SELECT count(DISTINCT question_id) AS n FROM questions) WHERE n < 20 UNION ALL SELECT 'question id given twice: ' || question_id FROM questions GROUP BY question_id HAVING count(*) > 1 UNION ALL SELECT 'unknown source: ' || s FROM (SELECT DISTINCT unnest(expected) AS s FROM questions) WHERE s NOT IN (SELECT source_name FROM segments WHERE source_name IS NOT NULL)",
     "ocr_tsv_lines": f"""
 WITH l AS (SELECT fixture_id, i - 1 AS r, string_split({_collapsed('x[i]')}, ' ') AS w FROM (SELECT fixture_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT fixture_id, regexp_split_to_array(hypothesis, '{_LINE_ENDS}') AS x FROM ocr_pairs WHERE hypothesis IS NOT NULL))),
-w AS (SELECT regexp_extract(fixture_id, '([0-9]+)$', 1)::int AS page_num, r, k - 1 AS n, w[k] AS text FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM l))
-SELECT page_num, row_number() OVER (PARTITION BY page_num ORDER BY r)::int AS line, string_agg(text, ' ' ORDER BY n) AS text, (min(n) * 50)::int AS x, (r * 20)::int AS y, (max(n * 50 + length(text) * 8) - min(n) * 50)::int AS width, 16 AS height, round(avg(length(text)) FILTER (length(text) > 2), 3) AS confidence
-FROM w WHERE text <> '' GROUP BY page_num, r""",
+w AS (SELECT fixture_id, regexp_extract(fixture_id, '([0-9]+)$', 1)::int AS page_num, r, k - 1 AS n, w[k] AS text FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM l))
+SELECT fixture_id, page_num, row_number() OVER (PARTITION BY fixture_id ORDER BY r)::int AS line, string_agg(text, ' ' ORDER BY n) AS text, (min(n) * 50)::int AS x, (r * 20)::int AS y, (max(n * 50 + length(text) * 8) - min(n) * 50)::int AS width, 16 AS height, round(avg(length(text)) FILTER (length(text) > 2), 3) AS confidence
+FROM w WHERE text <> '' GROUP BY fixture_id, page_num, r""",
     "upper_median_duration": "SELECT processor, l[len(l) // 2 + 1] AS upper_median, len(l) AS n FROM (SELECT processor, list_sort(list(m)) AS l FROM (SELECT DISTINCT ON (processing_id) processor, epoch_us(finished_at) - epoch_us(started_at) AS m FROM processing_runs WHERE started_at IS NOT NULL AND finished_at IS NOT NULL) GROUP BY 1)",
     "failure_histogram": "SELECT processor, coalesce(error, 'none given') AS error, count(*) AS failures FROM (SELECT DISTINCT ON (processing_id) * FROM processing_runs WHERE status = 'failed') GROUP BY 1, 2",
     "mode_first_seen": "SELECT processor, c AS n, status AS mode FROM (SELECT processor, status, count(*) AS c, min(started_at) AS s FROM (SELECT DISTINCT processing_id, processor, status, started_at FROM processing_runs WHERE started_at IS NOT NULL AND status IS NOT NULL) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY processor ORDER BY c DESC, s, status DESC) = 1",

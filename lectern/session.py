@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -43,19 +44,41 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where a session names none, as in
-    tests, a folder of the local machine is set.
-    """
-    spark = df.sparkSession
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Only a local session that names none, as in tests, gets a
+    folder of the local machine; a cluster without one is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-cp-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it from there."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stamp(spark: SparkSession, path: str) -> tuple[str, int, int]:
+    """A path with its bytes and the time of its last change, to tell whether it is as it was."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return path, fs.getContentSummary(root).getLength(), fs.getFileStatus(root).getModificationTime()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path; an error in looking is an error."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,14 +6,16 @@ import re
 import struct
 import unicodedata
 
+import numpy as np
+
 #: Fixed values of the compound file format.
 MAGIC = bytes.fromhex("d0cf11e0a1b11ae1")
 END_OF_CHAIN, FREE, LAST_SECTOR = 0xFFFFFFFE, 0xFFFFFFFF, 0xFFFFFFFA
 MOST_SECTORS = 65_536
 LONGEST, LEAST, MOST_SEGMENTS, GAP = 4000, 4, 50_000, 4
 
-#: Characters of the older InPage encoding by their low byte; codes without a settled
-#: character are left out and end a run.
+#: Fixed values of the file format: what the low bytes of the older encoding stand for. Bytes that stand
+#: for nothing certain have no entry.
 OLD = {
     0x20: " ", 0x81: "ا", 0x82: "ب", 0x83: "پ", 0x84: "ت", 0x85: "ٹ", 0x86: "ث", 0x87: "ج",
     0x88: "چ", 0x89: "ح", 0x8A: "خ", 0x8B: "د", 0x8C: "ڈ", 0x8D: "ذ", 0x8E: "ر", 0x8F: "ڑ",
@@ -128,38 +130,50 @@ def runs_new(stream: bytes) -> list[tuple[int, str]]:
     return [(m.start() * 2, m[0]) for m in _TEXT.finditer(flat)]
 
 
+def _units_old() -> list[str]:
+    """What each low byte of a two-byte unit stands for; empty where it ends a run."""
+    return ["\n" if b in (10, 13) else chr(b) if 0x20 <= b <= 0x7E else OLD.get(b, "") for b in range(256)]
+
+
+_OLD_UNITS = np.array(_units_old(), dtype=object)
+_OLD_SOUND = np.array([bool(x) for x in _OLD_UNITS])
+
+
 def runs_old(stream: bytes) -> list[tuple[int, str]]:
-    """Runs of text in the older encoding: two bytes a character, the second of them 4."""
-    out: list[tuple[int, str]] = []
-    text, begin, last = "", 0, -1
-    for at in range(0, len(stream) - 1, 2):
-        low, high = stream[at], stream[at + 1]
-        if high == 4:
-            c = chr(low) if 0x20 <= low <= 0x7E else OLD.get(low, "")
-        elif high == 0 and low in (10, 13):
-            c = "\n"
-        else:
-            continue
-        if text and (not c or at - last > GAP):
-            out.append((begin, text))
-            text = ""
-        if c:
-            begin = begin if text else at
-            text += c
-            last = at
-    return [*out, (begin, text)] if text else out
+    """Runs of text in the older encoding, with the byte at which each begins.
+
+    A unit is two bytes, the second of them 4; line ends have a 0 there. Other units are passed over: a
+    run goes on behind them unless they are more than ``GAP`` bytes.
+    """
+    units = np.frombuffer(stream, dtype="<u2", count=len(stream) // 2)
+    low, high = units & 0xFF, units >> 8
+    at = np.flatnonzero((high == 4) | (high == 0) & ((low == 10) | (low == 13)))
+    if not len(at):
+        return []
+    # a unit of the text's kind without a character ends a run as a long gap does
+    sound = _OLD_SOUND[low[at]] & ~((high[at] == 4) & ((low[at] == 10) | (low[at] == 13)))
+    apart = np.diff(at, prepend=at[0]) * 2 > GAP
+    number = np.cumsum(apart | ~sound)
+    at, number = at[sound], number[sound]
+    if not len(at):
+        return []
+    borders = np.append(np.flatnonzero(np.diff(number, prepend=number[0] - 1)), len(at))
+    letters = _OLD_UNITS[low[at]]
+    return [(int(at[a]) * 2, "".join(letters[a:b])) for a, b in zip(borders[:-1], borders[1:])]
+
+
+#: The next piece of a line: to its end if that is near, else to the last blank of the second half, else as long as a piece may be.
+_NEXT_PIECE = re.compile(rf"(?s).{{1,{LONGEST}}}\Z|.{{{LONGEST // 2},{LONGEST}}}(?= )|.{{{LONGEST}}}")
 
 
 def pieces(line: str) -> list[str]:
     """A line in pieces of bounded length, cut at blanks where there are any in the second half."""
-    out = []
-    line = line.strip()
-    while len(line) > LONGEST:
-        at = line.rfind(" ", LONGEST // 2, LONGEST + 1)
-        at = at if at >= LONGEST // 2 else LONGEST
-        out.append(line[:at].strip())
-        line = line[at:].strip()
-    return [p for p in (*out, line) if p]
+    out, rest = [], line.strip()
+    while rest:
+        piece = _NEXT_PIECE.match(rest)[0]
+        out.append(piece.strip())
+        rest = rest[len(piece) :].strip()
+    return [p for p in out if p]
 
 
 def useful(text: str) -> bool:

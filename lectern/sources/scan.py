@@ -6,6 +6,7 @@ import json
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -62,37 +63,49 @@ def canonical(locator: dict) -> str:
     return json.dumps(locator, sort_keys=True, separators=(",", ":"))
 
 
+def contents(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file below ``path`` with its bytes; null for what is unsupported or too large, which is
+    not opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    content = F.when(media_type(name).isNotNull() & (F.col("length") <= MOST_BYTES), F.col("content"))
+    return files.select("path", name.alias("source_name"), media_type(name).alias("media_type"), kind(name).alias("kind"), content.alias("content")).withColumn("sha256", F.sha2("content", 256))
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """One row per file below ``path``: what it is, its segments, or why it could not be read.
 
     ``status`` is ``succeeded``, ``failed`` (malformed or unsupported) or ``skipped`` (an optional
     library is missing). A failing file never stops the others. Unsupported files are not opened.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    named = files.select("path", name.alias("source_name"), media_type(name).alias("media_type"), kind(name).alias("kind"), F.when(media_type(name).isNotNull() & (F.col("length") <= MOST_BYTES), F.col("content")).alias("content"))
-    hashed = named.withColumn("sha256", F.sha2("content", 256))
+    return read_contents(contents(spark, path))
+
+
+def read_contents(rows: DataFrame) -> DataFrame:
+    """Files read from their bytes: rows as of ``contents``, result as of ``scan``."""
+    struct = pa.list_(pa.struct([("segment_index", pa.int32()), ("locator_json", pa.string()), ("text", pa.string())]))
+    names = ["path", "source_name", "sha256", "media_type", "kind", "status", "error", "segments", "metadata"]
 
     def run(batches):
-        struct = pa.list_(pa.struct([("segment_index", pa.int32()), ("locator_json", pa.string()), ("text", pa.string())]))
         for b in batches:
-            rows = b.to_pylist()
-            for r in rows:
-                r["segments"], r["metadata"], r["status"], r["error"] = [], None, "failed", None
+            # one file at a time: a batch may hold many large ones
+            for i in range(b.num_rows):
+                r = {n: b.column(n)[i].as_py() for n in names[:5]}
+                r |= {"segments": [], "metadata": None, "status": "failed", "error": None}
                 try:
-                    if r["content"] is None:
+                    content = b.column("content")[i].as_py()
+                    if content is None:
                         raise ValueError("unsupported or too large")
-                    segments, about = normalize(r["source_name"], r["content"])
-                    r["segments"] = [{"segment_index": i, "locator_json": canonical(k), "text": t} for i, (k, t) in enumerate(segments)]
+                    segments, about = normalize(r["source_name"], content)
+                    r["segments"] = [{"segment_index": k, "locator_json": canonical(x), "text": t} for k, (x, t) in enumerate(segments)]
                     r["metadata"], r["status"] = canonical(about), "succeeded"
                 except NotImplementedError as e:
                     r["status"], r["error"] = "skipped", str(e)
                 except Exception as e:  # noqa: BLE001 - whatever a parser meets, the file is malformed
                     r["error"] = str(e)
-            names = ["path", "source_name", "sha256", "media_type", "kind", "status", "error", "segments", "metadata"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], struct if n == "segments" else pa.string()) for n in names], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([r[n]], struct if n == "segments" else pa.string()) for n in names], names=names)
 
-    return hashed.select("path", "source_name", "sha256", "media_type", "kind", "content").mapInArrow(run, OUT)
+    return rows.select(*names[:5], "content").mapInArrow(run, OUT)
 
 
 def segments_of(files: DataFrame) -> DataFrame:
@@ -111,21 +124,20 @@ def summary(files: DataFrame) -> DataFrame:
     return files.groupBy("status", "kind").agg(F.count("*").alias("files"))
 
 
-def tsv_lines(words: DataFrame) -> DataFrame:
+def tsv_lines(words: DataFrame, *document: str) -> DataFrame:
     """Recognised lines from word rows of an engine's TSV: ``page_num``, ``line`` (from 1), ``text``,
     the box around the words and their mean confidence (null if none is known).
 
+    ``document`` names the columns that tell documents apart; without any, all rows are of one.
     Only rows of level 5 with text count; a negative confidence is none.
     """
     w = words.where((F.col("level") == 5) & (F.trim("text") != ""))
-    key = ["page_num", "block_num", "par_num", "line_num"]
-    out = w.groupBy(*key).agg(
+    page, inner = [*document, "page_num"], ["block_num", "par_num", "line_num"]
+    out = w.groupBy(*page, *inner).agg(
         F.min("left").alias("x"), F.min("top").alias("y"),
         (F.max(F.col("left") + F.col("width")) - F.min("left")).alias("width"),
         (F.max(F.col("top") + F.col("height")) - F.min("top")).alias("height"),
         F.round(F.avg(F.when(F.col("conf") >= 0, F.col("conf"))), 3).alias("confidence"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_num", F.trim("text").alias("t")))), lambda x: x["t"]), " ").alias("text"),
     )
-    from pyspark.sql import Window as W
-
-    return out.withColumn("line", F.row_number().over(W.partitionBy("page_num").orderBy(*key[1:]))).drop(*key[1:])
+    return out.withColumn("line", F.row_number().over(W.partitionBy(*page).orderBy(*inner))).drop(*inner)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ledger import new_content
+from ..session import exists
 
 
 def append_new(store: str, digest: str = "sha256"):
@@ -17,11 +18,13 @@ def append_new(store: str, digest: str = "sha256"):
     def step(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         batch = batch.where(F.col(digest).isNotNull())
-        try:
-            stored = spark.read.parquet(store).select(digest)
-        except Exception:  # noqa: BLE001 - the store does not exist yet
-            stored = batch.select(digest).limit(0)
-        new_content(batch, stored, digest).write.mode("append").parquet(store)
+        # partitions by the digest's first characters: a batch reads those that it has digests in
+        batch = batch.withColumn("prefix", F.substring(digest, 1, 2))
+        stored = spark.read.parquet(store).select(digest, "prefix") if exists(spark, store) else batch.select(digest, "prefix").limit(0)
+        named = [r["prefix"] for r in batch.select("prefix").distinct().limit(257).collect()]
+        if len(named) <= 256:
+            stored = stored.where(F.col("prefix").isin(named))
+        new_content(batch, stored, digest).write.mode("append").partitionBy("prefix").parquet(store)
 
     return step
 

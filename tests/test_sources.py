@@ -136,9 +136,19 @@ def test_archive_end_to_end(spark, tmp_path):
     assert a.ask("Where is the retention rule?", lambda p: 1 / 0)["state"] == "failed"
     rows, errors = a.report("T", "retention rule")
     assert rows.count() == 4 and errors.count() == 0
+    import shutil
+
+    # sources may vanish: what was added stays
+    shutil.rmtree(src)
+    assert a.rebuild()["segments"] == 4 and a.rebuild(reuse=True)["segments"] == 4
+    one = a.table("objects").where("media_type = 'text/plain'").select("sha256").limit(1)
+    assert a.rebuild(only=one)["segments"] == 4
+    assert a.damaged().count() == 0
+    assert a.find("retention rule").first().segment_id == hit.segment_id
     a.backup(str(tmp_path / "copy"))
     b = Archive.restore(spark, str(tmp_path / "copy"), str(tmp_path / "new"))
     assert b.status() == a.status()
+    assert b.find("retention rule").first().segment_id == hit.segment_id
     with pytest.raises(FileExistsError):
         Archive.restore(spark, str(tmp_path / "copy"), str(tmp_path / "new"))
 
