@@ -8,8 +8,9 @@ trees are walked together, leaving out pairs of nodes whose greatest possible ov
 the threshold. Surviving pairs are verified with the exact sets. Nothing is approximate: no pair of the
 threshold is lost.
 
-A posting list may be long. Lists whose shingle is counted more often than ``BLOCK`` times are dealt
-into blocks, and each pair of blocks is a list of its own, so no task has to hold more than two blocks.
+A posting list may be long. Lists of more than ``BLOCK`` postings, by an exact count, are dealt into
+blocks, and each pair of blocks is a list of its own, so no task has to hold more than two blocks. Only
+lists that the counters of fixed width can't rule out are counted one by one.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from .text import dense_counts, mix, ragged, white_words, within
 
 BUCKETS = 1 << 20
 BLOCK = 4096
+#: Long lists that are told to all executors at most, 16 bytes each.
+MOST_BROADCAST = 1 << 20
+#: Members of a class from which it is spread over several tasks where pairs are written out.
+HOT = 1000
 LEAF, FANOUT = 16, 8
 WORDS = 4  # of 64 bits in a bitmap
 _ONE = np.uint64(1)
@@ -76,13 +81,13 @@ def bucket_counts(sets: DataFrame) -> np.ndarray:
     """How often shingles fall into each of ``BUCKETS`` buckets, over all classes.
 
     Counted where the sets are; what reaches the driver is ``BUCKETS`` numbers at most. The counts
-    only rank shingles and find long lists; a shared bucket costs time, never a pair.
+    rank shingles, and no posting list is longer than its bucket; a shared bucket costs time, never a pair.
     """
     return dense_counts(sets.select("sh"), BUCKETS, lambda b: [ragged(b.column(0))[0].view(np.uint64).astype(np.int64) & (BUCKETS - 1)])
 
 
 def _postings(sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """The rarest shingles of each class, with the block pairs of long lists."""
+    """The rarest shingles of each class, and which of them may have a long list."""
     shared = sets.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
@@ -96,22 +101,28 @@ def _postings(sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFram
             order = np.lexsort((h, c, row))
             keep = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
             order = order[within(n) < np.repeat(keep, n)]
-            h, row, c = h[order], row[order], c[order]
-            blocks = -(-c.astype(np.int64) // BLOCK)
-            k = b.column(0).to_numpy()
-            one = np.flatnonzero(blocks == 1)
-            yield pa.RecordBatch.from_arrays([pa.array(h[one].view(np.int64)), pa.array(np.zeros(len(one), np.int32)), pa.array(np.zeros(len(one), np.int8)), pa.array(k[row[one]])], names=["h", "pair", "side", "k"])
-            many = np.flatnonzero(blocks > 1)
-            if len(many):
-                mine = (mix(k[row[many]].view(np.uint64) ^ h[many]) % blocks[many].astype(np.uint64)).astype(np.int64)
-                times = blocks[many]
-                other, own, who = within(times), np.repeat(mine, times), np.repeat(many, times)
-                first, second = np.minimum(own, other), np.maximum(own, other)
-                pair = 1 + first * np.repeat(times, times) + second
-                side = np.where(own == other, 0, np.where(own == first, 1, 2)).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([pa.array(h[who].view(np.int64)), pa.array(pair.astype(np.int32)), pa.array(side), pa.array(k[row[who]])], names=["h", "pair", "side", "k"])
-
-    return sets.select("k", "sh").mapInArrow(run, "h bigint, pair int, side tinyint, k bigint")
+            yield pa.RecordBatch.from_arrays([pa.array(h[order].view(np.int64)), pa.array(b.column(0).to_numpy()[row[order]]), pa.array(c[order] > BLOCK)], names=["h", "k", "suspect"])
+
+    return sets.select("k", "sh").mapInArrow(run, "h bigint, k bigint, suspect boolean")
+
+
+def dealt(posted: DataFrame, block: int) -> DataFrame:
+    """Postings ``h``, ``pair``, ``side``, ``k``; those of long lists once for each pair of blocks that they
+    are in. A pair of a block with itself has side 0, of two blocks 1 and 2."""
+    plain = posted.select("h", F.lit(0).cast("bigint").alias("pair"), F.lit(0).cast("tinyint").alias("side"), "k")
+    long = cut(posted.where("suspect").groupBy("h").agg(F.count("*").alias("length")).where(F.col("length") > block))
+    many = long.count()
+    if not many:
+        return plain
+    blocks = long.select("h", F.ceil(F.col("length") / block).alias("blocks"))
+    # 16 bytes a list: broadcast as long as that is bounded, joined by exchange beyond
+    joined = posted.join(F.broadcast(blocks) if many <= MOST_BROADCAST else blocks, "h", "left")
+    mine = F.pmod(F.xxhash64("k", "h"), F.col("blocks"))
+    others = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    spread = joined.select("h", "k", "blocks", mine.alias("mine"), F.explode(others).alias("other"))
+    pair = 1 + F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    return spread.select("h", F.when(F.col("blocks").isNull(), 0).otherwise(pair).cast("bigint").alias("pair"), F.when(F.col("blocks").isNull(), 0).otherwise(side).cast("tinyint").alias("side"), "k")
 
 
 def _signatures(sets: DataFrame) -> DataFrame:
@@ -229,7 +240,8 @@ def class_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """
     sets = sets.where(F.col("n") > 0)
     counts = bucket_counts(sets)
-    posted = _postings(sets, counts, threshold).repartition("h", "pair").sortWithinPartitions("h", "pair")
+    posted = _postings(sets, counts, threshold)
+    posted = (dealt(posted, BLOCK) if counts.max(initial=0) > BLOCK else posted.select("h", F.lit(0).cast("bigint").alias("pair"), F.lit(0).cast("tinyint").alias("side"), "k")).repartition("h", "pair").sortWithinPartitions("h", "pair")
 
     def shared(batches):
         for t, borders in lists_of(batches):
@@ -321,16 +333,37 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "segments").select("segment_id", "text")
 
 
+def written_out(pairs: DataFrame, members: DataFrame, key: str, hot: int = HOT) -> DataFrame:
+    """All pairs of rows, ``x`` and ``y`` with x < y, whose classes are linked or the same.
+
+    A class of many members is dealt into parts of about ``hot``; each pair of parts is joined apart, so
+    no task has all members of a class against all.
+    """
+    sizes = members.groupBy("cls").agg(F.count("*").alias("c")).where("c > 1").select("cls", F.ceil(F.col("c") / hot).alias("parts"))
+    sizes = cut(sizes)
+    part = F.pmod(F.xxhash64(key), F.col("parts")).alias("part")
+    all_parts = F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)
+    wide = sizes.where("parts > 1")
+    some = not wide.isEmpty()
+    dealt_ = members.join(wide, "cls", "left").select("cls", key, F.coalesce(part, F.lit(0).cast("bigint")).alias("part")) if some else members.select("cls", key, F.lit(0).cast("bigint").alias("part"))
+    links = pairs.select("a", "b")
+    for side in ("a", "b"):
+        if some:
+            links = links.join(wide.withColumnRenamed("cls", side), side, "left").withColumn(f"part_{side}", F.explode(F.coalesce(all_parts, F.array(F.lit(0).cast("bigint"))))).drop("parts")
+        else:
+            links = links.withColumn(f"part_{side}", F.lit(0).cast("bigint"))
+    left, right = (dealt_.select(F.col("cls").alias(x), F.col("part").alias(f"part_{x}"), F.col(key).alias(y)) for x, y in (("a", "x"), ("b", "y")))
+    across = links.join(left, ["a", "part_a"]).join(right, ["b", "part_b"]).select("x", "y")
+    copies = members.join(sizes, "cls").select("cls", key, part, F.explode(all_parts).alias("other"))
+    first = copies.select("cls", F.col("part").alias("p"), F.col("other").alias("q"), F.col(key).alias("x"))
+    second = copies.select("cls", F.col("other").alias("p"), F.col("part").alias("q"), F.col(key).alias("y"))
+    same = first.join(second, ["cls", "p", "q"]).where("x < y").select("x", "y")
+    return across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).unionByName(same)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     pairs, members = near_duplicates(_segments(spark, d), "segment_id", least_chars=200)
-    members = cut(members)
-    left = members.select(F.col("cls").alias("a"), F.col("segment_id").alias("x"))
-    right = members.select(F.col("cls").alias("b"), F.col("segment_id").alias("y"))
-    across = pairs.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
-    repeated = members.groupBy("cls").agg(F.count("*").alias("c")).where("c > 1").select("cls")
-    copies = members.join(repeated, "cls", "left_semi")
-    same = copies.select("cls", F.col("segment_id").alias("x")).join(copies.select("cls", F.col("segment_id").alias("y")), "cls").where("x < y").select("x", "y")
-    return across.unionByName(same).select(F.least("x", "y").alias("segment_id_a"), F.greatest("x", "y").alias("segment_id_b"))
+    return written_out(pairs, cut(members), "segment_id").select(F.col("x").alias("segment_id_a"), F.col("y").alias("segment_id_b"))
 
 
 def p7_groups(spark: SparkSession, d: str) -> DataFrame:
