@@ -111,7 +111,7 @@ class Features:
         """Bits and learned weight of a word, kept as words are met."""
         got = self.marks.get(w)
         if got is None:
-            got = self.lexicon.bits(w), min(self.weights.get(w, 0.0), 3.0)
+            got = self.lexicon.bits(w), self.weights.get(w, 0.0)
             if not got[0] & self.lexicon.hard and len(w) > 4 and (once := _TWICE.sub(r"\1", w)) != w and once in self.lexicon.once and w not in self.weights:
                 got = self.lexicon.bits(once) | 1 << 30 if self.lexicon.bits(once) & self.lexicon.hard else got[0], got[1]
             if len(self.marks) > 300_000:
@@ -151,7 +151,7 @@ class Features:
         bits = [b for b, _ in got]
         disguised += sum(b >> 30 & 1 for b in bits)
         counts = [sum(b >> k & 1 for b in bits) for k in range(len(LISTS))]
-        learned = sorted({w: x for w, (_, x) in zip(words, got)}.values(), reverse=True)[:8]
+        learned = sorted({w: x for w, (_, x) in zip(words, got)}.values(), reverse=True)
         hard = [i for i, b in enumerate(bits) if b & hard_bits]
         you = [i for i, b in enumerate(bits) if b >> 4 & 1]
         near = min((abs(i - j) for i in hard for j in you), default=20)
@@ -360,8 +360,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         m = model.value
         features = Features(m.weights)
         for b in batches:
-            x = np.array([features.row(t) for t in b.column(2).to_pylist()]).reshape(-1, len(NAMES))
-            score = m.score(x) * (x[:, NAMES.index("words")] > 0)
+            texts = b.column(2).to_pylist()
+            x = np.array([features.row(t) for t in texts]).reshape(-1, len(NAMES))
+            score = m.score(x) * np.array([bool(t) and not t.isspace() for t in texts])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], names=["doc_id", "source", "score"])
 
     return docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id bigint, source string, score double")

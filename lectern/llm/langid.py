@@ -6,8 +6,8 @@ it. A piece of text counts, per language, the n-grams whose mask has its bit (po
 the share that hits by chance at the language's fill; the corrected shares decide and give the
 confidence.
 
-The filter is trained here, on a bounded sample of declared rows: at most ``TRAIN_ROWS`` per declared
-language. Declarations may be wrong: an n-gram belongs to a language only if it is not much rarer there
+The filter is trained here, on a bounded sample: at most ``TRAIN_ROWS`` pieces of ``PIECE_CHARS``
+characters per declared language, drawn from all parts of all declared texts. Declarations may be wrong: an n-gram belongs to a language only if it is not much rarer there
 than elsewhere, and a second round drops rows that the first contradicts. Texts are read as intended:
 wrong decodings are undone and look-alikes folded before.
 
@@ -32,7 +32,9 @@ from .lookalike import SLOTS as PAIR_SLOTS
 from .lookalike import Former
 from .text import batch, blank, mix
 
-TRAIN_ROWS = 1500
+TRAIN_ROWS, PIECE_CHARS = 1500, 2000
+#: Languages that a mask has bits for.
+MOST_LANGUAGES = 64
 SLOTS = 1 << 20
 #: The codes and English names of languages (ISO 639).
 _NAMES = """
@@ -85,6 +87,8 @@ class Filters:
 
     def __init__(self, texts: list[str], labels: list[str], rows: dict[str, int] | None = None) -> None:
         self.langs = sorted(set(labels))
+        if len(self.langs) > MOST_LANGUAGES:
+            raise ValueError(f"a mask has bits for {MOST_LANGUAGES} languages")
         number = {x: i for i, x in enumerate(self.langs)}
         y = np.array([number[x] for x in labels], dtype=np.int64)
         texts = [t.lower() + "\n" for t in texts]
@@ -136,11 +140,11 @@ class Filters:
         count = np.bincount(gram * n + y, minlength=len(keys) * n).reshape(-1, n) if len(h) else np.zeros((0, n))
         rate = count / total
         member = (rate >= 0.2 * rate.max(1, keepdims=True)) & (count >= 2) if len(h) else np.zeros((0, n), bool)
-        mask = (member * (1 << np.arange(n, dtype=np.uint32))).sum(1).astype(np.uint32)
-        self.masks = np.zeros(SLOTS, dtype=np.uint32)
+        mask = np.bitwise_or.reduce(np.where(member, np.uint64(1) << np.arange(n, dtype=np.uint64), np.uint64(0)), axis=1) if n else np.zeros(len(keys), dtype=np.uint64)
+        self.masks = np.zeros(SLOTS, dtype=np.uint64)
         for slot in _slots(keys):
             np.bitwise_or.at(self.masks, slot, mask)
-        fill = np.array([((self.masks >> np.uint32(i)) & np.uint32(1)).mean() for i in range(n)])
+        fill = np.array([((self.masks >> np.uint64(i)) & np.uint64(1)).mean() for i in range(n)])
         self.chance = fill**2
 
     def _look(self, h: np.ndarray) -> np.ndarray:
@@ -150,7 +154,7 @@ class Filters:
     def _shares(self, masks: np.ndarray, who: np.ndarray, n: int) -> np.ndarray:
         many = np.maximum(np.bincount(who, minlength=n), 1)
         # bits of a mask that has nearly all tell nothing
-        hits = np.stack([np.bincount(who, weights=(masks >> np.uint32(i)) & np.uint32(1), minlength=n) for i in range(len(self.langs))], 1) if self.langs else np.zeros((n, 1))
+        hits = np.stack([np.bincount(who, weights=(masks >> np.uint64(i)) & np.uint64(1), minlength=n) for i in range(len(self.langs))], 1) if self.langs else np.zeros((n, 1))
         share = hits / many[:, None]
         return np.maximum((share - self.chance) / (1 - self.chance), 0.0) if self.langs else share
 
@@ -199,11 +203,14 @@ def ended(piece: str) -> bool:
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
-    """Filters from at most ``TRAIN_ROWS`` declared rows per language, taken by hash.
+    """Filters from at most ``TRAIN_ROWS`` pieces of declared texts per language, taken by hash.
 
-    What reaches the driver is bounded by that number and the languages known.
+    A text of any length is cut into pieces of ``PIECE_CHARS``, each as likely to be taken as another.
+    What reaches the driver is bounded by these numbers and the languages known.
     """
-    rows = df.where(~blank(F.col(text)) & (F.length(text) >= 40)).select(F.substring(text, 1, 2000).alias("text"), code(F.col(lang)).alias("lang")).where("lang is not null")
+    whole = df.where(~blank(F.col(text)) & (F.length(text) >= 40)).select(F.col(text).alias("whole"), code(F.col(lang)).alias("lang")).where("lang is not null")
+    starts = F.when(F.length("whole") <= PIECE_CHARS, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.length("whole"), F.lit(PIECE_CHARS)))
+    rows = whole.withColumn("start", F.explode(starts)).select(F.substring(F.col("whole"), F.col("start"), F.lit(PIECE_CHARS)).alias("text"), "lang")
     many = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not many:
         return Filters([], [])

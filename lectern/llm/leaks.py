@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut, table
 from .text import letter_words, mix, ragged, within
 
 #: Fixed by the problem: a leak is a run of so many words.
@@ -31,8 +31,8 @@ WINDOW, STRIDE = 8, 5
 STEPS, TABLES, SAMPLE = 24, 4, 7
 #: Words around a candidate that are compared; edits are allowed as a share of so many words.
 BEFORE, SPAN = 4, 16
-#: Held-out texts that are searched for in one pass over the corpus.
-BLOCK = 5000
+#: Words of held-out texts that are searched for in one pass over the corpus: 8 bytes each.
+BLOCK = 1_000_000
 WORDS_AT_ONCE = 400_000
 #: Runs that are grown at a time.
 GROWN_AT_ONCE = 50_000
@@ -227,17 +227,23 @@ def leaked(corpus: DataFrame, held_out: DataFrame, key: str, name: str, most_edi
 
     Defined cases: null, empty and short texts on either side match nothing; a passage that several
     names share is reported under each; repeated rows count once. The held-out side is the query
-    set: it is read in blocks of ``BLOCK`` texts, each a pass over the corpus, so that what is sent
-    to the workers is bounded.
+    set: it is read in blocks of about ``BLOCK`` words, dealt by hash, each a pass over the corpus whose
+    result is written before the next, so that what the driver and the workers hold is bounded (a
+    single text of more words is a block of its own).
     """
     asked = held_out.where(F.col("passage").isNotNull() & F.col(name).isNotNull()).select(F.col(name).cast("string").alias("name"), letter_words(F.col("passage")).alias("words")).distinct()
-    texts = sorted((r["name"], list(r["words"])) for r in asked.toLocalIterator() if len(r["words"]) >= WINDOW)
+    asked = asked.where(F.size("words") >= WINDOW)
+    total = asked.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK))
+    if blocks > 1:
+        asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("name", "words"), F.lit(blocks))))
     kind = corpus.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, `{name}` string, run int, edits int"
     words = corpus.where(F.col("text").isNotNull()).select(key, letter_words(F.col("text")).alias("words"))
     passes = []
-    for i in range(0, max(1, len(texts)), BLOCK):
-        block = texts[i : i + BLOCK]
+    for i in range(blocks):
+        here = asked.where(F.col("block") == i) if blocks > 1 else asked
+        block = sorted((r["name"], list(r["words"])) for r in here.collect())
 
         def run(batches, block=block):
             index = Index(block)
@@ -267,7 +273,8 @@ def leaked(corpus: DataFrame, held_out: DataFrame, key: str, name: str, most_edi
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(start + pair // len(block))), names.take(pa.array(pair % len(block))), pa.array(longest), pa.array(fewest)], names=[key, name, "run", "edits"])
                     start = stop
 
-        passes.append(words.mapInArrow(run, schema))
+        found = words.mapInArrow(run, schema)
+        passes.append(cut(found) if blocks > 1 else found)
     out = passes[0]
     for p in passes[1:]:
         out = out.unionByName(p)

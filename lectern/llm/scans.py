@@ -91,7 +91,7 @@ def parts_of(line: str) -> tuple[str, bool]:
 def title_key(line: str) -> str | None:
     """The skeleton of a title line's letters; None if the line looks like running text."""
     t = line.strip()
-    if not t or len(t) > 90 or t[-1] in ".!?؟۔…,;:" or len(t.split()) > 12:
+    if not t or t[-1] in ".!?؟۔…,;:":
         return None
     words = [w for w in _WORDS.findall(unicodedata.normalize("NFKC", t).lower()) if not _HAS_DIGIT.search(w) or len(_HAS_DIGIT.findall(w)) * 2 < len(w) and len(w) > 3]
     key = skeleton("".join(words).replace("'", "").replace("’", ""))
@@ -104,24 +104,29 @@ class Page:
     def __init__(self, text: str) -> None:
         self.lines = text.split("\n")
         filled = [i for i, x in enumerate(self.lines) if x.strip()]
+        #: From either end on: lines that may be titles or numbers, up to the first that can be neither.
+        self.edges: list[list[int]] = []
         self.numbers: set[int] = set()
         self.beside: dict[int, str] = {}
         self.titles: dict[int, str] = {}
-        ends = []
+        self.loose: set[int] = set()
         for side in (filled, filled[::-1]):
-            for i in side[:2]:
+            edge: list[int] = []
+            for i in side:
                 if is_number(self.lines[i]) and len(filled) > 1:
-                    self.numbers.add(i)
+                    # outermost it is the page's number; behind titles only if these are shared
+                    (self.loose if any(j in self.titles for j in edge) else self.numbers).add(i)
+                    edge.append(i)
                     continue
                 rest, had = parts_of(self.lines[i])
-                if had:
+                key = title_key(rest)
+                if had and not any(j not in self.numbers for j in edge):
                     self.beside[i] = rest
-                ends.append(i)
-                break
-        for i in dict.fromkeys(ends):
-            key = title_key(self.beside.get(i, self.lines[i]))
-            if key:
+                if not key:
+                    break
                 self.titles[i] = key
+                edge.append(i)
+            self.edges.append(edge)
         self.body = [(i, self.beside.get(i, x)) for i, x in enumerate(self.lines) if i not in self.numbers]
 
     def breaks(self):
@@ -165,7 +170,7 @@ def lexicon(rows: DataFrame) -> DataFrame:
     compound = words.where(F.col("w").contains("-"))
     whole = words.where(~F.col("scan") & ~F.col("w").contains("-")).select("w")
     parts = compound.where(~F.col("scan")).select(F.explode(F.split("w", "-")).alias("w"))
-    counted = whole.unionByName(parts).unionByName(compound.select("w")).where(~F.col("w").rlike(r"\d") & (F.length("w") <= 40)).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    counted = whole.unionByName(parts).unionByName(compound.select("w")).where(~F.col("w").rlike(r"\d")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT)
     looks = counted.withColumn("look", _skeleton(F.col("w")))
     best = looks.groupBy("look").agg(F.max_by("w", F.struct("n", "w")).alias("best"), F.max("n").alias("most"))
     return looks.join(best, "look").select("w", "n", "look", "best", "most", (F.col("n") >= LEAST_SHARE * F.col("most")).alias("known"))
@@ -188,7 +193,15 @@ class Reader:
 
     def __init__(self, page: Page, told: dict[str, tuple[str, str | None]], shared: set[str]) -> None:
         self.page, self.told = page, told
-        self.headers = {i for i, k in page.titles.items() if k in shared}
+        self.headers, self.numbers = set(), set(page.numbers)
+        for edge in page.edges:
+            for i in edge:
+                if page.titles.get(i) in shared:
+                    self.headers.add(i)
+                elif i in page.loose:
+                    self.numbers.add(i)
+                elif i not in page.numbers:
+                    break
         self.hyphens = {i: (a, m, b) for i, a, m, b in page.breaks() if self._split(a, m, b)}
 
     def _ok(self, joined: str) -> bool:
@@ -242,7 +255,7 @@ class Reader:
     def read(self) -> tuple[set[str], list[tuple[str, bool]]]:
         """The defects, and the repaired lines with whether the next line goes on within a word."""
         found: set[str] = set()
-        if self.page.numbers or self.page.beside:
+        if self.numbers or self.page.beside:
             found.add("page_number")
         if self.headers:
             found.add("header")
@@ -250,6 +263,8 @@ class Reader:
             found.add("hyphenation")
         lines, after = [], False
         for i, line in self.page.body:
+            if i in self.numbers:
+                continue
             broken = i in self.hyphens
             if broken:
                 left, mark_, right = self.hyphens[i]

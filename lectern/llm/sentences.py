@@ -79,15 +79,22 @@ _NOISE = r"(?:[\[(](?:[A-Z]{1,3}-\d+|[A-Z]?\d+[./]\d+)[\])]|[A-Z]{1,3}-\d+|[A-Z]
 _SKIP = re.compile(rf"[\s\"'“‘«„‹「『【《〈¿¡*_`—–-]*(?:{_NOISE}\s+)*[\s\"'“‘«„‹「『（(【《〈\[¿¡*_`—–-]*")
 _DAY = re.compile(rf"\b(?:am|den|dem|der|vom|zum|bis|im|le|il|el|den)\s+(?:{_NOISE}\s+)*\d{{1,2}}$", re.IGNORECASE)
 _GAP = re.compile(r"[ \t \n]+")
-#: The farthest that an opening mark waits for its closing one.
-REACH = 400
-#: Characters around a node that tell what it is.
+#: Beginnings farther back than this are compared by kind (``_kind``), as a line's score asks no more of them.
+FAR = 400
+#: Characters around a gap that its classification reads: the words that touch it are nearer.
 NEAR = 100
 
 
+def _straight(text: str, i: int) -> tuple[bool, bool]:
+    """Whether the straight quotation mark at ``i`` may open and may close a quotation, by what it touches."""
+    before, after = text[i - 1 : i], text[i + 1 : i + 2]
+    outer, inner = not before or before.isspace() or before in _PAIR or before in "—–-/", not after or after.isspace() or not after.isalnum()
+    return outer and bool(after) and not after.isspace(), not outer and inner or not after
+
+
 def _enclosed(text: str) -> list[tuple[int, int]]:
-    """Spans between paired marks, ends exclusive of the closing mark; a mark without its partner
-    pairs with nothing."""
+    """Spans between paired marks of one paragraph, ends exclusive of the closing mark; a mark without
+    its partner pairs with nothing."""
     out = []
     stack: list[tuple[str, int]] = []
     for m in re.finditer("[“”‘’«»„‹›「」『』（）()【】《》〈〉\\[\\]\"]|\n\\s*\n", text):
@@ -96,17 +103,18 @@ def _enclosed(text: str) -> list[tuple[int, int]]:
             stack.clear()
             continue
         if c == '"':
-            open_ = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
-            if open_ is not None and i - stack[open_][1] <= REACH:
-                out.append((stack[open_][1], i))
-                del stack[open_:]
-            else:
+            opens, closes = _straight(text, i)
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
+            if k is not None and (closes or not opens):
+                out.append((stack[k][1], i))
+                del stack[k:]
+            elif opens or not closes:
                 stack.append((c, i))
             continue
         if c == "’" and 0 < i < len(text) - 1 and text[i - 1].isalpha() and text[i + 1].isalpha():
             continue
         k = next((k for k in range(len(stack) - 1, -1, -1) if c in _PAIR.get(stack[k][0], "")), None)
-        if k is not None and i - stack[k][1] <= REACH:
+        if k is not None:
             out.append((stack[k][1], i))
             del stack[k:]
         elif c in _PAIR:
@@ -346,7 +354,7 @@ def _best_path(text: str, nodes: list[tuple[int, str, int, int, int]]) -> list[i
     The score of a node may depend on where the span that it ends begins; there is a way from one to the
     other only if it is positive. A span without letters or digits
     pays for that, and a span that runs over a good end pays what that end was worth to it. Beginnings
-    farther than ``REACH`` count by the best one of each kind.
+    farther than ``FAR`` count by the best one of each kind.
     """
     places, values, backs, paid = [0], [0.0], [-1], [0.0]
     far: dict[tuple[bool, bool], int] = {}
@@ -359,7 +367,7 @@ def _best_path(text: str, nodes: list[tuple[int, str, int, int, int]]) -> list[i
 
     def arrive(at: int, score) -> tuple[float, int]:
         nonlocal passed
-        while passed < len(places) and places[passed] < at - REACH:
+        while passed < len(places) and places[passed] < at - FAR:
             kind = _kind(text, places[passed])
             if kind not in far or values[passed] - paid[passed] >= values[far[kind]] - paid[far[kind]]:
                 far[kind] = passed
