@@ -23,6 +23,8 @@ from .lookalike import Former
 
 TRAIN_DOCS = 5_000
 FOLDS = 5
+#: What one learned word counts at most, as a word may owe its log odds to a handful of labels.
+MOST_WEIGHT = 3.0
 #: A document is reported from this calibrated score.
 REPORTED = 0.5
 
@@ -111,7 +113,7 @@ class Features:
         """Bits and learned weight of a word, kept as words are met."""
         got = self.marks.get(w)
         if got is None:
-            got = self.lexicon.bits(w), self.weights.get(w, 0.0)
+            got = self.lexicon.bits(w), min(self.weights.get(w, 0.0), MOST_WEIGHT)
             if not got[0] & self.lexicon.hard and len(w) > 4 and (once := _TWICE.sub(r"\1", w)) != w and once in self.lexicon.once and w not in self.weights:
                 got = self.lexicon.bits(once) | 1 << 30 if self.lexicon.bits(once) & self.lexicon.hard else got[0], got[1]
             if len(self.marks) > 300_000:

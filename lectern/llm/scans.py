@@ -1,10 +1,11 @@
 """Scanned pages: defects found and pages repaired into running paragraphs.
 
 Words are grouped by the skeleton of their confusable glyphs. The frequent form of a group, by counts
-over all text that is no scan, replaces the forms that do not stand on their own; where a group has
-several, the most frequent one is taken on all pages, whatever word stands before. Title lines are found by the skeleton of
-their letters with digits masked, counted over the pages of a document. Lines are then reflowed with
-SQL windows.
+over all text that is no scan, replaces the forms that do not stand on their own. Where a group has several
+frequent forms, the word before decides: the form that most often follows it in text that is no scan is
+taken, and only where none ever does the most frequent one; a word that stands on its own, but never after
+the word before, gives way to one that does. Title lines are found by the skeleton of their letters with
+digits masked, counted over the pages of a document. Lines are then reflowed with SQL windows.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ PAGE_WORDS = set("blad folio fol hoja foglio folha лист ورق 第 頁 页 
 LEAST_COUNT, LEAST_SHARE = 3, 0.002
 FREQUENT = 5
 PAGES_OF_TITLE = 3
+#: From so many times that a form follows the word before, it replaces a word that never does.
+LEAST_PAIRS = 5
 
 _TOKEN = r"[\p{L}\p{M}\p{N}]+(?:['’-][\p{L}\p{M}\p{N}]+)*"
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}\p{N}]+)*")
@@ -139,26 +142,35 @@ class Page:
             if n and (n[0][0].islower() or not n[0][0].isupper() or m[1].isupper() and len(m[1]) > 2):
                 yield i, m[1], m[2], n[0]
 
-    def asked(self) -> set[str]:
-        """All strings whose standing among the words decides about this page."""
-        out: set[str] = set()
-        for _, line in self.body:
+    def asked(self) -> dict[str, set[str]]:
+        """All strings whose standing among the words decides about this page; words with the words
+        before them."""
+        out: dict[str, set[str]] = {}
+        broken = {i for i, *_ in self.breaks()}
+        before = ""
+        for i, line in self.body:
             words = list(_WORDS.finditer(line))
             for w in words:
                 x = w[0].lower()
                 if not _CODE.fullmatch(x):
-                    out.add(x)
+                    out.setdefault(x, set())
+                    if before:
+                        out[x].add(before)
                     if "'" in x or "’" in x:
-                        out.add("+" + x.replace("'", "").replace("’", ""))
+                        out.setdefault("+" + x.replace("'", "").replace("’", ""), set())
+                before = x
             for a, b in zip(words, words[1:]):
                 if line[a.end() : b.start()] == " " and not _HAS_DIGIT.search(a[0] + b[0]):
-                    out.add("+" + (a[0] + b[0]).lower())
+                    out.setdefault("+" + (a[0] + b[0]).lower(), set())
             for m in _JUNK.finditer(line):
                 left, right = regex.search(r"[\p{L}\p{M}\d]+$", line[: m.start()]), regex.match(r"[\p{L}\p{M}\d]+", line[m.end() :])
                 if left and right:
-                    out.add("+" + (left[0] + right[0]).lower())
+                    out.setdefault("+" + (left[0] + right[0]).lower(), set())
+            if i in broken:
+                before = ""
         for _, left, _, right in self.breaks():
-            out |= {"+" + (left + right).lower(), "+" + f"{left}-{right}".lower(), "+" + right.lower()}
+            for q in ("+" + (left + right).lower(), "+" + f"{left}-{right}".lower(), "+" + right.lower()):
+                out.setdefault(q, set())
         return out
 
 
@@ -166,14 +178,41 @@ def lexicon(rows: DataFrame) -> DataFrame:
     """Words by count over text that is no scan: ``w``, ``n``, ``known``, ``best`` and ``most`` (the
     most frequent form with its skeleton and that form's count). Compounds with a hyphen also count
     where they stand in one line of a scan."""
-    words = rows.select("scan", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), F.lit(0))).alias("w"))
+    words = rows.select("scan", F.explode(_tokens()).alias("w")).groupBy("w").agg(F.count_if(~F.col("scan")).alias("n"), F.count_if("scan").alias("scanned"))
+    words = cut(words)
     compound = words.where(F.col("w").contains("-"))
-    whole = words.where(~F.col("scan") & ~F.col("w").contains("-")).select("w")
-    parts = compound.where(~F.col("scan")).select(F.explode(F.split("w", "-")).alias("w"))
-    counted = whole.unionByName(parts).unionByName(compound.select("w")).where(~F.col("w").rlike(r"\d")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    parts = compound.select(F.explode(F.split("w", "-")).alias("w"), "n")
+    whole = words.select("w", F.when(F.col("w").contains("-"), F.col("n") + F.col("scanned")).otherwise(F.col("n")).alias("n"))
+    counted = whole.unionByName(parts).where(~F.col("w").rlike(r"\d")).groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
     looks = counted.withColumn("look", _skeleton(F.col("w")))
-    best = looks.groupBy("look").agg(F.max_by("w", F.struct("n", "w")).alias("best"), F.max("n").alias("most"))
-    return looks.join(best, "look").select("w", "n", "look", "best", "most", (F.col("n") >= LEAST_SHARE * F.col("most")).alias("known"))
+    best = looks.groupBy("look").agg(F.max_by("w", F.struct("n", "w")).alias("best"), F.max("n").alias("most"), F.count_if(F.col("n") >= FREQUENT).alias("forms"))
+    return looks.join(best, "look").select("w", "n", "look", "best", "most", "forms", (F.col("n") >= LEAST_SHARE * F.col("most")).alias("known"))
+
+
+def _tokens() -> Column:
+    return F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), F.lit(0))
+
+
+def _by_context(asked: DataFrame, words: DataFrame, rows: DataFrame) -> DataFrame:
+    """Verdicts that hang on the word before: ``q`` (the word before, a tab, the word), ``state``, ``best``.
+
+    Only pairs that stand on a page and whose second word has several frequent forms are counted over
+    the text that is no scan; a Bloom filter of theirs keeps all others from being exchanged.
+    """
+    forms = words.where((F.col("forms") > 1) & (F.col("n") >= FREQUENT) & F.col("known")).select("look", F.col("w").alias("form"), F.col("n").alias("form_n"))
+    here = asked.where("befores is not null").select("q", F.explode("befores").alias("before")).distinct().withColumn("look", _skeleton(F.col("q")))
+    here = cut(here.join(forms, "look").withColumn("pair", F.concat_ws("\t", "before", "form")))
+    pairs = here.select("pair").distinct()
+    many = pairs.count()
+    if not many:
+        return here.select("q", F.lit("fix").alias("state"), F.col("form").alias("best")).limit(0)
+    all_pairs = rows.where(~F.col("scan")).select(_tokens().alias("t")).where(F.size("t") > 1).select(F.explode(F.zip_with(F.slice("t", F.lit(1), F.size("t") - 1), F.slice("t", F.lit(2), F.size("t") - 1), lambda a, b: F.concat_ws("\t", a, b))).alias("pair"))
+    seen = all_pairs.where(might_contain(bloom_of(pairs, "pair", many), F.col("pair"), rows.sparkSession)).groupBy("pair").agg(F.count("*").alias("c"))
+    told = here.join(seen, "pair", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    told = told.groupBy("before", "q").agg(F.max(F.struct("c", "form_n", "form")).alias("x"), F.max(F.when(F.col("form") == F.col("q"), F.col("c"))).alias("own"))
+    unknown = F.col("own").isNull() & (F.col("x.c") > 0)
+    strange = (F.col("own") == 0) & (F.col("x.c") >= LEAST_PAIRS)
+    return told.where((unknown | strange) & (F.col("x.form") != F.col("q"))).select(F.concat_ws("\t", "before", "q").alias("q"), F.lit("fix").alias("state"), F.col("x.form").alias("best"))
 
 
 def _verdicts(asked: DataFrame, words: DataFrame) -> DataFrame:
@@ -215,8 +254,9 @@ class Reader:
             return False
         return True
 
-    def fix(self, line: str, skip_first: bool, skip_last: bool) -> tuple[str, bool]:
-        """The line with misread words put right, and whether any was wrong."""
+    def fix(self, line: str, skip_first: bool, skip_last: bool, before: str = "") -> tuple[str, bool]:
+        """The line with misread words put right, and whether any was wrong; ``before`` is the last word of
+        the line before."""
         wrong = bool(_STRAY.search(line)) or bool(_GLYPHS_IN_NUMBER.search(line))
         line = _STRAY.sub("", line) if wrong else line
 
@@ -234,7 +274,8 @@ class Reader:
             w = words[i]
             text += out[at : w.start()]
             at = w.end()
-            state, best = self.told.get(w[0].lower(), ("", None))
+            state, best = self.told.get(f"{before}\t{w[0].lower()}") or self.told.get(w[0].lower(), ("", None))
+            before = w[0].lower()
             piece = w[0]
             edge = (i == 0 and skip_first) or (i == len(words) - 1 and skip_last)
             if i + 1 < len(words) and out[w.end() : words[i + 1].start()] == " " and not edge and not (i + 1 == len(words) - 1 and skip_last):
@@ -242,6 +283,7 @@ class Reader:
                 if self._ok((w[0] + other).lower()) and (state in ("unk", "fix") or self.told.get(other.lower(), ("", None))[0] in ("unk", "fix")) and (other[0].islower() or not other[0].isupper() or other.isupper()):
                     text += w[0] + other
                     at = words[i + 1].end()
+                    before = other.lower()
                     wrong = True
                     i += 2
                     continue
@@ -261,7 +303,7 @@ class Reader:
             found.add("header")
         if self.hyphens:
             found.add("hyphenation")
-        lines, after = [], False
+        lines, after, before = [], False, ""
         for i, line in self.page.body:
             if i in self.numbers:
                 continue
@@ -271,8 +313,10 @@ class Reader:
                 if self.told.get("+" + (left + right).lower(), ("", None))[0] == "like" and not regex.fullmatch(r"[\p{Lu}]+.*", left):
                     found.add("misread")
                 line = regex.sub(r"[-‐‑¬­·][ \t]*$", "", line)
-            fixed, wrong = self.fix(line, after, broken)
+            fixed, wrong = self.fix(line, after, broken, before)
             after = broken
+            if words := _WORDS.findall(line):
+                before = "" if broken else words[-1].lower()
             if wrong:
                 found.add("misread")
             if i not in self.headers:
@@ -293,21 +337,23 @@ def read_scans(df: DataFrame, key: str, text: str, path: str, scan: str) -> Data
 
     def ask(batches):
         for b in batches:
-            out = {"key": [], "path": [], "q": [], "title": []}
+            out = {"key": [], "path": [], "q": [], "befores": [], "title": []}
             for k, t, p in zip(*(b.column(i).to_pylist() for i in range(3))):
                 page = Page(t)
-                for q in page.asked():
-                    for name, v in zip(out, (k, p, q, None)):
+                for q, befores in page.asked().items():
+                    for name, v in zip(out, (k, p, q, sorted(befores) or None, None)):
                         out[name].append(v)
                 for title in set(page.titles.values()):
-                    for name, v in zip(out, (k, p, None, title)):
+                    for name, v in zip(out, (k, p, None, None, title)):
                         out[name].append(v)
-            yield batch(out)
-
-    asked = cut(pages.mapInArrow(ask, "key string, path string, q string, title string"))
-    queries = asked.where("q is not null").select("key", "q")
-    told = cut(_verdicts(queries, cut(lexicon(rows))))
-    few = queries.where(might_contain(bloom_of(told, "q", max(1000, told.count())), F.col("q"), df.sparkSession)).join(told, "q")
+            yield batch(out, befores=pa.list_(pa.string()))
+
+    asked = cut(pages.mapInArrow(ask, "key string, path string, q string, befores array<string>, title string"))
+    queries = asked.where("q is not null").select("key", "q", "befores")
+    words = cut(lexicon(rows))
+    told = cut(_verdicts(queries, words).unionByName(_by_context(queries, words, rows)))
+    all_queries = queries.select("key", "q").unionByName(queries.select("key", "q", F.explode("befores").alias("b")).select("key", F.concat_ws("\t", "b", "q").alias("q")))
+    few = all_queries.where(might_contain(bloom_of(told, "q", max(1000, told.count())), F.col("q"), df.sparkSession)).join(told, "q")
     told_of = few.groupBy("key").agg(F.collect_list(F.struct("q", "state", "best")).alias("told"))
     titles = asked.where("title is not null and path is not null").select("key", "path", "title")
     shared = titles.groupBy("path", "title").agg(F.countDistinct("key").alias("pages")).where(F.col("pages") >= PAGES_OF_TITLE).select("path", "title")
