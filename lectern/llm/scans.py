@@ -152,10 +152,10 @@ class Page:
             words = list(_WORDS.finditer(line))
             for w in words:
                 x = w[0].lower()
-                if not _CODE.fullmatch(x):
-                    out.setdefault(x, set())
+                if x.isalpha() or not _CODE.fullmatch(x):
+                    befores = out.setdefault(x, set())
                     if before:
-                        out[x].add(before)
+                        befores.add(before)
                     if "'" in x or "’" in x:
                         out.setdefault("+" + x.replace("'", "").replace("’", ""), set())
                 before = x
@@ -232,6 +232,7 @@ class Reader:
 
     def __init__(self, page: Page, told: dict[str, tuple[str, str | None]], shared: set[str]) -> None:
         self.page, self.told = page, told
+        self.paired = any("\t" in q for q in told)
         self.headers, self.numbers = set(), set(page.numbers)
         for edge in page.edges:
             for i in edge:
@@ -269,6 +270,10 @@ class Reader:
         out = _JUNK.sub(lambda m: "" if mark(m) else m[0], line)
         wrong |= out != line
         words = list(_WORDS.finditer(out))
+        small = [w[0].lower() for w in words]
+        # where no word has a verdict, there is nothing to put right
+        if self.told.keys().isdisjoint(small) and (not self.paired or self.told.keys().isdisjoint(map("\t".join, zip([before, *small], small)))):
+            return out, wrong
         text, at, i = "", 0, 0
         while i < len(words):
             w = words[i]

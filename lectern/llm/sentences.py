@@ -8,7 +8,8 @@ of both, gives the sentences.
 
 Spaceless scripts: words are found on a lattice of dictionary words of whole runs; gaps (blanks, in Thai
 line breaks too) are then classified by the particles and words that end the left side and the words that
-open the right side. The dictionaries are the fixed lists below, not learned from the corpus.
+open the right side. The dictionary has the particles and words of the lists below and all words that
+the counts over the corpus show (``words``), with which of them open sentences.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .text import blank
+from .words import Dictionary, word_counts
 
 #: Abbreviations that a name, a number or a noun follows, and ones that may end a sentence.
 LEADING = set("""
@@ -122,53 +124,23 @@ def _enclosed(text: str) -> list[tuple[int, int]]:
     return out
 
 
-class Words:
-    """Longest paths through a lattice of dictionary words: fewest characters outside of it, then
-    fewest words."""
+_THAI_WORDS = frozenset([*TH_OPEN, *TH_SUBJECT, *TH_GO_ON, *TH_MONTHS, *TH_FINAL])
+_JA_WORDS = frozenset([*JA_FINAL, *JA_PLAIN, *JA_OPEN, *JA_GO_ON])
+_ZH_WORDS = frozenset([*ZH_FINAL, *ZH_JOINING, *ZH_OPEN, *ZH_GO_ON])
+#: The dictionary without a corpus.
+PLAIN = Dictionary()
 
-    def __init__(self, words: list[str]) -> None:
-        self.words = set(words)
-        self.longest = max(map(len, words))
 
-    def cut(self, text: str) -> list[str]:
-        n = len(text)
-        best: list[tuple[int, int, int]] = [(0, 0, 0)] + [(n + 1, 0, 0)] * n
-        for i in range(n):
-            out, many, _ = best[i]
-            if (step := (out + 1, many + 1, i)) < best[i + 1]:
-                best[i + 1] = step
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if text[i:j] in self.words and (step := (out, many + 1, i)) < best[j]:
-                    best[j] = step
-        parts, at = [], n
-        while at:
-            parts.append(text[best[at][2] : at])
-            at = best[at][2]
-        return parts[::-1]
+def _first_word(words: Dictionary, given: frozenset[str], run: str) -> str:
+    """The first word of a run."""
+    return words.cut(run, given)[0] if run else ""
 
 
-_THAI_WORDS = Words([*TH_OPEN, *TH_SUBJECT, *TH_GO_ON, *TH_MONTHS, *TH_FINAL])
-_JA_WORDS = Words([*JA_FINAL, *JA_PLAIN, *JA_OPEN, *JA_GO_ON])
-_ZH_WORDS = Words([*ZH_FINAL, *ZH_JOINING, *ZH_OPEN, *ZH_GO_ON])
+def _last_word(words: Dictionary, given: frozenset[str], run: str) -> str:
+    return words.cut(run, given)[-1] if run else ""
 
 
-def _first_word(words: Words, run: str) -> str:
-    """The first dictionary word of a run; empty if it begins with none."""
-    word = words.cut(run)[0] if run else ""
-    return word if word in words.words else ""
-
-
-def _last_word(words: Words, run: str) -> str:
-    word = words.cut(run)[-1] if run else ""
-    return word if word in words.words else ""
-
-
-def _first_thai(right: str) -> str:
-    head = re.match("[฀-๿]+", right)
-    return _first_word(_THAI_WORDS, head[0] if head else "")
-
-
-def _east_gap(left: str, right: str) -> float:
+def _east_gap(left: str, right: str, words: Dictionary = PLAIN) -> float:
     """How well a Chinese or Japanese sentence ends at a blank."""
     left, right = _EAST_RUN.findall(left)[-1:], _EAST_RUN.match(right)
     if not left or not right:
@@ -176,27 +148,27 @@ def _east_gap(left: str, right: str) -> float:
     run, rest = left[0], right[0]
     if _KANA.search(run) or _KANA.search(rest):
         # only endings and openings are looked up: kanji between them are no words of the dictionary
-        last = next((w for w in sorted([*JA_FINAL, *JA_PLAIN], key=len, reverse=True) if run.endswith(w)), "") if _last_word(_JA_WORDS, run) else ""
-        first = _first_word(_JA_WORDS, rest)
+        last = next((w for w in sorted([*JA_FINAL, *JA_PLAIN], key=len, reverse=True) if run.endswith(w)), "") if _last_word(words, _JA_WORDS, run) in _JA_WORDS else ""
+        first = _first_word(words, _JA_WORDS, rest)
         if first in JA_GO_ON or not last:
             return -5.0 if first in JA_GO_ON else -3.0
         if last in JA_FINAL:
             return 4.0
         # a plain form may stand before a noun, unless what follows opens or is a sentence
-        return 2.0 if first in JA_OPEN or rest.endswith((*JA_FINAL, *JA_PLAIN)) and min(len(run), len(rest)) > ZH_CLAUSE else -2.0
-    last, first = _last_word(_ZH_WORDS, run), _first_word(_ZH_WORDS, rest)
+        return 2.0 if first in JA_OPEN or words.opens(first) or rest.endswith((*JA_FINAL, *JA_PLAIN)) and min(len(run), len(rest)) > ZH_CLAUSE else -2.0
+    last, first = _last_word(words, _ZH_WORDS, run), _first_word(words, _ZH_WORDS, rest)
     if first in ZH_GO_ON:
         return -5.0
     if last in ZH_JOINING:
         return -4.0
     if min(len(run), len(rest)) < ZH_CLAUSE // 2:
         return -2.0
-    if last in ZH_FINAL or first in ZH_OPEN:
+    if last in ZH_FINAL or first in ZH_OPEN or words.opens(first):
         return 3.0
     return 1.0 if min(len(run), len(rest)) >= ZH_CLAUSE else -2.0
 
 
-def _thai_gap(left: str, right: str) -> float:
+def _thai_gap(left: str, right: str, words: Dictionary = PLAIN) -> float:
     last = re.split(r"[ \n\t]", left.rstrip())[-1]
     if last in TH_OPEN or any(last.endswith(x) for x in TH_OPEN if len(x) > 5):
         return -5.0
@@ -204,17 +176,18 @@ def _thai_gap(left: str, right: str) -> float:
         return -5.0
     if re.match(r"\d|[A-Z]{1,3}-\d|[A-Z]\d", right):
         return -5.0
-    word = _first_thai(right)
+    head = re.match("[฀-๿]+", right)
+    word = _first_word(words, _THAI_WORDS, head[0] if head else "")
     if word in TH_MONTHS:
         return -5.0
     if re.search(r"(?:เลขที่|วันที่|ดร\.|นาย|นาง|คุณ|แฟ้ม|ราว|หน้า)$", left.rstrip()):
         return -5.0
     if any(right.startswith(x) for x in TH_OPEN):
         return 4.0
-    if word in TH_SUBJECT:
+    if word in TH_SUBJECT or word not in TH_GO_ON and words.opens(word):
         return 3.0
     ending = re.search("[฀-๿]+$", last)
-    if ending and _last_word(_THAI_WORDS, ending[0]) in TH_FINAL:
+    if ending and _last_word(words, _THAI_WORDS, ending[0]) in TH_FINAL:
         return 3.0
     if word in TH_GO_ON:
         return -3.0
@@ -301,7 +274,7 @@ def _coded_line(text: str, at: int) -> bool:
     return 2 <= len(words) <= 8 and words[0][:1].islower() and bool(_CODE.fullmatch(words[-1])) and words[-1][0] not in "[("
 
 
-def _line_score(text: str, unit: int, start: int, end: int) -> float:
+def _line_score(text: str, unit: int, start: int, end: int, words_of: Dictionary = PLAIN) -> float:
     """How well a unit that began at ``unit`` ends with the line break at start..end."""
     if text.count("\n", start, end) > 1:
         return 6.0
@@ -323,7 +296,7 @@ def _line_score(text: str, unit: int, start: int, end: int) -> float:
     if _THAI.search(line[-12:]) or _THAI.match(right):
         if _CODE.search(words[-1]) and len(words) <= 4:
             return 4.0
-        return _thai_gap(line, right)
+        return _thai_gap(line, right, words_of)
     first = right.lstrip("\"'“‘«„‹「『（(【《〈[¿¡*_`")[:1]
     coded = bool(_CODE.search(words[-1]))
     if _EAST.search(line) or _EAST.match(first):
@@ -348,7 +321,7 @@ def _kind(text: str, unit: int) -> tuple[bool, bool]:
     return bool(_BULLET.match(head)), head[:1].islower()
 
 
-def _best_path(text: str, nodes: list[tuple[int, str, int, int, int]]) -> list[int]:
+def _best_path(text: str, nodes: list[tuple[int, str, int, int, int]], words: Dictionary = PLAIN) -> list[int]:
     """The cuts of the path with the greatest sum of node and span scores.
 
     The score of a node may depend on where the span that it ends begins; there is a way from one to the
@@ -381,18 +354,19 @@ def _best_path(text: str, nodes: list[tuple[int, str, int, int, int]]) -> list[i
                     paid[k] += worth
         return found
 
+    learned = () if words is PLAIN else (words,)
     for at, kind, start, end, close in nodes:
         if not 0 < at < len(text):
             continue
         if kind == "mark":
             fixed = _mark_score(text, start, end, close)
         elif kind == "east":
-            fixed = _east_gap(text[max(0, start - NEAR) : start], text[end : end + NEAR])
+            fixed = _east_gap(text[max(0, start - NEAR) : start], text[end : end + NEAR], *learned)
         if kind == "line":
-            score = lambda unit: _line_score(text, unit, start, end)  # noqa: B023, E731
+            score = lambda unit: _line_score(text, unit, start, end, *learned)  # noqa: B023, E731
         elif kind == "gap":
             right = text[end : end + 60]
-            score = lambda unit: _thai_gap(left, right) if _THAI.search((left := text[max(unit, start - NEAR) : start])[-40:]) else -3.0  # noqa: B023, E731
+            score = lambda unit: _thai_gap(left, right, *learned) if _THAI.search((left := text[max(unit, start - NEAR) : start])[-40:]) else -3.0  # noqa: B023, E731
         else:
             score = lambda unit: fixed  # noqa: B023, E731
         if kind in ("mark", "east") and fixed <= 0:
@@ -416,7 +390,7 @@ def _best_path(text: str, nodes: list[tuple[int, str, int, int, int]]) -> list[i
     return cuts[::-1]
 
 
-def sentences(text: str | None) -> list[tuple[int, int]]:
+def sentences(text: str | None, words: Dictionary = PLAIN) -> list[tuple[int, int]]:
     """Places of the sentences of a text, blanks at the ends left out; none for null and blank text.
 
     Each character that is no blank lies in exactly one of them.
@@ -456,7 +430,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             if not covered[m.start()]:
                 nodes.append((m.start(), "east", m.start(), m.end(), m.start()))
     nodes.sort()
-    cuts = _best_path(text, nodes)
+    cuts = _best_path(text, nodes, words)
     out = []
     for a, b in zip([0, *cuts], [*cuts, len(text)]):
         while a < b and text[a].isspace():
@@ -471,19 +445,23 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def split_sentences(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+def split_sentences(df: DataFrame, key: str, text: str = "text", dictionary: DataFrame | None = None) -> DataFrame:
     """``key``, ``sentence_no`` (from 0), ``start_char``, ``end_char``, ``sentence``.
 
     Defined cases: null and blank texts have no sentence; a text without any end mark is one; marks
     alone belong to the sentence before, or are one if nothing else is there; repeated rows stay
-    repeated; texts of any length are read whole.
+    repeated; texts of any length are read whole. Words of spaceless scripts are learned from ``dictionary``,
+    by default from ``df`` itself.
     """
 
+    counts = df.sparkSession.sparkContext.broadcast(word_counts(dictionary if dictionary is not None else df, text))
+
     def run(batches):
+        words = Dictionary(counts.value)
         for b in batches:
             rows, number, starts, ends, parts = [], [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                for n, (s, e) in enumerate(sentences(t)):
+                for n, (s, e) in enumerate(sentences(t, words)):
                     rows.append(i)
                     number.append(n)
                     starts.append(s)
@@ -501,7 +479,7 @@ def p1_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "segments").where(F.col("kind").isin("md", "docx", "odt", "inp")).select("segment_id", "text")
-    return split_sentences(rows, "segment_id").select("segment_id", "start_char", "end_char").distinct()
+    return split_sentences(rows, "segment_id", dictionary=table(spark, d, "segments")).select("segment_id", "start_char", "end_char").distinct()
 
 
 QUERIES = {"p1_found": p1_found, "p1_sentences": p1_sentences}

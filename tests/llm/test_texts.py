@@ -210,3 +210,16 @@ def test_short_sentences_of_another_language(spark):
     for r in identify(df, "id").collect():
         got.setdefault(r.id, set()).add(r.lang)
     assert (got["short"], got["heading"], got["name"]) == ({"en", "ru"}, {"en"}, {"en"})
+
+
+def test_words_are_learned_from_counts(spark):
+    from lectern.llm.words import Dictionary, word_counts
+
+    r = random.Random(1)
+    words = ["档案馆", "检查", "清单", "温度", "记录本", "更换", "封存", "报告"]
+    texts = ["".join(r.choice(words) for _ in range(6)) + "。" for _ in range(400)] + [None, "", "no such script"]
+    learned = Dictionary(word_counts(spark.createDataFrame([(t,) for t in texts], "text string")))
+    assert learned.cut("档案馆更换记录本", frozenset()) == ("档案馆", "更换", "记录本")
+    assert learned.cut("检查温度", frozenset(["检"])) == ("检查", "温度")
+    assert Dictionary().cut("档案馆", frozenset()) == ("档", "案", "馆")
+    assert Dictionary(word_counts(spark.createDataFrame([], "text string"))).cut("档案", frozenset()) == ("档", "案")
