@@ -16,8 +16,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import citations, grounding, ledger, retrieval, search, snapshots
+from .operators import citations, grounding, ledger, retrieval, search, snapshots, trial
 from .operators.ledger import kind, media_type
+from .sources import records
 from .sources import scan as sources
 
 DURABLE = ("objects", "ingestions", "processing_runs", "runs", "originals")
@@ -173,6 +174,52 @@ class Archive:
         rows = self.spark.read.parquet(self._staged(grounding.report(title, grounding.first_per_source(search.search(self.index(), phrase, None), most))))
         return rows, grounding.report_errors(rows)
 
+    def run_task(self, text: str) -> dict:
+        """Run a task given as JSON: a report of its query, written with its manifest and what the
+        archive held before and after. The state is ``succeeded`` only if the report has no fault and no
+        original changed meanwhile."""
+        task = records.task(text)
+        run = {"run_id": uuid.uuid4().hex, "question": task["query"], "state": "succeeded", "citations": 0, "answer": None}
+        folder = f"{self.home}/tasks/{run['run_id']}"
+        self.manifest().write.parquet(f"{folder}/before")
+        rows, errors = self.report(task["title"], task["query"], task["max_sources"])
+        rows.write.parquet(f"{folder}/report")
+        trial.report_manifest(rows).write.parquet(f"{folder}/manifest")
+        self.manifest().write.parquet(f"{folder}/after")
+        faults = [r["error"] for r in errors.limit(100).collect()] + self._moved(folder)
+        run["citations"] = rows.where("section = 'Sources'").count()
+        if not run["citations"]:
+            faults.append("no source holds the query")
+        if faults:
+            run |= {"state": "partially_produced_but_invalid", "answer": "; ".join(faults)}
+        self._append("runs", self.spark.createDataFrame([tuple(run.values())], "run_id string, question string, state string, citations int, answer string"))
+        return run | {"report": folder}
+
+    def _moved(self, folder: str) -> list[str]:
+        before, after = (self.spark.read.parquet(f"{folder}/{x}").where("path <> 'runs'") for x in ("before", "after"))
+        return [f"{r['path']}: {r['difference']}" for r in snapshots.differences(before, after, "path", "size", "sha256").collect()]
+
+    def verify_task(self, run_id: str) -> list[str]:
+        """What is wrong with a task's output now: a report that differs from its manifest or has faults,
+        sources it names that the archive lacks, originals that changed while it ran."""
+        folder = f"{self.home}/tasks/{run_id}"
+        if not self._there(f"tasks/{run_id}"):
+            return ["no such task"]
+        rows, told = (self.spark.read.parquet(f"{folder}/{x}") for x in ("report", "manifest"))
+        out = [f"{r['section']}: {r['difference']}" for r in snapshots.differences(told, trial.report_manifest(rows), "section", "rows", "sha256").collect()]
+        out += [r["error"] for r in grounding.report_errors(rows).collect()]
+        cited = rows.where("section = 'Sources'").select(F.regexp_extract("text", r"sha256 ([0-9a-f]{64})$", 1).alias("sha256"))
+        out += [f"source is missing: {r['sha256']}" for r in cited.join(self.table("objects"), "sha256", "left_anti").collect()]
+        return out + self._moved(folder)
+
+    def doctor(self) -> list[str]:
+        """What is wrong with the archive: damaged originals, broken ledgers, an index not built."""
+        out = [f"{r['fault']}: {r['sha256']}" for r in self.damaged().limit(1000).collect()] if self._there("originals") else ["nothing has been added"]
+        for name, key in (("ingestions", "ingestion_id"), ("processing_runs", "processing_id")):
+            if self._there(name):
+                out += [f"{name} {r['record_id']}: {r['rule']}" for r in ledger.violations(name, self.table(name).select(key, "object_sha256", "status"), key).limit(1000).collect()]
+        return out if self._there("segments.current") else [*out, "the index has not been built"]
+
     def status(self) -> dict:
         return ledger.archive_status(*(self.table(t) for t in DURABLE[:3])).first().asDict()
 

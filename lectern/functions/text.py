@@ -122,3 +122,8 @@ def is_digest(c: Column) -> Column:
 
 def is_run_id(c: Column) -> Column:
     return F.coalesce(c.rlike("^[0-9a-f]{32}$"), F.lit(False))
+
+
+def is_external(href: Column) -> Column:
+    """Whether a reference leaves its document: it names a scheme or a host. Null for null."""
+    return href.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:|//)")

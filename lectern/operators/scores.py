@@ -10,6 +10,8 @@ from ..functions.edits import text_metrics
 
 #: Groups of fixtures by tags; a fixture may be in several.
 ROUTES = {"latin": ("printed",), "header": ("printed", "header"), "degraded": ("degraded",), "mixed": ("mixed",), "arabic": ("ara",)}
+#: Ranges of values in which medians are looked for.
+RANGES = 4096
 
 
 def retrieval(outcome: DataFrame, key: str) -> DataFrame:
@@ -54,17 +56,28 @@ def failure(recall: Column, citations_ok: Column, completeness: Column, honest:
     return F.when(recall < 1, "query construction").when(~citations_ok, "citation").when(completeness < 1, "incomplete answer").when(~honest, "dishonest answer").otherwise("none")
 
 
-def upper_median(c: str) -> Column:
-    """The element at n/2 of the sorted values, counted from 0; null for none."""
-    v = F.array_sort(F.collect_list(c))
-    return F.get(v, F.floor(F.size(v) / 2).cast("int"))
-
-
 def upper_medians(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """Upper medians without gathering a group: by rank and count, on sorted partitions."""
-    w = W.partitionBy(*by)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("n", F.count("*").over(w)).withColumn("i", F.row_number().over(w.orderBy(value)))
-    return ranked.where(F.col("i") == F.floor(F.col("n") / 2) + 1).select(*by, F.col(value).alias("upper_median"), "n")
+    """The element at n/2 of each group's sorted values, counted from 0; groups of nulls have none.
+
+    Values are counted first, so what is ranked is each different value once; the ranks are sums over
+    parts of ``RANGES`` ranges of values, so no group is one task however many rows it has.
+    """
+    # a group is known by its columns as JSON, so that a null is a group of its own
+    rows = rows.where(F.col(value).isNotNull()).withColumn("group", F.to_json(F.struct(*by)))
+    seen = rows.groupBy("group", value).agg(F.count("*").alias("c"), *(F.first(b).alias(b) for b in by))
+    edges = seen.groupBy("group").agg(F.min(value).alias("low"), F.max(value).alias("high"), F.sum("c").alias("n"))
+    width = F.greatest((F.col("high") - F.col("low")) / RANGES, F.lit(1e-9))
+    placed = seen.join(edges, "group").withColumn("range", F.least(F.floor((F.col(value) - F.col("low")) / width), F.lit(RANGES - 1)).cast("int"))
+    ranges = placed.groupBy("group", "range").agg(F.sum("c").alias("in_range"), F.first("n").alias("n"))
+    # at most ``RANGES`` rows a group: which range holds the middle, and how many lie before it
+    before = W.partitionBy("group").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    middle = ranges.withColumn("before", F.coalesce(F.sum("in_range").over(before), F.lit(0))).withColumn("at", F.floor(F.col("n") / 2))
+    middle = middle.where((F.col("before") <= F.col("at")) & (F.col("before") + F.col("in_range") > F.col("at"))).select("group", "range", "before", "at")
+    upto = W.partitionBy("group").orderBy(value)
+    ranked = placed.join(middle, ["group", "range"]).withColumn("upto", F.col("before") + F.sum("c").over(upto))
+    # the first value whose rank passes the middle
+    found = ranked.where(F.col("upto") > F.col("at")).groupBy("group").agg(*(F.first(b).alias(b) for b in by), F.min(value).alias("upper_median"), F.first("n").alias("n"))
+    return found.drop("group")
 
 
 def mode_first(rows: DataFrame, value: str, order: str, *by: str) -> DataFrame:

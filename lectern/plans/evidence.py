@@ -159,9 +159,11 @@ def source_locations(spark, d):
     return citations.locations(cites, table(spark, d, "objects"))
 
 
-_TOK = f"regexp_extract_all(translate(lower(text), '{T.FOLD_FROM}', '{T.FOLD_TO}'), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
+#: Letters with one accent and what is left without it, told by DuckDB's own rules.
+_FOLD = "fold AS (SELECT string_agg(c, '' ORDER BY i) AS f, string_agg(strip_accents(c), '' ORDER BY i) AS t FROM (SELECT i, chr(i::int) AS c FROM range(192, 592) r(i)) WHERE lower(c) = c AND strip_accents(c) <> c AND regexp_full_match(strip_accents(c), '[a-z]'))"
+_TOK = "regexp_extract_all(translate(lower(text), (SELECT f FROM fold), (SELECT t FROM fold)), '[\\p{L}\\p{N}\\p{Co}]+')"
 _W = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
-_SEG = f"seg AS (SELECT *, len(tokens) AS dl FROM (SELECT DISTINCT ON (segment_id) *, {_TOK} AS tokens FROM segments WHERE segment_id IS NOT NULL AND text IS NOT NULL AND regexp_replace(text, '{_W}+', '', 'g') <> ''))"
+_SEG = f"{_FOLD}, seg AS (SELECT *, len(tokens) AS dl FROM (SELECT DISTINCT ON (segment_id) *, {_TOK} AS tokens FROM segments WHERE segment_id IS NOT NULL AND text IS NOT NULL AND regexp_replace(text, '{_W}+', '', 'g') <> ''))"
 
 
 def _bm25(phrases, name="hits") -> str:

@@ -91,9 +91,9 @@ def source_hash_diff(spark, d):
 
 
 def row_set_diff(spark, d):
-    runs = table(spark, d, "processing_runs")
-    a = runs.where("status = 'succeeded'").select("object_sha256", "processor")
-    return snapshots.same_rows(a, runs.where("output_sha256 is not null").select("object_sha256", "processor"))
+    """What succeeded ingestions name against what the archive holds, as bags of digests."""
+    a = table(spark, d, "ingestions").where("status = 'succeeded'").select("object_sha256")
+    return snapshots.same_rows(a, table(spark, d, "objects").select(F.col("sha256").alias("object_sha256")))
 
 
 def mapping_compare(spark, d):
@@ -133,7 +133,7 @@ SQL = {
     "snapshot_manifest": "SELECT storage_path AS path, size, sha256 FROM objects",
     "restored_paths": f"SELECT ingestion_id, CASE WHEN starts_with(source_path, '{ROOT}/') OR source_path = '{ROOT}' THEN '{NEW_ROOT}' || substr(source_path, {len(ROOT) + 1}) ELSE source_path END AS source_path FROM (SELECT DISTINCT ingestion_id, source_path FROM ingestions)",
     "source_hash_diff": "SELECT doc_id, 'changed' AS difference FROM documents WHERE text IS NOT NULL AND doc_id % 7 = 0 AND upper(text) <> text",
-    "row_set_diff": "WITH a AS (SELECT object_sha256, processor FROM processing_runs WHERE status = 'succeeded'), b AS (SELECT object_sha256, processor FROM processing_runs WHERE output_sha256 IS NOT NULL) (SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) UNION ALL (SELECT *, 'right' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))",
+    "row_set_diff": "WITH a AS (SELECT object_sha256 FROM ingestions WHERE status = 'succeeded'), b AS (SELECT sha256 AS object_sha256 FROM objects) (SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) UNION ALL (SELECT *, 'right' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))",
     "mapping_compare": f"WITH n AS ({_NAMES}), a AS (SELECT sha256, min(lower(source_extension)) AS x, true AS ina FROM objects GROUP BY 1), b AS (SELECT object_sha256 AS sha256, min({_SUFFIX.format('source_name')}) AS y, true AS inb FROM n GROUP BY 1) SELECT count(*) FILTER (ina AND inb) AS overlap, count(*) FILTER (ina AND inb AND x IS NOT DISTINCT FROM y) AS agree, count(*) FILTER (ina AND inb AND x IS DISTINCT FROM y) AS conflict, count(*) FILTER (inb IS NULL) AS left_only, count(*) FILTER (ina IS NULL) AS right_only FROM a FULL JOIN b USING (sha256)",
     "redact_paths": "SELECT ingestion_id, replace(regexp_replace('read /home/' || coalesce(source_name, 'x') || coalesce(source_path, '') || ' by key-1', '/(home|Users)/[^/\\s\"'']+', '<home>', 'g'), 'key-1', '<redacted>') AS message FROM (SELECT DISTINCT ingestion_id, source_name, source_path FROM ingestions)",
 }

@@ -51,26 +51,6 @@ def ocr_metrics(spark, d):
     return _runs(spark, d).drop("tags")
 
 
-def ocr_aggregate(spark, d):
-    return scores.micro(_runs(spark, d), "language")
-
-
-def candidate_ranking(spark, d):
-    by = scores.micro(_runs(spark, d), "language")
-    return scores.ranked(by, "language", F.col("fixtures") > 3).select("language", "fixtures", "cer", "wer", "place")
-
-
-def route_best(spark, d):
-    by = scores.micro(scores.routes(_runs(spark, d)), "route", "language")
-    return by.groupBy("route").agg(F.min(F.struct("cer", "wer", "language")).alias("x")).select("route", F.col("x.language").alias("language"), F.col("x.cer").alias("cer"), F.col("x.wer").alias("wer"))
-
-
-def cer_distance(spark, d):
-    rows = table(spark, d, "ocr_pairs")
-    a, b = T.collapse(F.coalesce("reference", F.lit(""))), T.collapse(F.coalesce("hypothesis", F.lit("")))
-    return rows.select("fixture_id", F.levenshtein(a, b).alias("distance"), F.length(a).alias("characters"))
-
-
 def line_counts(spark, d):
     rows = table(spark, d, "ocr_pairs")
     seen = lambda c: F.size(F.filter(T.lines(F.coalesce(c, F.lit(""))), lambda x: T.strip(x) != ""))
@@ -134,22 +114,12 @@ def prompts(spark, d):
     return grounding.prompts(q.dropDuplicates(["question_id"]), grounding.numbered(ev, "question_id", "evidence_no"), "question_id")
 
 
-def report_rows(spark, d):
-    from .evidence import PHRASE, _index
-    from ..operators.search import search
-
-    return grounding.report("Retention", grounding.first_per_source(search(_index(spark, d), PHRASE, None), 10))
-
-
-def report_validation(spark, d):
-    rows = report_rows(spark, d)
-    broken = rows.where("not (section = 'Sources' and ordinal = 2)").withColumn("text", F.when((F.col("section") == "Findings") & (F.col("ordinal") == 3), F.lit("no mark")).otherwise(F.col("text"))).where("section <> 'Summary'")
-    return grounding.report_errors(rows).select(F.lit("whole").alias("report"), "error").unionByName(grounding.report_errors(broken).select(F.lit("broken").alias("report"), "error"))
-
-
 def external_links(spark, d):
-    rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^\s\"'<>]+"), F.lit(0))).alias("href"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("links"))
+    """References of documents made of their titles: to other hosts, within the document, to files."""
+    n = F.col("doc_id") % 5
+    href = F.when(n == 0, F.concat(F.lit("https://host-"), F.col("source"), F.lit("/"), F.coalesce("title", F.lit("")))).when(n == 1, F.concat(F.lit("#"), "title")).when(n == 2, F.concat(F.lit("//"), F.col("source"), F.lit("/x"))).when(n == 3, F.concat(F.lit("file:///"), "title")).otherwise(F.col("title"))
+    rows = table(spark, d, "documents").select("source", href.alias("href"))
+    return rows.where(T.is_external(F.col("href"))).groupBy("source").agg(F.count("*").alias("links"))
 
 
 def ocr_tsv_lines(spark, d):
@@ -175,12 +145,6 @@ def normal_forms(spark, d):
     return out
 
 
-def redacted_locators(spark, d):
-    from ..sources.records import redacted
-
-    return redacted(table(spark, d, "segments").select("segment_id", "locator_json").distinct(), "locator_json", ("engine", "Sheet"))
-
-
 def benchmark_checks(spark, d):
     from ..sources.records import benchmark_errors
 
@@ -208,7 +172,13 @@ _KEYS = "[" + ", ".join(f"'{k}'" for k in T.LOCATOR_KEYS) + "]"
 _ANS = "SELECT question_id, lower(coalesce(passage, '')) AS t, coalesce(facts, []) AS facts, coalesce(forbidden, []) AS forbidden, coalesce(expected_contradiction, false) AS c, coalesce(accept_insufficient, false) AS a FROM (SELECT DISTINCT ON (question_id) * FROM questions)"
 _SCORED = f"s AS (SELECT question_id, len(facts)::int AS facts, len(list_filter(facts, lambda f: len(list_filter(f.terms, lambda x: contains(t, lower(x)))) = len(f.terms)))::int AS facts_met, len(list_filter(forbidden, lambda x: contains(t, lower(x))))::int AS forbidden_claims, NOT c AS contradiction_handled, (t = '' AND NOT a) AS silent FROM ({_ANS})), v AS (SELECT question_id, facts, facts_met, forbidden_claims, round(greatest(0.0::double, CASE WHEN facts = 0 THEN 1.0::double ELSE facts_met::double / facts END - CASE WHEN forbidden_claims > 0 THEN 0.25::double ELSE 0.0::double END), 6) AS completeness, forbidden_claims = 0 AND contradiction_handled AND NOT silent AS honest, contradiction_handled FROM s)"
 
-QUERIES = {f.__name__: f for f in (upper_median_duration, failure_histogram, mode_first_seen, answer_scoring, trial_aggregate, ocr_metrics, ocr_aggregate, candidate_ranking, route_best, cer_distance, line_counts, char_counts, locator_format, excerpt_180, parsed_answers, unknown_citations, citation_structure, run_states, prompts, report_rows, report_validation, external_links, ocr_tsv_lines, normal_forms, redacted_locators, benchmark_checks)}
+_RAW = """raw AS (SELECT question_id, CASE n WHEN 0 THEN 'Here:' || chr(10) || '```json' || chr(10) || body || chr(10) || '```' WHEN 1 THEN 'Sure. ' || body || ' Done.' WHEN 2 THEN 'no json here' WHEN 4 THEN '{"paragraphs": [], "mood": "good"}' ELSE body END AS raw
+  FROM (SELECT question_id, n, to_json({'paragraphs': [{'text': question, 'citation_ids': CASE WHEN n = 3 THEN ['CIT-9', 'X-1'] ELSE ['CIT-1'] END}]})::varchar AS body FROM (SELECT DISTINCT question_id, question, regexp_extract(question_id, '(\\d+)$', 1)::int % 5 AS n FROM questions))),
+pay AS (SELECT question_id, CASE WHEN fenced <> '' THEN fenced WHEN bare <> '' THEN bare END AS payload FROM (SELECT question_id, regexp_extract(raw, '(?s)```(?:json)?\\s*(\\{.*?\\})\\s*```', 1) AS fenced, regexp_extract(raw, '(?s)(\\{.*\\})', 1) AS bare FROM raw)),
+told AS (SELECT question_id, payload, CASE WHEN payload IS NULL THEN 'no json' WHEN NOT json_valid(payload) THEN 'malformed' WHEN len(list_filter(json_keys(payload), lambda k: NOT list_contains(['paragraphs', 'claims', 'insufficient_evidence', 'contradictions'], k))) > 0 THEN 'unknown keys' END AS parse_error FROM pay),
+ids AS (SELECT question_id, parse_error, CASE WHEN parse_error IS NULL THEN coalesce(json_array_length(payload, '$.paragraphs'), 0) ELSE 0 END::int AS paragraphs, CASE WHEN parse_error IS NULL THEN list_distinct(list_concat(coalesce(json_extract_string(payload, '$.paragraphs[*].citation_ids[*]'), []), coalesce(json_extract_string(payload, '$.claims[*].citation_ids[*]'), []))) ELSE [] END AS cited FROM told)"""
+
+QUERIES = {f.__name__: f for f in (upper_median_duration, failure_histogram, mode_first_seen, answer_scoring, trial_aggregate, ocr_metrics, line_counts, char_counts, locator_format, excerpt_180, parsed_answers, unknown_citations, citation_structure, run_states, prompts, external_links, ocr_tsv_lines, normal_forms, benchmark_checks)}
 SQL = {
     "benchmark_checks": "SELECT 'too few questions' AS error FROM (SELECT count(DISTINCT question_id) AS n FROM questions) WHERE n < 20 UNION ALL SELECT 'question id given twice: ' || question_id FROM questions GROUP BY question_id HAVING count(*) > 1 UNION ALL SELECT 'unknown source: ' || s FROM (SELECT DISTINCT unnest(expected) AS s FROM questions) WHERE s NOT IN (SELECT source_name FROM segments WHERE source_name IS NOT NULL)",
     "ocr_tsv_lines": f"""
@@ -232,9 +202,9 @@ SELECT segment_id,
   CASE WHEN ks IS NULL OR len(ks) = 0 THEN 'document' ELSE array_to_string(list_transform(lambda_keys, lambda x: replace(x, '_', ' ') || ' ' || coalesce(locator_json ->> ('$."' || x || '"'), 'null')), ', ') END AS told,
   CASE WHEN ks IS NULL OR len(ks) = 0 THEN 'source' ELSE array_to_string(list_transform(list_sort(ks), lambda x: x || ' ' || coalesce(locator_json ->> ('$."' || x || '"'), 'null')), ', ') END AS short
 FROM v""",
-    "unknown_citations": "SELECT question_id, unnest(['CIT-9', 'X-1']) AS citation_id FROM (SELECT DISTINCT question_id FROM questions WHERE regexp_extract(question_id, '(\\d+)$', 1)::int % 5 = 3)",
-    "parsed_answers": "SELECT question_id, CASE n WHEN 2 THEN 'no json' WHEN 4 THEN 'unknown keys' END AS parse_error, CASE n WHEN 2 THEN 0 WHEN 4 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS cited, CASE WHEN n IN (2, 4) THEN 0 ELSE 1 END AS paragraphs FROM (SELECT DISTINCT question_id, regexp_extract(question_id, '(\\d+)$', 1)::int % 5 AS n FROM questions)",
-    "citation_structure": "SELECT question_id, n IN (2, 4) AS missing, CASE WHEN n = 3 THEN 1 ELSE 0 END AS malformed, CASE WHEN n = 3 THEN 1 ELSE 0 END AS unknown FROM (SELECT DISTINCT question_id, regexp_extract(question_id, '(\\d+)$', 1)::int % 5 AS n FROM questions)",
-    "run_states": "SELECT question_id, CASE WHEN n IN (2, 3, 4) THEN 'partially_produced_but_invalid' ELSE 'succeeded' END AS state FROM (SELECT DISTINCT question_id, regexp_extract(question_id, '(\\d+)$', 1)::int % 5 AS n FROM questions)",
-    "external_links": "SELECT doc_id, count(*) AS links FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^\\s\"''<>]+')) AS href FROM documents WHERE text IS NOT NULL) GROUP BY 1",
+    "unknown_citations": f"WITH {_RAW} SELECT question_id, c AS citation_id FROM (SELECT question_id, unnest(cited) AS c FROM ids) WHERE c NOT IN ('CIT-1', 'CIT-2')",
+    "parsed_answers": f"WITH {_RAW} SELECT question_id, parse_error, len(cited)::int AS cited, paragraphs FROM ids",
+    "citation_structure": f"WITH {_RAW} SELECT question_id, len(cited) = 0 AS missing, len(list_filter(cited, lambda c: NOT regexp_matches(c, '^CIT-[1-9][0-9]*$')))::int AS malformed, len(list_filter(cited, lambda c: regexp_matches(c, '^CIT-[1-9][0-9]*$') AND c NOT IN ('CIT-1', 'CIT-2')))::int AS unknown FROM ids",
+    "run_states": f"WITH {_RAW} SELECT question_id, CASE WHEN parse_error IS NOT NULL OR len(list_filter(cited, lambda c: NOT regexp_matches(c, '^CIT-[1-9][0-9]*$') OR c NOT IN ('CIT-1', 'CIT-2'))) > 0 THEN 'partially_produced_but_invalid' ELSE 'succeeded' END AS state FROM ids",
+    "external_links": "SELECT source, count(*) AS links FROM (SELECT source, CASE doc_id % 5 WHEN 0 THEN 'https://host-' || source || '/' || coalesce(title, '') WHEN 1 THEN '#' || title WHEN 2 THEN '//' || source || '/x' WHEN 3 THEN 'file:///' || title ELSE title END AS href FROM documents) WHERE regexp_matches(href, '^([a-zA-Z][a-zA-Z0-9+.-]*:|//)') GROUP BY 1",
 }

@@ -254,13 +254,20 @@ def _checked(data: bytes, mimetype: str) -> Package:
     return p
 
 
+def content_of(data: bytes, suffix: str, mimetype: str) -> ET.Element:
+    """The content of an OpenDocument file, packed or flat."""
+    if not suffix.startswith("fod"):
+        return xml(_checked(data, mimetype).read("content.xml"))
+    if len(data) > MOST_FLAT:
+        raise ValueError("flat document is too large")
+    return xml(data)
+
+
 def open_document(data: bytes, suffix: str, mimetype: str) -> Segments:
-    if suffix.startswith("fod"):
-        if len(data) > MOST_FLAT:
-            raise ValueError("flat document is too large")
-        root = xml(data)
-    else:
-        root = xml(_checked(data, mimetype).read("content.xml"))
+    return segments_in(content_of(data, suffix, mimetype), suffix)
+
+
+def segments_in(root: ET.Element, suffix: str) -> Segments:
     if suffix == "odf":
         parts = [t.strip() for t in root.itertext() if t.strip()]
         source = next((e.text for e in root.iter(f"{_MATH}annotation") if e.text), None)
@@ -290,6 +297,12 @@ def odb(data: bytes, mimetype: str) -> Segments:
     return out
 
 
+def odb_counts(segments: Segments) -> dict:
+    """How many tables, queries, forms and reports a database file names."""
+    kinds = [k["database_object"] for k, _ in segments]
+    return {k: kinds.count(k) for k in ("table", "query", "form", "report")}
+
+
 def wav(data: bytes) -> dict:
     """Channels, rate and duration of a sound file."""
     try:

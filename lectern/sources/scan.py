@@ -33,9 +33,11 @@ def normalize(name: str, data: bytes) -> tuple[list[tuple[dict, str]], dict]:
     if kind_ in ("docx", "xlsx", "pptx"):
         return getattr(packages, kind_)(data), {}
     if kind_ == "odb":
-        return packages.odb(data, MEDIA_TYPES[suffix]), {}
+        named = packages.odb(data, MEDIA_TYPES[suffix])
+        return named, packages.odb_counts(named)
     if kind_ in packages.BODIES or kind_ == "odf":
-        return packages.open_document(data, kind_, MEDIA_TYPES[suffix]), {}
+        root = packages.content_of(data, kind_, MEDIA_TYPES[suffix])
+        return packages.segments_in(root, kind_), {"external_links": packages.external_links(root)}
     if kind_ == "inp":
         return inpage.read(data), {"classification": inpage.classify(name, data)}
     if kind_ == "wav":

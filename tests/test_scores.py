@@ -52,7 +52,10 @@ def test_answers(spark):
 def test_medians_and_modes(spark):
     rows = spark.createDataFrame([("a", v) for v in (5, 1, 3, 9)] + [("b", None), ("b", 2)], "g string, v int")
     assert {r.g: r.upper_median for r in scores.upper_medians(rows, "v", "g").collect()} == {"a": 5, "b": 2}
-    assert rows.groupBy("g").agg(scores.upper_median("v").alias("m")).where("g = 'a'").first().m == 5
+    r = random.Random(4)
+    many = [(g, r.choice([r.randint(0, 50), r.randint(0, 10**6)])) for g in "xyz" for _ in range(r.randint(1, 400))]
+    got = {x.g: (x.upper_median, x.n) for x in scores.upper_medians(spark.createDataFrame(many, "g string, v int"), "v", "g").collect()}
+    assert got == {g: (sorted(v for k, v in many if k == g)[sum(k == g for k, _ in many) // 2], sum(k == g for k, _ in many)) for g in "xyz"}
     seen = spark.sql("select * from values ('g','y',timestamp'2024-01-02'),('g','x',timestamp'2024-01-01'),('g','y',timestamp'2024-01-03'),('g','x',timestamp'2024-01-04') t(g, v, at)")
     assert scores.mode_first(seen, "v", "at", "g").first().mode == "x"
 

@@ -136,6 +136,12 @@ def test_archive_end_to_end(spark, tmp_path):
     assert a.ask("Where is the retention rule?", lambda p: 1 / 0)["state"] == "failed"
     rows, errors = a.report("T", "retention rule")
     assert rows.count() == 4 and errors.count() == 0
+    run = a.run_task('{"query": "retention rule", "title": "T"}')
+    assert run["state"] == "succeeded" and a.verify_task(run["run_id"]) == []
+    assert a.run_task('{"query": "nowhere to be found"}')["state"] == "partially_produced_but_invalid"
+    assert a.verify_task("none") == ["no such task"]
+    assert a.doctor() == []
+
     import shutil
 
     # sources may vanish: what was added stays
