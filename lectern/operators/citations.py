@@ -18,7 +18,9 @@ def normalized_path(digest):
 def validate(citations: DataFrame, objects: DataFrame, documents: DataFrame, segments: DataFrame, key: str) -> DataFrame:
     """``key``, ``valid`` and ``errors`` of each citation, in the order of the checks.
 
-    ``objects`` has ``sha256``; ``documents`` has the normalized documents: ``object_sha256``,
+    ``objects`` has ``sha256``, and ``content_sha256``, the digest of the bytes as they are now, if these are to
+    be checked too; ``documents`` has the normalized documents (with ``document_object_sha256`` if what a
+    document says it is of is to be checked): ``object_sha256``,
     ``source_name``, ``media_type``, ``kind``, ``normalized_sha256``, ``segment_count``; ``segments``
     has ``object_sha256``, ``segment_index``, ``locator_json``, ``text``. A missing document or a
     wrong document hash ends the checks, as does an index out of range. Null fields of a citation
@@ -26,18 +28,23 @@ def validate(citations: DataFrame, objects: DataFrame, documents: DataFrame, seg
     citations, no original is read twice.
     """
     docs = documents.select("object_sha256", *(F.col(c).alias(f"d_{c}") for c in ("source_name", "media_type", "kind", "normalized_sha256", "segment_count"))).withColumn("d_held", F.lit(True))
-    held = objects.select(F.col("sha256").alias("object_sha256")).distinct().withColumn("o_held", F.lit(True))
+    now = F.min("content_sha256") if "content_sha256" in objects.columns else F.first("sha256")
+    held = objects.groupBy(F.col("sha256").alias("object_sha256")).agg(now.alias("o_content")).withColumn("o_held", F.lit(True))
+    says = F.col("document_object_sha256") if "document_object_sha256" in documents.columns else F.col("object_sha256")
+    docs = docs.join(documents.select("object_sha256", says.alias("d_says")), "object_sha256") if "document_object_sha256" in documents.columns else docs.withColumn("d_says", says)
     segs = segments.select("object_sha256", "segment_index", F.col("locator_json").alias("s_locator"), F.sha2("text", 256).alias("s_text"))
     rows = citations.join(held, "object_sha256", "left").join(docs, "object_sha256", "left").join(segs, ["object_sha256", "segment_index"], "left")
     differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
     told = lambda cond, text: F.when(F.coalesce(cond, F.lit(True)), text)
     first = [
         told(F.col("o_held").isNull(), "canonical original is missing"),
+        F.when(F.col("o_held") & ~F.col("o_content").eqNullSafe(F.col("object_sha256")), "canonical original hash mismatch"),
         told(~F.col("normalized_path").eqNullSafe(normalized_path(F.col("object_sha256"))), "normalized path is not canonical for the object"),
     ]
     no_document = F.array(*first, F.lit("normalized document is missing"))
     other_document = F.array(*first, F.lit("normalized document hash mismatch"))
-    about = [told(differs(c, f"d_{c}"), t) for c, t in (("source_name", "source name mismatch"), ("media_type", "media type mismatch"), ("kind", "kind mismatch"))]
+    about = [told(~F.col("d_says").eqNullSafe(F.col("object_sha256")), "normalized object digest mismatch")]
+    about += [told(differs(c, f"d_{c}"), t) for c, t in (("source_name", "source name mismatch"), ("media_type", "media type mismatch"), ("kind", "kind mismatch"))]
     outside = F.array(*first, *about, F.lit("segment index is out of range"))
     expected = segment_id(F.col("object_sha256"), F.col("segment_index"), F.col("s_locator"), F.col("s_text"))
     rest = [

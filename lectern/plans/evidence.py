@@ -146,7 +146,11 @@ def _citations(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         .withColumn("locator_json", F.when(h == 5, F.lit("{}")).otherwise(F.col("locator_json")))
         .withColumn("normalized_sha256", F.when(h == 6, F.lit("0")).otherwise(F.col("normalized_sha256")))
     )
-    return cites.select("citation", *citations.FIELDS), table(spark, d, "objects"), docs, segs
+    # bytes that changed on disk, and documents of another object, by the last character of the digest
+    last = lambda c: F.ascii(F.right(c, F.lit(1))) % 16
+    objects = table(spark, d, "objects").withColumn("content_sha256", F.when(last(F.col("sha256")) == 7, F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    docs = docs.withColumn("document_object_sha256", F.when(last(F.col("object_sha256")) == 3, F.lit("other")).otherwise(F.col("object_sha256")))
+    return cites.select("citation", *citations.FIELDS), objects, docs, segs
 
 
 def citation_validate(spark, d):
@@ -209,7 +213,7 @@ s AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY object_sha256, seg
 d AS (SELECT object_sha256, min(source_name) AS dn, min(media_type) AS dm, min(kind) AS dk, min(normalized_sha256) AS dh, max(segment_index) + 1 AS many FROM s GROUP BY 1),
 c AS (SELECT s.*, sha256(text) AS st, locator_json AS sl, ('0x' || substr(segment_id, 1, 2))::int % 16 AS h,
   sha256(object_sha256 || chr(0) || segment_index || chr(0) || locator_json || chr(0) || sha256(text)) AS made FROM s),
-e AS (SELECT c.segment_id AS citation, o.sha256 IS NULL AS e1,
+e AS (SELECT c.segment_id AS citation, o.sha256 IS NULL AS e1, (o.sha256 IS NOT NULL AND ascii(right(o.sha256, 1)) % 16 = 7) AS e1b, (ascii(right(c.object_sha256, 1)) % 16 = 3) AS e2b,
   (h = 4 OR normalized_path IS DISTINCT FROM 'derived/' || c.object_sha256 || '/normalized.json') AS e2,
   (h = 6 OR normalized_sha256 IS DISTINCT FROM dh) AS stop1,
   (CASE WHEN h = 3 THEN 'other.txt' ELSE source_name END IS DISTINCT FROM dn) AS e3, (c.media_type IS DISTINCT FROM dm) AS e4, (kind IS DISTINCT FROM dk) AS e5,
@@ -217,9 +221,9 @@ e AS (SELECT c.segment_id AS citation, o.sha256 IS NULL AS e1,
   (h = 1 AND sha256(source_name) IS DISTINCT FROM st) AS e7
   FROM c JOIN d USING (object_sha256) LEFT JOIN objects o ON o.sha256 = c.object_sha256),
 l AS (SELECT citation, list_filter([
-  CASE WHEN e1 THEN 'canonical original is missing' END, CASE WHEN e2 THEN 'normalized path is not canonical for the object' END,
+  CASE WHEN e1 THEN 'canonical original is missing' END, CASE WHEN e1b THEN 'canonical original hash mismatch' END, CASE WHEN e2 THEN 'normalized path is not canonical for the object' END,
   CASE WHEN stop1 THEN 'normalized document hash mismatch' END,
-  CASE WHEN NOT stop1 AND e3 THEN 'source name mismatch' END, CASE WHEN NOT stop1 AND e4 THEN 'media type mismatch' END, CASE WHEN NOT stop1 AND e5 THEN 'kind mismatch' END,
+  CASE WHEN NOT stop1 AND e2b THEN 'normalized object digest mismatch' END, CASE WHEN NOT stop1 AND e3 THEN 'source name mismatch' END, CASE WHEN NOT stop1 AND e4 THEN 'media type mismatch' END, CASE WHEN NOT stop1 AND e5 THEN 'kind mismatch' END,
   CASE WHEN NOT stop1 AND stop2 THEN 'segment index is out of range' END,
   CASE WHEN NOT stop1 AND NOT stop2 AND e6 THEN 'segment locator mismatch' END, CASE WHEN NOT stop1 AND NOT stop2 AND e7 THEN 'segment text hash mismatch' END], lambda x: x IS NOT NULL) AS x FROM e)
 SELECT citation, len(x) = 0 AS valid, array_to_string(x, '; ') AS errors FROM l"""
