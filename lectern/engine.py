@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import paths
 from .operators import citations, grounding, ledger, retrieval, search, snapshots, trial
 from .operators.ledger import kind, media_type
 from .sources import records
@@ -26,8 +27,9 @@ STATES = ("succeeded", "failed", "cancelled", "waiting_for_approval", "partially
 
 
 class Archive:
-    def __init__(self, spark: SparkSession, home: str) -> None:
-        self.spark, self.home = spark, home.rstrip("/")
+    def __init__(self, spark: SparkSession, home: str, roots: tuple[str, ...] = ()) -> None:
+        """``roots`` are the folders that sources may come from; without any, all may."""
+        self.spark, self.home, self.roots = spark, home.rstrip("/"), roots
 
     # tables
 
@@ -57,7 +59,12 @@ class Archive:
 
     def add(self, path: str) -> dict:
         """Ingest all files below a path. A malformed file leaves no object, only its failed row."""
-        files = self.spark.read.parquet(self._staged(sources.scan(self.spark, path)))
+        files = sources.scan(self.spark, path)
+        if self.roots:
+            # whatever steps a path takes, it has to end below an allowed folder
+            outside = ~paths.bounded(F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/"), self.roots)
+            files = files.withColumn("status", F.when(outside, "failed").otherwise(F.col("status"))).withColumn("error", F.when(outside, "outside the allowed folders").otherwise(F.col("error")))
+        files = self.spark.read.parquet(self._staged(files))
         stored = self.table("objects").select("sha256") if self._there("objects") else files.select("sha256").limit(0)
         good = files.where("status <> 'failed'")
         held = good.join(stored.distinct(), "sha256", "left_semi").select("path").withColumn("held", F.lit(True))

@@ -85,6 +85,28 @@ def source_policy(spark, d):
     return rows.groupBy(F.coalesce(why, F.lit("allowed")).alias("verdict")).agg(F.count("*").alias("sources"))
 
 
+def pages_due(spark, d):
+    """Pages of PDF files that have no text yet and wait for recognition."""
+    from ..functions import text as T
+    from ..sources.records import pages_without_text
+
+    page = F.get_json_object("locator_json", "$.page").cast("int")
+    rows = table(spark, d, "segments").where("kind = 'pdf' and object_sha256 is not null").select("object_sha256", page.alias("page"), (~T.is_blank(F.col("text"))).alias("filled")).where("page is not null")
+    per = rows.groupBy("object_sha256").agg(F.max("page").alias("page_count"), F.collect_set(F.when(F.col("filled"), F.col("page"))).alias("pages_with_text"))
+    return pages_without_text(per)
+
+
+def leaks_left(spark, d):
+    """Messages in which a private value or a home path is left; every third was not redacted."""
+    from ..functions import text as T
+    from ..sources.records import leaking
+
+    h = F.conv(F.substring("ingestion_id", 1, 2), 16, 10).cast("int") % 3
+    message = F.concat(F.lit("read /home/"), F.coalesce("source_name", F.lit("x")), F.coalesce("source_path", F.lit("")), F.lit(" by key-1"))
+    rows = table(spark, d, "ingestions").select("ingestion_id", F.when(h == 0, message).otherwise(T.redact(message, ("key-1",))).alias("message")).distinct()
+    return leaking(rows, "message", ("key-1",)).select("ingestion_id").distinct()
+
+
 def _report(spark, d):
     from ..operators.search import search
 
@@ -171,7 +193,7 @@ UNION ALL SELECT '{name}', 'citation without source: ' || m FROM (SELECT DISTINC
 UNION ALL SELECT '{name}', 'source numbers are not contiguous' FROM (SELECT max(ordinal) AS o, count(*) AS c FROM {of} WHERE section = 'Sources') WHERE o <> c"""
 
 
-QUERIES = {f.__name__: f for f in (cer_distance, ocr_aggregate, route_best, engine_runs, candidate_ranking, failure_categories, repeated_passages, bounded_paths, source_policy, report_rows, report_manifest, report_validation, redacted_locators)}
+QUERIES = {f.__name__: f for f in (cer_distance, ocr_aggregate, route_best, engine_runs, candidate_ranking, failure_categories, repeated_passages, bounded_paths, source_policy, pages_due, leaks_left, report_rows, report_manifest, report_validation, redacted_locators)}
 SQL = {
     "cer_distance": "WITH " + _measured("SELECT * FROM ocr_pairs", "fixture_id") + " SELECT fixture_id, ce::int AS distance, characters::int AS characters FROM m",
     "ocr_aggregate": "WITH " + _measured("SELECT * FROM ocr_pairs", "fixture_id", "language") + f" SELECT language, count(*) AS fixtures, {_ratio('ce', 'characters')} AS cer, {_ratio('we', 'words')} AS wer, {_ratio('le', 'lines')} AS line_error_rate, {_ratio('pacc * punctuation', 'punctuation')} AS punctuation_accuracy, {_ratio('nacc * numerals', 'numerals')} AS numeral_accuracy, round(coalesce(sum(elapsed), 0), 6) AS elapsed, max(peak_rss) AS peak_rss FROM m GROUP BY 1",
@@ -185,6 +207,8 @@ SELECT question_id, recall, irrelevant, completeness, honest, citations_ok, CASE
     "repeated_passages": f"SELECT object_sha256, sum(c)::bigint AS passages, count(*) AS different, (sum(c) - count(*))::bigint AS repeated FROM (SELECT object_sha256, lower({_collapsed('text')}) AS t, count(*) AS c FROM (SELECT DISTINCT ON (segment_id) * FROM segments WHERE object_sha256 IS NOT NULL) WHERE text IS NOT NULL AND regexp_replace(text, '{_WHITE}+', '', 'g') <> '' GROUP BY 1, 2) GROUP BY 1",
     "bounded_paths": f"WITH {_PATHS} SELECT ingestion_id, resolved, inside FROM i",
     "source_policy": f"WITH {_PATHS} SELECT CASE WHEN path IS NULL THEN 'no path' WHEN NOT inside THEN 'outside the allowed folders' WHEN coalesce(lower(regexp_extract(source_name, '[^./]\\.([^./]+)$', 1)), '') NOT IN ({', '.join(repr(k) for k in KINDS)}) THEN 'kind is not allowed' ELSE 'allowed' END AS verdict, count(*) AS sources FROM i GROUP BY 1",
+    "pages_due": f"WITH p AS (SELECT object_sha256, (locator_json ->> '$.page')::int AS page, text IS NOT NULL AND regexp_replace(text, '{_WHITE}+', '', 'g') <> '' AS filled FROM segments WHERE kind = 'pdf' AND object_sha256 IS NOT NULL AND (locator_json ->> '$.page') IS NOT NULL), e AS (SELECT object_sha256, unnest(range(1, max(page) + 1))::int AS page FROM p GROUP BY 1) SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM p WHERE filled AND p.object_sha256 = e.object_sha256 AND p.page = e.page)",
+    "leaks_left": "SELECT DISTINCT ingestion_id FROM ingestions WHERE ('0x' || substr(ingestion_id, 1, 2))::int % 3 = 0",
     "report_rows": f"{_REPORT} SELECT section, ordinal::int AS ordinal, text FROM rep",
     "report_manifest": f"{_REPORT} SELECT section, count(*) AS rows, sha256(string_agg(ordinal || chr(9) || coalesce(text, ''), chr(10) ORDER BY ordinal, text)) AS sha256 FROM rep GROUP BY 1",
     "report_validation": f"{_REPORT}, {_BROKEN} {_faults('rep', 'whole')} UNION ALL {_faults('b', 'broken')}",

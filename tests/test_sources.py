@@ -4,6 +4,7 @@ import wave
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.engine import Archive
 from lectern.sources import inpage, packages, scan
@@ -159,6 +160,24 @@ def test_archive_end_to_end(spark, tmp_path):
         Archive.restore(spark, str(tmp_path / "copy"), str(tmp_path / "new"))
 
 
+def test_sources_outside_the_roots(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one line")
+    a = Archive(spark, str(tmp_path / "home"), roots=(str(tmp_path / "other"),))
+    assert a.add(str(tmp_path / "in"))["skipped"] == 1
+    assert a.table("ingestions").first().error == "outside the allowed folders"
+    b = Archive(spark, str(tmp_path / "home2"), roots=(str(tmp_path / "in"),))
+    assert b.add(str(tmp_path / "in"))["added"] == 1
+
+
+def test_paths(spark):
+    from lectern.functions import paths
+
+    rows = spark.createDataFrame([("/a/b/../c",), ("/a/../../x",), ("a/b",), ("//a/./b/",), ("/",), (None,), ("/ab",)], "p string")
+    got = rows.select(paths.resolved(F.col("p")).alias("r"), paths.bounded(F.col("p"), ("/a",)).alias("b")).collect()
+    assert [(x.r, x.b) for x in got] == [("/a/c", True), (None, False), (None, False), ("/a/b", True), ("/", False), (None, False), ("/ab", False)]
+
+
 def test_stream(spark, tmp_path):
     from lectern.streaming.ingest import ingest_stream
 
