@@ -223,3 +223,35 @@ def test_words_are_learned_from_counts(spark):
     assert learned.cut("检查温度", frozenset(["检"])) == ("检查", "温度")
     assert Dictionary().cut("档案馆", frozenset()) == ("档", "案", "馆")
     assert Dictionary(word_counts(spark.createDataFrame([], "text string"))).cut("档案", frozenset()) == ("档", "案")
+
+
+def test_planted_decodings_are_found(spark):
+    """Rows of the test data, decoded wrongly by several chains, half of them in sources of their own."""
+    import pandas as pd
+
+    from lectern.llm.garbled import _table
+
+    seg = pd.read_parquet("/root/testdata/sf0.01/segments.parquet").drop_duplicates("segment_id")
+    seg = seg[seg.text.notna() & ~seg.text.fillna("").map(str.isascii)].reset_index(drop=True)[["segment_id", "text", "source_name", "media_type", "lang"]]
+    as_is = {r.key for r in garbled(spark.createDataFrame(seg.drop(columns="lang")), "segment_id")[0].collect()}
+    sound = seg[~seg.segment_id.isin(as_is)]
+    planted = set()
+    for k, (d, e, lang) in enumerate([("cp1252", "utf_8", "fr"), ("mac_roman", "utf_8", "es"), ("mac_roman", "cp1252", "de"), ("cp437", "cp1252", "pt"), ("cp1251", "koi8_r", "ru"), ("latin_1", "euc_jp", "ja"), ("latin_1", "cp874", "th")]):
+        n, rows = 0, sound[sound.lang.fillna("").str.lower().str.startswith(lang)]
+        for i, r in rows.iterrows():
+            try:
+                t = "".join(_table(d)[b] for b in r.text.encode(e))
+            except UnicodeError:
+                continue
+            # a language of which most is garbled gives nothing to compare with
+            if n == min(10, len(rows) // 5) or r.segment_id in planted:
+                continue
+            n += 1
+            seg.at[i, "text"] = t
+            planted.add(r.segment_id)
+            if n % 2:
+                seg.at[i, "source_name"] = f"planted-{k}"
+    got = {r.key for r in garbled(spark.createDataFrame(seg.drop(columns="lang")), "segment_id")[0].collect()}
+    assert len(planted) >= 50
+    assert len(got & planted) >= 0.95 * len(planted), (len(planted), sorted(seg[seg.segment_id.isin(planted - got)].text.str[:60]))
+    assert len(got - planted - as_is) <= 0.01 * len(seg)
