@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("archive", "evidence", "ledgers", "quality", "trials")
+_MODULES = ("archive", "evidence", "ledgers", "quality", "trials", "derivations")
 
 
 def queries() -> dict:
