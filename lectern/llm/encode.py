@@ -18,6 +18,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -210,9 +211,12 @@ def encode_texts(df: DataFrame, key: str, text: str = "text", path: str | None =
     repeated. Text of any length is encoded whole: a word of n bytes costs n log n at most.
     """
     path = path or f"{TOKENIZERS}/byte_bpe_50k.json"
+    # the driver's copy is sent to the executors, which need no folder of their own
+    df.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def run(batches):
-        bpe = load(path)
+        bpe = load(SparkFiles.get(name))
         for b in batches:
             texts = b.column(1)
             # texts are joined in groups of bounded length, so that memory does not follow the batch

@@ -14,7 +14,6 @@ from __future__ import annotations
 import codecs
 import math
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -102,14 +101,19 @@ def _plausible(word: str, chain: tuple[str, str], text: str) -> bool:
 
 def undo(word: str, chain: tuple[str, str]) -> str | None:
     """The word with the chain undone; None if the chain cannot have made it."""
-    return dict(_undone(word, {chain[0]: [(0, chain[1])]})).get(0)
+    return dict(_undone(word, {chain[0]: [(-1, chain[1])]})).get(-1)
 
 
 #: The characters beyond ASCII that an encoding of one byte can give, and the chains by what they were read as.
 _GIVES = {d: frozenset(c for c in _table(d) if c > "\x7f") for d in _ENCODE}
 _BY_READ: dict[str, list[tuple[int, str]]] = {}
+#: Of chains of one byte a character, the characters that become something a word may have.
+_SOUND: dict[int, frozenset[str]] = {}
 for _i, (_d, _e) in enumerate(CHAINS):
     _BY_READ.setdefault(_d, []).append((_i, _e))
+    if _e in (*LATIN, *CYRILLIC, *OTHER):
+        _into = {c: bytes([b]).decode(_e, "ignore") for b, c in enumerate(_table(_d)) if c > "\x7f"}
+        _SOUND[_i] = frozenset(c for c, t in _into.items() if t and not _ODD.search(t))
 
 
 def _undone(word: str, by_read: dict[str, list[tuple[int, str]]]):
@@ -123,6 +127,8 @@ def _undone(word: str, by_read: dict[str, list[tuple[int, str]]]):
         except UnicodeError:
             continue
         for i, e in written:
+            if i in _SOUND and not beyond <= _SOUND[i]:
+                continue
             try:
                 if e.endswith("*2"):
                     yield i, codecs.charmap_encode(raw.decode("utf_8"), "strict", _ENCODE[d])[0].decode("utf_8")
@@ -137,16 +143,20 @@ class Judge:
 
     The gain is a log likelihood ratio of two spellings: how much better attested the triples of the
     word become, and its characters beyond ASCII between their neighbours. It is below 0 where the
-    chain makes a word worse.
+    chain makes a word worse, but not far, as a word of a garbled record is under the chain with
+    probability ``TOUCHED`` only.
     """
 
     def __init__(self, counts: np.ndarray) -> None:
         self.counts = counts
         self.known: dict[str, dict[int, tuple[float, str]]] = {}
+        #: The chains of each word that alone would leave its record in question.
+        self.likely: dict[str, list[int]] = {}
 
     def learn(self, words: list[str]) -> None:
         if len(self.known) > 200_000:
             self.known.clear()
+            self.likely.clear()
         own, _, own_set, _ = spelling_scores(words, self.counts)
         who, chain, text = [], [], []
         for i, w in enumerate(words):
@@ -164,10 +174,13 @@ class Judge:
             gain = float(s - own[i]) * min(float(n), MOST_TRIPLES) + float(x - own_set[i]) * min(float(k), MOST_SIGNS)
             if CHAINS[c][1].startswith("utf_8"):
                 # in encodings of other scripts ordinary words make valid UTF-8 now and then
-                if CHAINS[c][0] in READ_LATIN or gain > UTF8_BONUS and s > 1.0:
-                    self.known[words[i]][c] = (gain + min(UTF8_BONUS + UTF8_MORE * (len(words[i]) - len(t) - 1), UTF8_MOST), t)
-            else:
-                self.known[words[i]][c] = (gain, t)
+                if CHAINS[c][0] not in READ_LATIN and (gain <= UTF8_BONUS or s <= 1.0):
+                    continue
+                gain += min(UTF8_BONUS + UTF8_MORE * (len(words[i]) - len(t) - 1), UTF8_MOST)
+            gain = math.log1p(TOUCHED * math.expm1(gain)) if gain < 30 else gain
+            self.known[words[i]][c] = (gain, t)
+            if gain > LEAST_RATIO:
+                self.likely.setdefault(words[i], []).append(c)
 
     def gains(self, texts: list[str]) -> list[dict[int, tuple[float, str]]]:
         new = list(dict.fromkeys(w for w in texts if w not in self.known))
@@ -187,20 +200,18 @@ _WORD = re.compile(rf"[{_SIGNS}]*[{_EAST}][{_EAST}{_SIGNS}]*|[^{_INNER}]*[^\x00-
 
 
 def evidence(texts: list[str], judge: Judge) -> list[dict[int, float]]:
-    """For each text the log likelihood ratios of the chains that may have touched it.
-
-    A part of a text may be garbled: each word is under the chain with probability ``TOUCHED``. Chains
-    that no share could make probable are left out.
-    """
+    """For each text the log likelihood ratios of the chains that may have touched it: the sums over its
+    words. Chains that no share could make probable are left out."""
     found = [_WORD.findall(t) for t in texts]
-    flat = [w for ws in found for w in ws]
-    gains = iter(judge.gains(flat))
+    judge.gains([w for ws in found for w in ws])
     out = []
     for ws in found:
-        total: dict[int, float] = defaultdict(float)
-        for _ in ws:
-            for c, (g, _t) in next(gains).items():
-                total[c] += math.log1p(TOUCHED * math.expm1(g)) if g < 30 else g
+        chains = {c for w in ws for c in judge.likely.get(w, ())}
+        total = {c: 0.0 for c in sorted(chains)}
+        for w in ws if chains else ():
+            of = judge.known[w]
+            for c in chains & of.keys():
+                total[c] += of[c][0]
         out.append({c: g for c, g in total.items() if g > LEAST_RATIO})
     return out
 

@@ -1,7 +1,7 @@
 """One form for texts that look the same.
 
 Compatibility forms are folded, ignorable characters deleted and blanks and hyphens made ordinary. A
-word that mixes scripts, or stands in a letter of another script than its text, opens a lattice: each
+word that mixes scripts, or consists of look-alikes of another script than its text, opens a lattice: each
 letter may be itself or one of its look-alikes. Viterbi picks the path with the best sum of character
 pair scores, taken from counts over the whole corpus, where a change of script inside a word costs
 more than any pair gains.
@@ -190,7 +190,7 @@ class Former:
                     return w
                 if not all("latin" in LIKE[c] for c in w):
                     return w
-                return "".join(LIKE[c]["latin"] for c in w)
+                return self.word(w, "latin")
             home = max(kinds, key=lambda s: (sum(_script(c) == s and c not in LIKE for c in w), sum(_script(c) == s for c in w)))
             return self.word(w, home)
 
