@@ -83,8 +83,7 @@ _DAY = re.compile(rf"\b(?:am|den|dem|der|vom|zum|bis|im|le|il|el|den)\s+(?:{_NOI
 _GAP = re.compile(r"[ \t \n]+")
 #: Beginnings farther back than this are compared by kind (``_kind``), as a line's score asks no more of them.
 FAR = 400
-#: Characters around a gap that its classification reads: the words that touch it are nearer.
-NEAR = 100
+_BREAK = re.compile(r"[ \t\n]")
 
 
 def _straight(text: str, i: int) -> tuple[bool, bool]:
@@ -209,7 +208,7 @@ def _before(text: str, at: int) -> str:
 def _mark_score(text: str, start: int, end: int, close: int) -> float:
     """How well a sentence ends with the marks at start..end, closing marks up to close included."""
     marks = text[start:end]
-    rest = text[close : close + NEAR]
+    rest = text[close : close + 100]
     here = _SKIP.match(text, close)
     nxt = text[here.end() : here.end() + 2] if here else rest[:2]
     spaced = close < len(text) and text[close].isspace()
@@ -315,6 +314,17 @@ def _line_score(text: str, unit: int, start: int, end: int, words_of: Dictionary
     return 3.0 if len(words) <= 8 else -1.5
 
 
+def _chunk_before(text: str, end: int, least: int) -> int:
+    """Where what stands before a gap begins: behind the blank before it."""
+    return max(least, *(text.rfind(c, least, end) + 1 for c in " \t\n\u3000"))
+
+
+def _chunk_after(text: str, start: int) -> int:
+    """Where what stands behind a gap ends: at the next blank."""
+    m = _BREAK.search(text, start)
+    return m.start() if m else len(text)
+
+
 def _kind(text: str, unit: int) -> tuple[bool, bool]:
     """What the score of a far line break takes from where its unit begins."""
     head = text[unit : unit + 12].lstrip()
@@ -361,12 +371,12 @@ def _best_path(text: str, nodes: list[tuple[int, str, int, int, int]], words: Di
         if kind == "mark":
             fixed = _mark_score(text, start, end, close)
         elif kind == "east":
-            fixed = _east_gap(text[max(0, start - NEAR) : start], text[end : end + NEAR], *learned)
+            fixed = _east_gap(text[_chunk_before(text, start, 0) : start], text[end : _chunk_after(text, end)], *learned)
         if kind == "line":
             score = lambda unit: _line_score(text, unit, start, end, *learned)  # noqa: B023, E731
         elif kind == "gap":
-            right = text[end : end + 60]
-            score = lambda unit: _thai_gap(left, right, *learned) if _THAI.search((left := text[max(unit, start - NEAR) : start])[-40:]) else -3.0  # noqa: B023, E731
+            right, begin = text[end : _chunk_after(text, end)], _chunk_before(text, start, 0)
+            score = lambda unit: _thai_gap(text[max(unit, begin) : start], right, *learned) if _THAI.search(text, max(unit, start - 40), start) else -3.0  # noqa: B023, E731
         else:
             score = lambda unit: fixed  # noqa: B023, E731
         if kind in ("mark", "east") and fixed <= 0:

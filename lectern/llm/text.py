@@ -47,14 +47,18 @@ def within(sizes: np.ndarray) -> np.ndarray:
 
 
 CHUNK = 1 << 14
+#: Tables of partitions that one task adds up.
+FAN_IN = 1000
+_MOST = (1 << 31) - 1
 
 
 def dense_counts(df: DataFrame, slots: int, count) -> np.ndarray:
     """A table of ``slots`` counters over all rows, summed where the rows are.
 
     ``count(batch)`` yields arrays of slots that occur in an Arrow batch. Each partition sends its
-    table in chunks, chunks are added up on the executors, and 4 bytes a slot reach the driver,
-    however much data there is. Counters stop at 2 ** 31 - 1.
+    table in chunks; chunks are added up on the executors, ``FAN_IN`` tables at a time and one chunk after
+    another, so no task holds more than a chunk; 4 bytes a slot reach the driver, however much data there
+    is. Counters stop at 2 ** 31 - 1.
     """
 
     def partition(batches):
@@ -62,20 +66,42 @@ def dense_counts(df: DataFrame, slots: int, count) -> np.ndarray:
         for b in batches:
             for at in count(b):
                 total += np.bincount(at, minlength=slots)
-        parts = [np.minimum(total[i : i + CHUNK], (1 << 31) - 1) for i in range(0, slots, CHUNK)]
+        parts = [np.minimum(total[i : i + CHUNK], _MOST) for i in range(0, slots, CHUNK)]
         some = [i for i, p in enumerate(parts) if p.any()]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].astype(np.int32).tobytes() for i in some], pa.binary())], names=["chunk", "counts"])
 
-    def add(chunks: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), dtype=np.int32).astype(np.int64) for x in chunks["counts"])
-        total = np.minimum(total, (1 << 31) - 1).astype(np.int32)
-        return pa.table({"chunk": pa.array([chunks["chunk"][0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    def add(batches):
+        at, total = None, None
 
-    got = df.mapInArrow(partition, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.minimum(total, _MOST).astype(np.int32).tobytes()], pa.binary())], names=["chunk", "counts"])
+
+        # sorted by chunk, so a sum is complete when the next chunk begins
+        for b in batches:
+            for k, x in zip(b.column("chunk").to_pylist(), b.column("counts")):
+                part = np.frombuffer(x.as_buffer(), dtype=np.int32).astype(np.int64)
+                if k == at:
+                    total = total + part
+                else:
+                    if at is not None:
+                        yield done()
+                    at, total = k, part
+        if at is not None:
+            yield done()
+
+    many = df.rdd.getNumPartitions()
+    tables = df.mapInArrow(partition, "chunk int, counts binary")
+    while many > FAN_IN:
+        # the parts of a chunk are dealt to so many tasks that each adds about ``FAN_IN``
+        many = -(-many // FAN_IN)
+        lots = tables.withColumn("lot", (F.rand(7) * many).cast("int")).repartition("chunk", "lot").sortWithinPartitions("chunk", "lot")
+        tables = lots.select("chunk", "counts").mapInArrow(add, "chunk int, counts binary")
+    got = tables.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(add, "chunk int, counts binary").collect()
     out = np.zeros(-(-slots // CHUNK) * CHUNK, dtype=np.int32)
     for r in got:
         part = np.frombuffer(r["counts"], dtype=np.int32)
-        out[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(part)] = part
+        at = r["chunk"] * CHUNK
+        out[at : at + len(part)] = np.minimum(out[at : at + len(part)].astype(np.int64) + part, _MOST)
     return out[:slots]
 
 

@@ -30,6 +30,8 @@ LEAST_COUNT, COHESION = 5, 2.5
 BOUND = 0.9
 #: A word opens sentences if it is seen to in so many cases, and in this share of all.
 LEAST_OPEN, OPEN_SHARE = 5, 0.25
+#: Runs up to this length are remembered with their words.
+KEPT_CHARS = 200
 SPACELESS = "\u0e00-\u0e7f\u3005\u3040-\u30ff\u3400-\u9fff\uff66-\uff9f"
 #: Runs with what stands before them: nothing, or an end mark and what closes it, shows where a sentence begins.
 _RUN = re.compile(f"(?P<open>(?:^|[.!?。！？｡\\n]+[\"”’»」』）)]*)[ \\t\u3000\"“‘«「『（(]*)?(?P<run>[{SPACELESS}]+)")
@@ -85,9 +87,13 @@ class Dictionary:
         if counts is not None:
             self.noise = float(counts[: 2 * SLOTS].mean())
             self.total = max(1.0, float(counts[WIDTH - 1]))
-        self.cut = lru_cache(100_000)(self._cut)
+        self.kept = lru_cache(100_000)(self._cut)
         self.opens = lru_cache(100_000)(self._opens)
 
+    def cut(self, run: str, given: frozenset[str]) -> tuple[str, ...]:
+        """The words of a run; those of short runs are kept."""
+        return self.kept(run, given) if len(run) <= KEPT_CHARS else self._cut(run, given)
+
     def _seen(self, h: np.ndarray) -> np.ndarray:
         return np.maximum(self.counts[_slots(h)].min(0) - self.noise, 0.0)
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from tokenizers import Tokenizer
 
 from lectern.llm.encode import TOKENIZERS, Bpe, encode_texts
@@ -29,3 +30,15 @@ def test_failing_words_are_merged():
 
 def test_empty_table(spark):
     assert encode_texts(spark.createDataFrame([], "doc_id long, text string"), "doc_id").count() == 0
+
+
+def test_dense_counts_in_several_levels(spark, monkeypatch):
+    from lectern.llm import text
+
+    df = spark.range(1000).repartition(9)
+    count = lambda b: [b.column(0).to_numpy() % 40_000 * 31 % 40_000]
+    want = np.bincount(np.arange(1000) * 31 % 40_000, minlength=40_000)
+    assert (text.dense_counts(df, 40_000, count) == want).all()
+    monkeypatch.setattr(text, "FAN_IN", 2)
+    assert (text.dense_counts(df, 40_000, count) == want).all()
+    assert not text.dense_counts(df.limit(0), 40_000, count).any()
