@@ -12,13 +12,17 @@ def table_rows(segments: DataFrame) -> DataFrame:
     """Rows of spreadsheets put together from their cells: ``object_sha256``, ``sheet``, ``row`` and ``cells``
     (column and text, in the order of the columns).
 
-    A cell is known by the ``cell`` of its locator (``B7``). Segments without one, blank cells and segments
-    repeated in full take no part; a cell given twice keeps the text of its lowest segment number.
+    A cell is known by the ``cell`` of its locator (``B7``) or its ``column`` and ``row`` numbers. Segments
+    without either, blank cells and segments repeated in full take no part; a cell given twice keeps the
+    text of its lowest segment number.
     """
     cell = F.get_json_object("locator_json", "$.cell")
+    number = lambda k: F.get_json_object("locator_json", f"$.{k}").try_cast("int")
+    column = F.coalesce(F.nullif(F.regexp_extract(cell, r"^([A-Z]+)[0-9]+$", 1), F.lit("")), number("column").cast("string"))
+    row = F.coalesce(F.regexp_extract(cell, r"^[A-Z]+([0-9]+)$", 1).try_cast("int"), number("row"))
     rows = segments.where(~is_blank(F.col("text")) & F.col("object_sha256").isNotNull()).select(
-        "object_sha256", F.get_json_object("locator_json", "$.sheet").alias("sheet"), F.regexp_extract(cell, r"^([A-Z]+)[0-9]+$", 1).alias("column"), F.regexp_extract(cell, r"^[A-Z]+([0-9]+)$", 1).cast("int").alias("row"), "segment_index", "segment_id", "text"
-    ).where("row is not null")
+        "object_sha256", F.get_json_object("locator_json", "$.sheet").alias("sheet"), column.alias("column"), row.alias("row"), "segment_index", "segment_id", "text"
+    ).where("row is not null and column is not null")
     one = rows.groupBy("object_sha256", "sheet", "row", "column").agg(F.min(F.struct("segment_index", "segment_id", "text")).alias("x"))
     # a row of a sheet has at most as many cells as a sheet has columns
     cells = F.array_sort(F.collect_list(F.struct(F.length("column").alias("width"), "column", F.col("x.text").alias("text"))))

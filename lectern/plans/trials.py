@@ -107,6 +107,20 @@ def leaks_left(spark, d):
     return leaking(rows, "message", ("key-1",)).select("ingestion_id").distinct()
 
 
+def corpus_fixtures(spark, d):
+    """Manifests made of the scans, one a language, with a fault in five of seven fixtures."""
+    from ..sources.records import corpus_fixtures as read
+
+    n = F.regexp_extract("fixture_id", r"(\d+)$", 1).cast("int") % 7
+    one = F.struct(
+        "fixture_id", F.when(n == 1, " ").otherwise(F.col("language")).alias("language"), F.col("reference").alias("ground_truth"), F.when(n == 2, "scans/../../x.png").otherwise(F.concat(F.lit("scans/"), "fixture_id")).alias("image_path"),
+        F.lit("own").alias("source_kind"), F.when(n == 3, F.array().cast("array<string>")).otherwise(F.array("reference")).alias("expected_lines"), F.when(n == 4, F.lit(None).cast("string")).otherwise("contract").alias("lawful_basis"), F.lit("scan").alias("generation_method"),
+    )
+    version = F.when(F.col("language") == "rus", "2").otherwise("1")
+    files = table(spark, d, "ocr_pairs").groupBy(F.col("language").alias("path"), version.alias("schema_version")).agg(F.sort_array(F.collect_list(one)).alias("fixtures"))
+    return read(files.select("path", F.to_json(F.struct("schema_version", "fixtures")).alias("value"))).select("path", "fixture_id", "error")
+
+
 def _report(spark, d):
     from ..operators.search import search
 
@@ -193,7 +207,7 @@ UNION ALL SELECT '{name}', 'citation without source: ' || m FROM (SELECT DISTINC
 UNION ALL SELECT '{name}', 'source numbers are not contiguous' FROM (SELECT max(ordinal) AS o, count(*) AS c FROM {of} WHERE section = 'Sources') WHERE o <> c"""
 
 
-QUERIES = {f.__name__: f for f in (cer_distance, ocr_aggregate, route_best, engine_runs, candidate_ranking, failure_categories, repeated_passages, bounded_paths, source_policy, pages_due, leaks_left, report_rows, report_manifest, report_validation, redacted_locators)}
+QUERIES = {f.__name__: f for f in (cer_distance, ocr_aggregate, route_best, engine_runs, candidate_ranking, failure_categories, repeated_passages, bounded_paths, source_policy, pages_due, leaks_left, corpus_fixtures, report_rows, report_manifest, report_validation, redacted_locators)}
 SQL = {
     "cer_distance": "WITH " + _measured("SELECT * FROM ocr_pairs", "fixture_id") + " SELECT fixture_id, ce::int AS distance, characters::int AS characters FROM m",
     "ocr_aggregate": "WITH " + _measured("SELECT * FROM ocr_pairs", "fixture_id", "language") + f" SELECT language, count(*) AS fixtures, {_ratio('ce', 'characters')} AS cer, {_ratio('we', 'words')} AS wer, {_ratio('le', 'lines')} AS line_error_rate, {_ratio('pacc * punctuation', 'punctuation')} AS punctuation_accuracy, {_ratio('nacc * numerals', 'numerals')} AS numeral_accuracy, round(coalesce(sum(elapsed), 0), 6) AS elapsed, max(peak_rss) AS peak_rss FROM m GROUP BY 1",
@@ -209,6 +223,7 @@ SELECT question_id, recall, irrelevant, completeness, honest, citations_ok, CASE
     "source_policy": f"WITH {_PATHS} SELECT CASE WHEN path IS NULL THEN 'no path' WHEN NOT inside THEN 'outside the allowed folders' WHEN coalesce(lower(regexp_extract(source_name, '[^./]\\.([^./]+)$', 1)), '') NOT IN ({', '.join(repr(k) for k in KINDS)}) THEN 'kind is not allowed' ELSE 'allowed' END AS verdict, count(*) AS sources FROM i GROUP BY 1",
     "pages_due": f"WITH p AS (SELECT object_sha256, (locator_json ->> '$.page')::int AS page, text IS NOT NULL AND regexp_replace(text, '{_WHITE}+', '', 'g') <> '' AS filled FROM segments WHERE kind = 'pdf' AND object_sha256 IS NOT NULL AND (locator_json ->> '$.page') IS NOT NULL), e AS (SELECT object_sha256, unnest(range(1, max(page) + 1))::int AS page FROM p GROUP BY 1) SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM p WHERE filled AND p.object_sha256 = e.object_sha256 AND p.page = e.page)",
     "leaks_left": "SELECT DISTINCT ingestion_id FROM ingestions WHERE ('0x' || substr(ingestion_id, 1, 2))::int % 3 = 0",
+    "corpus_fixtures": f"SELECT language AS path, fixture_id, CASE {_N} % 7 WHEN 1 THEN 'language is missing' WHEN 2 THEN 'image path leaves the corpus' WHEN 3 THEN 'expected lines are missing' WHEN 4 THEN 'lawful basis and generation method are missing' END AS error FROM ocr_pairs WHERE language <> 'rus' UNION ALL SELECT DISTINCT 'rus', NULL::varchar, 'not a manifest of version 1' FROM ocr_pairs WHERE language = 'rus'",
     "report_rows": f"{_REPORT} SELECT section, ordinal::int AS ordinal, text FROM rep",
     "report_manifest": f"{_REPORT} SELECT section, count(*) AS rows, sha256(string_agg(ordinal || chr(9) || coalesce(text, ''), chr(10) ORDER BY ordinal, text)) AS sha256 FROM rep GROUP BY 1",
     "report_validation": f"{_REPORT}, {_BROKEN} {_faults('rep', 'whole')} UNION ALL {_faults('b', 'broken')}",

@@ -54,6 +54,37 @@ def task(text: str) -> dict:
     return t
 
 
+FIXTURE = "fixture_id string, language string, ground_truth string, image_path string, source_kind string, expected_lines array<string>, tags array<string>, lawful_basis string, generation_method string"
+
+
+def corpus_fixtures(files: DataFrame, private: bool = True) -> DataFrame:
+    """The fixtures of corpus manifests: ``path``, the fields of each fixture, and ``error``, the first rule
+    that it breaks (null if none).
+
+    ``files`` has ``path`` and ``value``, JSON with ``schema_version`` 1 and ``fixtures``; a file that is none
+    has one row with its error, one without fixtures none. Numbers are read as their texts. An id given
+    twice in a file is an error of each of its fixtures; ``private`` ones have to say on which basis they
+    are held and how they were made.
+    """
+    read = files.select("path", F.from_json("value", f"schema_version string, fixtures array<struct<{FIXTURE.replace(' string', ':string').replace(' array', ':array')}>>").alias("m"))
+    sound = (F.col("m.schema_version") == "1") & F.col("m.fixtures").isNotNull()
+    broken = read.where(~F.coalesce(sound, F.lit(False))).select("path", F.lit("not a manifest of version 1").alias("error"))
+    rows = read.where(sound).select("path", F.inline("m.fixtures"))
+    times = rows.where("fixture_id is not null").groupBy("path", "fixture_id").agg(F.count("*").alias("times"))
+    rows = rows.join(times, ["path", "fixture_id"], "left")
+    empty = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    error = None
+    for c in ("fixture_id", "language", "ground_truth", "image_path", "source_kind"):
+        what = F.lit(f"{c.replace('_', ' ')} is missing")
+        error = F.when(empty(c), what) if error is None else error.when(empty(c), what)
+    error = error.when(F.col("image_path").startswith("/") | F.array_contains(F.split("image_path", "/"), ".."), "image path leaves the corpus")
+    error = error.when(F.coalesce((F.size("expected_lines") == 0) | F.exists("expected_lines", empty), F.lit(True)), "expected lines are missing")
+    if private:
+        error = error.when(empty("lawful_basis") | empty("generation_method"), "lawful basis and generation method are missing")
+    error = error.when(F.col("times") > 1, "fixture id is given twice")
+    return rows.withColumn("error", error).drop("times").unionByName(broken, allowMissingColumns=True)
+
+
 def benchmark_errors(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     """What is wrong with a benchmark: too few questions, ids given twice, sources that are not there."""
     few = questions.agg(F.countDistinct("question_id").alias("n")).where(F.col("n") < LEAST_QUESTIONS).select(F.lit("too few questions").alias("error"))

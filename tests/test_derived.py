@@ -10,10 +10,11 @@ SEGMENTS = "object_sha256 string, segment_index int, segment_id string, locator_
 def test_rows_of_sheets(spark):
     cell = lambda c, s="S": f'{{"cell":"{c}","sheet":"{s}"}}'
     rows = [("o", 0, "a", cell("B1"), "two", "x"), ("o", 1, "b", cell("A1"), "one", None), ("o", 2, "c", cell("AA1"), "last", None), ("o", 3, "d", cell("B1"), "again", None),
-            ("o", 4, "e", cell("A2"), "  ", None), ("o", 5, "f", cell("A2"), None, None), ("o", 6, "g", '{"line":1}', "no cell", None), ("o", 7, "h", None, "none", None), (None, 8, "i", cell("A3"), "lost", None), ("o", 9, "j", cell("A1", "T"), "x", None)]
+            ("o", 4, "e", cell("A2"), "  ", None), ("o", 5, "f", cell("A2"), None, None), ("o", 6, "g", '{"line":1}', "no cell", None), ("o", 7, "h", None, "none", None), (None, 8, "i", cell("A3"), "lost", None), ("o", 9, "j", cell("A1", "T"), "x", None),
+            ("q", 0, "k", '{"column":10,"row":3,"sheet":"U"}', "ten", None), ("q", 1, "l", '{"column":9,"row":3,"sheet":"U"}', "nine", None), ("q", 2, "m", '{"column":"x","row":3,"sheet":"U"}', "none", None)]
     df = spark.createDataFrame(rows + rows, SEGMENTS)
     got = {(r.sheet, r.row): [(c.column, c.text) for c in r.cells] for r in derived.table_rows(df).collect()}
-    assert got == {("S", 1): [("A", "one"), ("B", "two"), ("AA", "last")], ("T", 1): [("A", "x")]}
+    assert got == {("S", 1): [("A", "one"), ("B", "two"), ("AA", "last")], ("T", 1): [("A", "x")], ("U", 3): [("9", "nine"), ("10", "ten")]}
     assert derived.table_rows(df.limit(0)).count() == 0
 
 
@@ -45,3 +46,16 @@ def test_questions_and_passages(spark):
     m = trial.report_manifest(spark.createDataFrame([("S", 1, "a"), ("S", 2, None)], "section string, ordinal int, text string"))
     assert m.first()["rows"] == 2 and m.select(trial.unchanged(m, m, "section", "sha256")).first()[0]
     assert not m.select(trial.unchanged(m, m.withColumn("sha256", F.lit("x")), "section", "sha256")).first()[0]
+
+
+def test_corpus_manifests(spark):
+    import json
+
+    from lectern.sources.records import corpus_fixtures
+
+    good = {"fixture_id": "f1", "language": "eng", "ground_truth": "a", "image_path": "p/a.png", "source_kind": "own", "expected_lines": ["a"], "lawful_basis": "own", "generation_method": "scan"}
+    bad = [good | {"fixture_id": "f2", "language": " "}, good | {"fixture_id": "f3", "image_path": "p/../../x"}, good | {"fixture_id": "f4", "image_path": "/x"}, good | {"fixture_id": "f5", "expected_lines": []}, good | {"fixture_id": "f6", "lawful_basis": None}, good]
+    files = [("m", json.dumps({"schema_version": "1", "fixtures": [good, *bad]})), ("v", json.dumps({"schema_version": "2", "fixtures": []})), ("n", "no json"), ("z", None), ("e", '{"schema_version":"1","fixtures":[]}')]
+    got = {(r.path, r.fixture_id, r.error) for r in corpus_fixtures(spark.createDataFrame(files, "path string, value string")).collect()}
+    assert got == {("m", "f1", "fixture id is given twice"), ("m", "f2", "language is missing"), ("m", "f3", "image path leaves the corpus"), ("m", "f4", "image path leaves the corpus"), ("m", "f5", "expected lines are missing"), ("m", "f6", "lawful basis and generation method are missing"),
+                   ("v", None, "not a manifest of version 1"), ("n", None, "not a manifest of version 1"), ("z", None, "not a manifest of version 1")}
