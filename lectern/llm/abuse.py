@@ -21,7 +21,7 @@ from ..session import table
 from .lookalike import SLOTS as PAIR_SLOTS
 from .lookalike import Former
 
-TRAIN_DOCS = 5_000
+TRAIN_DOCS, TRAIN_CHARS = 5_000, 100_000_000
 FOLDS = 5
 #: What one learned word counts at most, as a word may owe its log odds to a handful of labels.
 MOST_WEIGHT = 3.0
@@ -341,12 +341,15 @@ def hash_of(text: str) -> int:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model of at most ``TRAIN_DOCS`` reviewed documents, taken by hash; reviewers vote, ties and
-    documents with null labels only take no part."""
+    """A model of about ``TRAIN_DOCS`` reviewed documents at most, of ``TRAIN_CHARS`` characters in all, taken
+    whole and by hash; reviewers vote, ties and documents with null labels only take no part."""
     votes = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).distinct().groupBy("doc_id").agg(F.avg((F.col("label") != "none").cast("int")).alias("bad")).where("bad <> 0.5")
     part = min(1.0, TRAIN_DOCS / max(1, votes.count()))
     votes = votes.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < part * 1_000_003)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(votes, "doc_id").limit(2 * TRAIN_DOCS).toPandas().sort_values("doc_id").drop_duplicates("text")
+    reviewed = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(votes, "doc_id")
+    chars = reviewed.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    rows = reviewed.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_003)) < min(1.0, TRAIN_CHARS / max(1, chars)) * 1_000_003)
+    rows = rows.limit(2 * TRAIN_DOCS).toPandas().sort_values("doc_id").drop_duplicates("text")
     return Model(rows["text"].tolist(), (rows["bad"] > 0.5).astype(int).tolist())
 
 
