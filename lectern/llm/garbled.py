@@ -97,8 +97,6 @@ def _plausible(word: str, chain: tuple[str, str], text: str) -> bool:
     return True
 
 
-
-
 def undo(word: str, chain: tuple[str, str]) -> str | None:
     """The word with the chain undone; None if the chain cannot have made it."""
     return dict(_undone(word, {chain[0]: [(-1, chain[1])]})).get(-1)
@@ -341,7 +339,9 @@ def _shares(found: DataFrame, state: DataFrame | None, sizes: DataFrame, fields:
         pools = sizes.join(mass.groupBy("field", "source").agg(F.map_from_entries(F.collect_list(F.struct("chain", "w"))).alias("pool"), F.sum("w").alias("all")), ["field", "source"], "left").withColumn("all", F.coalesce("all", F.lit(0.0)))
         seen = fields.join(by.groupBy("field").agg(F.map_from_entries(F.collect_list(F.struct("chain", "w"))).alias("seen")), "field", "left")
         lean = lambda c, b: (F.coalesce(F.col("seen")[c], F.lit(0.0)) + A_FIELD * b) / (F.col("field_size") + A_FIELD)
-        priors = seen.select("field", F.transform_values(bases, lean).alias("prior"), F.lit(0.0).alias("rare"))
+        # a chain that no record has shown yet may still turn up
+        rare = FIRST_SHARE / (everything + 1)
+        priors = seen.select("field", F.transform_values(bases, lean).alias("prior"), F.lit(rare).alias("rare"))
         priors = priors.withColumn("prior_all", F.aggregate(F.map_values("prior"), F.lit(0.0), lambda s, x: s + x))
     known = pools.join(priors, "field").select("*", salts)
     return found.join(known, ["field", "source", "salt"])
@@ -372,6 +372,7 @@ def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
         judge = Judge(shared.value)
         for b in batches:
             key, texts, chain, posterior = (b.column(i).to_pylist() for i in range(4))
+            judge.gains([w for t in texts for w in _WORD.findall(t)])
             yield batch({
                 "segment_id": key,
                 "chain": [LOST if c < 0 else f"{CHAINS[c][1]} read as {CHAINS[c][0]}" for c in chain],
