@@ -301,8 +301,9 @@ def _maximize(found: DataFrame, sizes: DataFrame, fields: DataFrame, everything:
     """
     found = found.withColumn("salt", F.abs(F.hash("key")) % SALTS)
     state, last = before, None
+    base = _base(before, everything)[0] if before is not None else None
     for _ in range(MOST_ROUNDS):
-        known = _shares(found, state, sizes, fields, everything)
+        known = _shares(found, state, base, sizes, fields, everything)
         own = F.col("weights") if "weights" in found.columns else F.transform("chains", lambda c: F.lit(0.0))
         zipped = F.arrays_zip("chains", "gains", own.alias("own"))
         share = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(MOST_SHARE), (F.coalesce(F.col("pool")[x["chains"]], F.lit(0.0)) - x["own"] + A_POOL * F.coalesce(F.col("prior")[x["chains"]], F.col("rare"))) / (F.col("size") - 1 + A_POOL)))
@@ -313,14 +314,23 @@ def _maximize(found: DataFrame, sizes: DataFrame, fields: DataFrame, everything:
         known = known.withColumn("intact", F.when(F.col("certain"), 1e-12).otherwise(intact))
         known = known.withColumn("total", F.col("intact") + F.aggregate("odds", F.lit(0.0), lambda s, x: s + x))
         state = found = cut(known.select("key", "source", "field", "certain", "chains", "gains", "salt", F.transform("odds", lambda x: x / F.col("total")).alias("weights"), F.log("total").alias("likelihood")))
-        now = float(state.agg(F.sum("likelihood")).first()[0] or 0.0)
+        base, now = _base(state, everything)
         if last is not None and now - last < LEAST_STEP * everything:
             break
         last = now
     return state
 
 
-def _shares(found: DataFrame, state: DataFrame | None, sizes: DataFrame, fields: DataFrame, everything: float) -> DataFrame:
+def _base(state: DataFrame, everything: float) -> tuple[dict[int, float], float]:
+    """The share of each chain in all records, and the log likelihood: a number for each of a fixed list of
+    chains, and one more."""
+    each = F.explode(F.concat(F.arrays_zip("chains", "weights"), F.array(F.struct(F.lit(None).cast("int").alias("chains"), F.col("likelihood").alias("weights")))))
+    sums = {r["chain"]: r["w"] for r in state.select(each.alias("x")).groupBy(F.col("x.chains").alias("chain")).agg(F.sum("x.weights").alias("w")).collect()}
+    likelihood = float(sums.pop(None, None) or 0.0)
+    return {c: w / (everything + 1) for c, w in sums.items()}, likelihood
+
+
+def _shares(found: DataFrame, state: DataFrame | None, base: dict[int, float] | None, sizes: DataFrame, fields: DataFrame, everything: float) -> DataFrame:
     """``found`` with what its pools say: ``pool`` (sums by chain), ``all`` (their sum), ``size``,
     ``prior`` (shares by chain in the field), ``prior_all`` (their sum) and ``rare`` (that of any other chain)."""
     salts = F.explode(F.array(*(F.lit(i) for i in range(SALTS)))).alias("salt")
@@ -332,9 +342,7 @@ def _shares(found: DataFrame, state: DataFrame | None, sizes: DataFrame, fields:
         priors = fields.select("field", prior.alias("prior"), F.lit(10 * FIRST_SHARE).alias("prior_all"), F.lit(FIRST_SHARE).alias("rare"))
     else:
         mass = state.select("field", "source", F.explode(F.arrays_zip("chains", "weights")).alias("x")).groupBy("field", "source", F.col("x.chains").alias("chain")).agg(F.sum("x.weights").alias("w"))
-        by = cut(mass.groupBy("field", "chain").agg(F.sum("w").alias("w")))
-        # one number for each of a fixed list of chains
-        base = {r["chain"]: r["w"] / (everything + 1) for r in by.groupBy("chain").agg(F.sum("w").alias("w")).collect()}
+        by = mass.groupBy("field", "chain").agg(F.sum("w").alias("w"))
         bases = F.create_map(*(F.lit(v) for c, x in base.items() for v in (c, x))) if base else F.lit(None).cast("map<int,double>")
         pools = sizes.join(mass.groupBy("field", "source").agg(F.map_from_entries(F.collect_list(F.struct("chain", "w"))).alias("pool"), F.sum("w").alias("all")), ["field", "source"], "left").withColumn("all", F.coalesce("all", F.lit(0.0)))
         seen = fields.join(by.groupBy("field").agg(F.map_from_entries(F.collect_list(F.struct("chain", "w"))).alias("seen")), "field", "left")
@@ -342,7 +350,7 @@ def _shares(found: DataFrame, state: DataFrame | None, sizes: DataFrame, fields:
         # a chain that no record has shown yet may still turn up
         rare = FIRST_SHARE / (everything + 1)
         priors = seen.select("field", F.transform_values(bases, lean).alias("prior"), F.lit(rare).alias("rare"))
-        priors = priors.withColumn("prior_all", F.aggregate(F.map_values("prior"), F.lit(0.0), lambda s, x: s + x))
+        priors = priors.withColumn("prior_all", F.coalesce(F.aggregate(F.map_values("prior"), F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
     known = pools.join(priors, "field").select("*", salts)
     return found.join(known, ["field", "source", "salt"])
 
